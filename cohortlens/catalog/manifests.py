@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..operators import checks, records, verify
-from ..operators.bootstrap import draws, patient_positions
+from ..operators.bootstrap import draws
 from ..operators.metrics import classification_metrics
 from ..plans.experiments import prediction_rows
 from ..session import scratch
@@ -95,7 +95,7 @@ def scan_draws(spark: SparkSession, folder: str) -> DataFrame:
     """Bootstrap draws stored as array pieces and read back in long form."""
     path = scratch(spark, "draws")
     test = views.records(spark, folder).filter("split = 'test2022'")
-    sinks.write_draws(draws(patient_positions(test), 50), path)
+    sinks.write_draws(draws(spark, test.select("group_id").distinct().count(), 50), path)
     return tables.read_draws(spark, path)
 
 

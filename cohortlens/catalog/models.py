@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from .. import views
 from ..functions.vectors import grid_readout
 from ..operators import fitting, metrics
+from ..operators.pooling import sdp_pool
 from ..operators.records import grouped_stratified_folds
 from ..plans import experiments
 from ..plans.experiments import Branch
+from ..session import stored
 from .registry import query, rounded, with_views
 
 EVALUATIONS = {"test2022": "Set2022", "test2023": "Set2023"}
@@ -61,7 +63,8 @@ def oof_prior(spark: SparkSession, folder: str) -> DataFrame:
 def oof_logreg(spark: SparkSession, folder: str) -> DataFrame:
     """Left-out folds scored by models of the other folds."""
     b = branch(spark, folder, "all")
-    return scored(fitting.oof_scores(b.rows, "binary_label", views.BINARY_LABELS, b.dim), "binary_label")
+    rows = stored(b.rows, "branch", ["fold_id"])
+    return scored(fitting.oof_scores(rows, "binary_label", views.BINARY_LABELS, b.dim), "binary_label")
 
 
 def record_windows_with_folds(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,13 +75,9 @@ def record_windows_with_folds(spark: SparkSession, folder: str) -> DataFrame:
 @query("select_temperature_cv")
 def select_temperature_cv(spark: SparkSession, folder: str) -> DataFrame:
     """Official score per temperature and fold of distance-pooled windows, each fitted on the other folds."""
-    from ..operators.pooling import sdp_pool
-    from ..session import scratch
-    from ..sources.sinks import write_features
-    place = scratch(spark, "pooled")
     pooled = sdp_pool(views.windows(spark, folder), views.WINDOW_DIM, experiments.TEMPERATURES)
-    write_features(pooled.join(record_windows_with_folds(spark, folder), "record_id"), place, "temperature")
-    scores = experiments.select_temperature(spark.read.parquet(place), views.WINDOW_DIM, "coarse_label", views.COARSE, "Normal", ["Abnormal"])
+    rows = stored(pooled.join(record_windows_with_folds(spark, folder), "record_id"), "sdp", ["temperature"])
+    scores = experiments.select_temperature(rows, views.WINDOW_DIM, "coarse_label", views.COARSE, "Normal", ["Abnormal"])
     return rounded(scores, "SE", "SP", "AS", "HS", "Score", digits=6)
 
 

@@ -21,26 +21,24 @@ def test_predictions(spark: SparkSession, folder: str) -> DataFrame:
     return views.predictions(spark, folder).filter("evaluation = 'test2022'")
 
 
-def positions(spark: SparkSession, folder: str) -> DataFrame:
-    return boot.patient_positions(views.records(spark, folder).filter("split = 'test2022'"))
+def test_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return views.records(spark, folder).filter("split = 'test2022'").select("group_id")
 
 
-def resampled(spark: SparkSession, folder: str, replicates: int = REPLICATES) -> DataFrame:
-    places = positions(spark, folder)
-    cells = boot.patient_confusions(test_predictions(spark, folder), places)
-    return boot.resampled_confusions(cells, boot.draws(places, replicates))
+def resampled(spark: SparkSession, folder: str) -> DataFrame:
+    return plans.resample(test_predictions(spark, folder), test_groups(spark, folder), REPLICATES)
 
 
 @query("patient_confusions", with_views("select task, method, patient_index, t truth, p predicted, n from cells", "cells"))
 def patient_confusions(spark: SparkSession, folder: str) -> DataFrame:
     """Confusion cells per patient."""
-    return boot.patient_confusions(test_predictions(spark, folder), positions(spark, folder))
+    return boot.patient_confusions(test_predictions(spark, folder), boot.patient_positions(test_groups(spark, folder)))
 
 
 @query("bootstrap_draws", with_views("select draw, slot, patient_index from draws", "draws"))
 def bootstrap_draws(spark: SparkSession, folder: str) -> DataFrame:
     """Hash-based patient draws with replacement."""
-    return boot.draws(positions(spark, folder), REPLICATES)
+    return boot.draws(spark, test_groups(spark, folder).distinct().count(), REPLICATES)
 
 
 @query("resampled_confusions", with_views("select draw, task, method, t truth, p predicted, n from resampled", "resampled"))
@@ -111,7 +109,7 @@ def _interval_sql(points: str, replicates: str, views_needed: tuple[str, ...]) -
     "select draw, task, method, 'Score' metric, Score v from hreps", ("off", "hreps")))
 def bootstrap_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Official score intervals of the readouts and of their differences."""
-    table = plans.bootstrap_challenge(test_predictions(spark, folder), positions(spark, folder), views.NORMAL,
+    table = plans.bootstrap_challenge(test_predictions(spark, folder), test_groups(spark, folder), views.NORMAL,
                                       views.SENSITIVE, PAIRS, REPLICATES)
     return rounded(table, "point_estimate", "ci_lower", "ci_upper")
 
@@ -121,7 +119,7 @@ def bootstrap_tables(spark: SparkSession, folder: str) -> DataFrame:
     """select draw, task, method, unnest(['balanced_accuracy','macro_f1']) metric, unnest([balanced_accuracy,macro_f1]) v from creps""", ("met", "creps")))
 def bootstrap_classification(spark: SparkSession, folder: str) -> DataFrame:
     """Balanced accuracy and macro F1 intervals of the phases and of their differences."""
-    table = plans.bootstrap_classification(test_predictions(spark, folder), positions(spark, folder), views.CLASSES, PAIRS, REPLICATES)
+    table = plans.bootstrap_classification(test_predictions(spark, folder), test_groups(spark, folder), views.CLASSES, PAIRS, REPLICATES)
     return rounded(table, "point_estimate", "ci_lower", "ci_upper")
 
 

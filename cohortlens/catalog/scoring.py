@@ -235,7 +235,7 @@ def reconcile_class_order(spark: SparkSession, folder: str) -> DataFrame:
 def fuse_probabilities(spark: SparkSession, folder: str) -> DataFrame:
     """Two score tables joined on the record and fused three to one."""
     rows = views.scores(spark, folder, fused=False)
-    fused = probabilities.fuse_tables(rows.filter("method = 'CLS'"), rows.filter("method = 'TG'"), ["record_id"], 0.75)
+    fused = probabilities.fuse_tables(rows.filter("method = 'CLS'"), rows.filter("method = 'TG'"), ["record_id"], 0.75, len(views.FINE))
     return parts(fused.select("record_id", "probabilities"), "probabilities", 5, 9)
 
 
@@ -264,7 +264,7 @@ def fold_scores(spark: SparkSession, folder: str) -> DataFrame:
     spread = views.score_pairs(spark, folder).filter("split = 'train2022'").select(
         "y_true", "p_first", "p_second", (F.col("group_id") % 5).cast("int").alias("fold_id"),
         F.explode(F.array(*[F.lit(t) for t in TEMPERATURES])).alias("temperature"))
-    mixed = fuse(F.col("p_first"), F.col("p_second"), F.lit(1.0) / F.col("temperature"))
+    mixed = fuse(F.col("p_first"), F.col("p_second"), F.lit(1.0) / F.col("temperature"), len(views.FINE))
     rows = spread.withColumn("y_pred", argmax_label(string_list(views.FINE), mixed))
     return metrics.official_score(rows, ["temperature", "fold_id"], views.NORMAL["T2-2"], views.SENSITIVE["T2-2"])
 

@@ -123,7 +123,7 @@ def sdp_pool_grid(spark: SparkSession, folder: str) -> DataFrame:
 @query("q75_pool", with_views(f"select record_id, {', '.join(f'round(quantile_cont(f{i},0.75),6) v{i}' for i in range(4))} from wins group by all", "wins"))
 def q75_pool(spark: SparkSession, folder: str) -> DataFrame:
     """Dimension-wise upper quartile per record."""
-    return parts(pooling.q75_pool(views.windows(spark, folder, indexed=False)), "features", 4)
+    return parts(pooling.q75_pool(views.windows(spark, folder, indexed=False), views.WINDOW_DIM), "features", 4)
 
 
 @query("grid_readout", with_views("""select record_id, """ + ", ".join(

@@ -32,13 +32,20 @@ def reorder(probabilities: Column, source: Column, target: Sequence[str]) -> Col
     return F.array(*[pick(name) for name in target])
 
 
-def fuse(first: Column, second: Column, alpha: Column | float) -> Column:
-    """``alpha * first + (1 - alpha) * second`` element by element."""
+def fuse(first: Column, second: Column, alpha: Column | float, size: int | None = None) -> Column:
+    """``alpha * first + (1 - alpha) * second`` element by element.
+
+    With the number of classes given the sum is written out per class, which stays
+    in generated code; otherwise a higher-order function handles any length.
+    """
     if not isinstance(alpha, Column):
         if not 0.0 <= alpha <= 1.0:
             raise ValueError("alpha must lie in [0, 1]")
         alpha = F.lit(float(alpha))
-    return F.zip_with(first, second, lambda a, b: alpha * a + (F.lit(1.0) - alpha) * b)
+    rest = F.lit(1.0) - alpha
+    if size is None:
+        return F.zip_with(first, second, lambda a, b: alpha * a + rest * b)
+    return F.array(*[alpha * F.get(first, F.lit(i)) + rest * F.get(second, F.lit(i)) for i in range(size)])
 
 
 def pad_right(values: Column, size: int) -> Column:

@@ -9,13 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio_or_nan, ratio_or_zero
 from .indexing import equal_slices, running_before
 from .metrics import Classes, official_score_from_counts, per_class_counts, summarise_classes
 
+ROWS_PER_TASK = 4_000_000
+# About 24 bytes per cell: at most some 50 MB per executor.
+BROADCAST_CELLS = 2_000_000
+
 
 def patient_positions(records: DataFrame, group: str = "group_id", slices: int = 1024) -> DataFrame:
     """Position of every distinct group in sorted order, numbered slice by slice."""
@@ -31,32 +35,41 @@ def patient_confusions(predictions: DataFrame, positions: DataFrame, by: Sequenc
     return cells.join(positions, group).drop(group)
 
 
-def draws(positions: DataFrame, replicates: int) -> DataFrame:
-    """``(draw, slot, patient_index)``: as many patients per draw as there are, with replacement.
+def draws(spark: SparkSession, patients: int, replicates: int) -> DataFrame:
+    """``(draw, slot, patient_index)``: ``patients`` slots per draw, filled with replacement.
 
-    The slots are spread over the shuffle partitions before they are multiplied,
-    since the generated table is far larger than the patient table.
+    The table is a range, so its tasks are even, the planner knows its true size and
+    never broadcasts it, and one task holds whole draws: sums per draw are all but
+    complete before they are shuffled.
     """
-    parts = int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    size = positions.agg(F.count("*")).scalar()
-    slots = positions.select(F.col("patient_index").alias("slot")).repartition(parts, "slot")
-    numbered = slots.select("slot", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("draw"))
+    rows = patients * replicates
+    parts = max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+    ids = spark.range(0, rows, 1, parts).select(
+        F.expr(f"id div {patients}").alias("draw"), (F.col("id") % patients).alias("slot"))
     text = F.concat(F.lit("boot:"), F.col("draw").cast("string"), F.lit(":"), F.col("slot").cast("string"))
     number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-    return numbered.select(F.col("draw").cast("long").alias("draw"), "slot", F.pmod(number, size).alias("patient_index"))
+    return ids.select("draw", "slot", F.pmod(number, F.lit(patients).cast("long")).alias("patient_index"))
 
 
-def resampled_confusions(cells: DataFrame, drawn: DataFrame, by: Sequence[str] = ("task", "method")) -> DataFrame:
+def resampled_confusions(cells: DataFrame, drawn: DataFrame, by: Sequence[str] = ("task", "method"),
+                         broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
     """Confusion cells per draw; a patient drawn twice counts twice.
 
-    A patient's cells are packed into one row (at most one entry per method and
-    label pair) so that each drawn slot is joined once.  The sums per draw are
-    combined map-side, and only draws x cells rows are shuffled after the join.
+    Every distinct (method, labels) cell gets a small number; there are at most
+    methods x classes^2 of them.  A patient's cells are packed into one row of
+    (number, count) pairs, so each drawn slot is joined once and the sums per draw
+    hash two integers.  The packed table is broadcast only after its cells have been
+    counted, which leaves the draws in place; above the bound both sides are shuffled.
+    ``cells`` is read more than once, so pass a stored table.
     """
-    packed = cells.groupBy("patient_index").agg(F.array_agg(F.struct(*by, "truth", "predicted", "n")).alias("cells"))
+    labels = [*by, "truth", "predicted"]
+    codes = cells.select(*labels).distinct().withColumn("cell", F.row_number().over(Window.orderBy(*labels)))
+    packed = (cells.join(codes, labels).groupBy("patient_index")
+              .agg(F.array_agg(F.struct("cell", "n")).alias("cells")))
+    packed = F.broadcast(packed) if cells.count() <= broadcast_cells else packed.hint("shuffle_hash")
     hits = drawn.select("draw", "patient_index").join(packed, "patient_index")
-    return (hits.select("draw", F.inline("cells"))
-            .groupBy("draw", *by, "truth", "predicted").agg(F.sum("n").alias("n")))
+    sums = hits.select("draw", F.inline("cells")).groupBy("draw", "cell").agg(F.sum("n").alias("n"))
+    return sums.join(codes, "cell").select("draw", *labels, "n")
 
 
 def classification_replicates(resampled: DataFrame, by: Sequence[str], classes: Classes) -> DataFrame:

@@ -20,7 +20,7 @@ from ..functions.numbers import ratio
 from ..functions.vectors import string_list
 from .pooling import moments
 
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
 
 
 @dataclass(frozen=True)
@@ -80,7 +80,10 @@ def logreg_scores(rows: DataFrame, fit: Column, label: str, classes: Sequence[st
 
 def oof_scores(rows: DataFrame, label: str, classes: Sequence[str], dim: int, folds: int = 5, fold: str = "fold_id",
                **options) -> DataFrame:
-    """Each training row scored once, by the model fitted on the other folds; rows with fold -1 take no part."""
+    """Each training row scored once, by the model fitted on the other folds; rows with fold -1 take no part.
+
+    ``rows`` is read by every fit, so pass a stored table; in folders per fold each fit reads only its own part.
+    """
     train = rows.filter(F.col(fold) >= 0)
 
     def one(k: int) -> DataFrame:

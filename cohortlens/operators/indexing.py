@@ -1,9 +1,9 @@
 """Positions and running totals that never put a whole group into one task.
 
 A plain ``row_number() over (partition by key order by ...)`` sorts each key in
-one task.  Here every key is first cut into *slices* of its sort range.  Rows are
-numbered inside ``(key, slice)`` and shifted by the total of the earlier slices,
-so a key holding a third of the table is still spread over its slices.
+one task.  That is kept for ordinary keys.  A key with too many rows is cut into
+*slices* of its sort range: rows are numbered inside ``(key, slice)`` and shifted by
+the total of the earlier slices, so it is spread over as many tasks as it has slices.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import HOT_ROWS, split_hot
+
 
 def equal_slices(df: DataFrame, value: Column, slices: int = 1024) -> Column:
     """Monotone slice number of a numeric expression: equal widths between its min and max.
@@ -26,38 +28,42 @@ def equal_slices(df: DataFrame, value: Column, slices: int = 1024) -> Column:
                               F.lit(slices - 1).cast("long")), F.lit(0).cast("long"))
 
 
-def running_before(
-    df: DataFrame,
-    order: Sequence[Column],
-    slice_by: Sequence[Column],
-    name: str,
-    keys: Sequence[str] = (),
-    value: Column | None = None,
-) -> DataFrame:
-    """Add ``name``: the sum of ``value`` over the rows before this one within ``keys``.
+def _prior(window: Window, value: Column | None) -> Column:
+    if value is None:
+        return (F.row_number().over(window) - F.lit(1)).cast("long")
+    before = window.rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(value).over(before), F.lit(0)).cast("long")
 
-    ``order`` must be a total order and ``slice_by`` monotone in it.  Without
-    ``value`` the result is the zero-based position.  The second level holds one
-    row per slice, so its window stays small whatever the group size.
-    """
-    keys = list(keys)
+
+def _sliced(df: DataFrame, order: Sequence[Column], slice_by: Sequence[Column], name: str, keys: list[str],
+            value: Column | None) -> DataFrame:
     cuts = [f"__s{i}" for i in range(len(slice_by))]
-    amount = F.lit(1) if value is None else value
     cut = df.select("*", *[c.alias(n) for c, n in zip(slice_by, cuts)])
-    before = Window.partitionBy(*keys).orderBy(*cuts).rowsBetween(Window.unboundedPreceding, -1)
+    amount = F.lit(1) if value is None else value
+    # One row per slice: small whatever the size of the key.
     shifts = (cut.groupBy(*keys, *cuts).agg(F.sum(amount).alias("__t"))
-              .select(*keys, *cuts, F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__shift")))
-    inside = Window.partitionBy(*keys, *cuts).orderBy(*order)
-    if value is None:
-        local = F.row_number().over(inside) - F.lit(1)
-    else:
-        local = F.coalesce(F.sum(amount).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = cut.withColumn("__local", local)
-    return (numbered.join(shifts, keys + cuts)
-            .withColumn(name, (F.col("__shift") + F.col("__local")).cast("long"))
+              .select(*keys, *cuts, _prior(Window.partitionBy(*keys).orderBy(*cuts), F.col("__t")).alias("__shift")))
+    numbered = cut.withColumn("__local", _prior(Window.partitionBy(*keys, *cuts).orderBy(*order), value))
+    return (numbered.join(shifts, keys + cuts).withColumn(name, F.col("__shift") + F.col("__local"))
             .drop("__shift", "__local", *cuts))
 
 
+def running_before(df: DataFrame, order: Sequence[Column], slice_by: Sequence[Column], name: str,
+                   keys: Sequence[str] = (), value: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over the rows before this one within ``keys``.
+
+    ``order`` must be a total order and ``slice_by`` monotone in it, both without
+    nulls.  Without ``value`` the result is the zero-based position.  Without
+    ``keys`` the whole table is one group and always sliced.
+    """
+    keys = list(keys)
+    if not keys:
+        return _sliced(df, order, slice_by, name, keys, value)
+    ordinary, hot = split_hot(df, keys, hot_rows)
+    plain = ordinary.withColumn(name, _prior(Window.partitionBy(*keys).orderBy(*order), value))
+    return plain.unionByName(_sliced(hot, order, slice_by, name, keys, value))
+
+
 def sorted_position(df: DataFrame, order: Sequence[str], name: str, partitions: int | None = None) -> DataFrame:
     """Zero-based position in the global order of columns ``order`` (a unique key).
 

@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
 from ..functions.vectors import double_list
-from .quantiles import BULK_ROWS, group_quantile
+from .quantiles import counted_quantile
+from .skew import split_hot
 
-UNROLL = 96
+UNROLL = 16
 
 
 def gather(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
@@ -90,11 +91,18 @@ def sdp_pool(windows: DataFrame, dim: int, temperatures: Sequence[float], chunk:
                          F.transform("features", lambda v: v / F.col("total")).alias("features"))
 
 
-def q75_pool(windows: DataFrame, q: float = 0.75, bulk_rows: int = BULK_ROWS) -> DataFrame:
-    """Exact linear quantile of every dimension per record."""
-    spread = windows.select("record_id", F.posexplode("features").alias("dim", "x"))
-    return gather(group_quantile(spread, ["record_id", "dim"], "x", q, ["record_id"], bulk_rows),
-                  ["record_id"], "q", "features")
+def q75_pool(windows: DataFrame, dim: int, q: float = 0.75, hot_rows: int = 200_000) -> DataFrame:
+    """Exact linear quantile of every dimension per record.
+
+    The built-in percentile buffers a group's distinct values, so records with
+    more than ``hot_rows`` windows take the counting form instead.
+    """
+    rows = windows.select("record_id", "features")
+    ordinary, hot = split_hot(rows, ["record_id"], hot_rows)
+    plain = pool(ordinary, ["record_id"], dim, lambda x: F.percentile(x, F.lit(q)))
+    spread = hot.select("record_id", F.posexplode("features").alias("dim", "x"))
+    counted = gather(counted_quantile(spread, ["record_id", "dim"], "x", q), ["record_id"], "q", "features")
+    return plain.unionByName(counted)
 
 
 def moments(rows: DataFrame, dim: int, vector: str = "features") -> Column:

@@ -41,11 +41,12 @@ def reconcile(rows: DataFrame, target: Sequence[str]) -> DataFrame:
         "class_order": string_list(target)})
 
 
-def fuse_tables(first: DataFrame, second: DataFrame, keys: Sequence[str], alpha: Column | float) -> DataFrame:
+def fuse_tables(first: DataFrame, second: DataFrame, keys: Sequence[str], alpha: Column | float,
+                size: int | None = None) -> DataFrame:
     """``first`` with its probabilities fused with those of ``second`` on ``keys``."""
     other = second.select(*keys, F.col("probabilities").alias("__other"))
     return (first.join(other, list(keys))
-            .withColumn("probabilities", fuse(F.col("probabilities"), F.col("__other"), alpha)).drop("__other"))
+            .withColumn("probabilities", fuse(F.col("probabilities"), F.col("__other"), alpha, size)).drop("__other"))
 
 
 def side_by_side(rows: DataFrame, keys: Sequence[str], first: str, second: str) -> DataFrame:
@@ -65,5 +66,5 @@ def alpha_grid(steps: int = 20) -> list[float]:
 def alpha_sweep(pairs: DataFrame, keep: Sequence[str], classes: Sequence[str], alphas: Sequence[float]) -> DataFrame:
     """One predicted label per pair row and alpha; the arrays are consumed inside the row."""
     spread = pairs.select(*keep, "p_first", "p_second", F.explode(double_list(alphas)).alias("alpha"))
-    mixed = fuse(F.col("p_first"), F.col("p_second"), F.col("alpha"))
+    mixed = fuse(F.col("p_first"), F.col("p_second"), F.col("alpha"), len(classes))
     return spread.select(*keep, "alpha", argmax_label(string_list(classes), mixed).alias("y_pred"))

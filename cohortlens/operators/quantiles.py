@@ -1,4 +1,4 @@
-"""Exact linear-interpolated quantiles per group, also for groups of any size."""
+"""Exact linear-interpolated quantiles for groups too large to hold in one buffer."""
 
 from __future__ import annotations
 
@@ -7,12 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BULK_ROWS = 200_000
 BINS = 4096
 
 
-def _binned(rows: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:
-    """Quantile by counting: bin counts find the bins of the two ranks, then only those bins are ranked."""
+def counted_quantile(rows: DataFrame, keys: Sequence[str], value: str, q: float) -> DataFrame:
+    """Quantile ``q`` of ``value`` per ``keys`` as column ``q``, by counting instead of gathering.
+
+    Bin counts tell which bins hold the two neighbouring ranks; only the distinct
+    values of those bins are then ordered.
+    """
+    keys = list(keys)
     range_of = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
     targets = (range_of.withColumn("at", F.lit(q) * (F.col("n") - 1))
                .withColumn("r0", F.floor("at")).withColumn("r1", F.ceil("at")))
@@ -36,18 +40,3 @@ def _binned(rows: DataFrame, keys: list[str], value: str, q: float) -> DataFrame
 
     return (ranked.groupBy(*keys).agg(at("r0").alias("v0"), at("r1").alias("v1"), F.max(F.col("at") - F.col("r0")).alias("w"))
             .select(*keys, (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("w")).alias("q")))
-
-
-def group_quantile(rows: DataFrame, keys: Sequence[str], value: str, q: float, bulk_by: Sequence[str] | None = None,
-                   bulk_rows: int = BULK_ROWS) -> DataFrame:
-    """Exact quantile ``q`` of ``value`` per ``keys`` as column ``q``.
-
-    Groups up to ``bulk_rows`` rows use the built-in ``percentile``, whose buffer
-    holds the group's distinct values.  Larger groups take the counting form.
-    ``bulk_by`` (a subset of ``keys``) decides the size on a coarser key.
-    """
-    keys = list(keys)
-    probe = list(bulk_by or keys)
-    bulky = rows.groupBy(*probe).agg(F.count("*").alias("__n")).filter(F.col("__n") > bulk_rows).select(*probe)
-    plain = (rows.join(bulky, probe, "left_anti").groupBy(*keys).agg(F.percentile(value, F.lit(q)).alias("q")))
-    return plain.unionByName(_binned(rows.join(bulky, probe, "left_semi"), keys, value, q))

@@ -14,9 +14,8 @@ from ..operators.fitting import fit_logreg, oof_scores, together
 from ..operators.metrics import classification_metrics, official_score
 from ..operators.pooling import q75_pool, sdp_pool
 from ..operators.probabilities import alpha_grid, alpha_sweep, fuse_tables, predict
-from ..session import scratch
-from ..sources.sinks import write_features
 from ..operators.selection import incumbent, mean_over_folds, rank_alphas
+from ..session import stored
 
 # Fixed values of the protocol: temperature grid, replacement margin, fusion weight.
 TEMPERATURES = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0)
@@ -61,6 +60,7 @@ def progression(single: Branch, cls: Branch, tg: Branch, tasks: Mapping[str, tup
     its dataset name.  Alpha is chosen on out-of-fold training scores only.
     """
     out, chosen = [], {}
+    single, cls, tg = (Branch(stored(b.rows, "branch", ["fold_id"]), b.dim) for b in (single, cls, tg))
     held = F.col("split").isin(list(evaluations))
     dataset = F.lit(None).cast("string")
     for split, name in evaluations.items():
@@ -72,7 +72,7 @@ def progression(single: Branch, cls: Branch, tg: Branch, tasks: Mapping[str, tup
         chosen[task] = alpha
         s, c, t = together([lambda b=b: fit_logreg(b.rows.filter(train), label, classes, b.dim, **options).score(
             b.rows.filter(held)) for b in (single, cls, tg)])
-        phases = {"phase1": s, "phase2": c, "phase3": fuse_tables(c, t, ["record_id"], alpha)}
+        phases = {"phase1": s, "phase2": c, "phase3": fuse_tables(c, t, ["record_id"], alpha, len(classes))}
         for phase, scored in phases.items():
             out.append(prediction_rows(scored, label, dataset=dataset, evaluation=F.col("split"), phase=phase, task=task)
                        .withColumn("selected_alpha", F.lit(alpha if phase == "phase3" else None).cast("double")))
@@ -107,11 +107,9 @@ def challenge(windows: DataFrame, dim: int, records: DataFrame, tasks: Mapping[s
     ``tasks`` maps a task to (label column, classes, normal class, sensitive classes).
     """
     shares = windows.select("record_id", "window_index", "features")
-    # The pooled vectors are read by every fit, so they are stored once; a fit reads only its temperature's folder.
-    spark, place = windows.sparkSession, scratch(windows.sparkSession, "pooled")
-    write_features(sdp_pool(shares, dim, TEMPERATURES).join(records, "record_id"), f"{place}/sdp", "temperature")
-    q75_pool(shares).join(records, "record_id").write.parquet(f"{place}/q75")
-    sdp, q75 = spark.read.parquet(f"{place}/sdp"), spark.read.parquet(f"{place}/q75")
+    # Every fit reads the pooled vectors: stored once, and a fit reads only its temperature and folds.
+    sdp = stored(sdp_pool(shares, dim, TEMPERATURES).join(records, "record_id"), "sdp", ["temperature"])
+    q75 = stored(q75_pool(shares, dim).join(records, "record_id"), "q75")
     out, chosen = [], {}
     for task, (label, classes, normal, sensitive) in tasks.items():
         temperature = best_temperature(select_temperature(sdp, dim, label, classes, normal, sensitive, **options))
@@ -119,7 +117,7 @@ def challenge(windows: DataFrame, dim: int, records: DataFrame, tasks: Mapping[s
         at = sdp.filter(F.col("temperature") == temperature).drop("temperature")
         cls, tg = together([lambda r=r: fit_logreg(r.filter(train), label, classes, dim, **options).score(r.filter(~train))
                             for r in (at, q75)])
-        methods = {"CLS": cls, "Temporal Grid": tg, "Fusion": fuse_tables(cls, tg, ["record_id"], FUSION_ALPHA)}
+        methods = {"CLS": cls, "Temporal Grid": tg, "Fusion": fuse_tables(cls, tg, ["record_id"], FUSION_ALPHA, len(classes))}
         out += [prediction_rows(s, label, evaluation=F.col("split"), task=task, method=m) for m, s in methods.items()]
     return union(out), chosen
 
@@ -132,6 +130,8 @@ def encoder_comparison(encoders: Mapping[str, Branch], tasks: Mapping[str, tuple
     for split, name in evaluations.items():
         dataset = F.when(F.col("split") == split, F.lit(name)).otherwise(dataset)
 
+    encoders = {m: Branch(stored(b.rows, "encoder"), b.dim) for m, b in encoders.items()}
+
     def one(method: str, branch: Branch, task: str, label: str, classes: Sequence[str]) -> DataFrame:
         scorer = fit_logreg(branch.rows.filter(train), label, classes, branch.dim, **options)
         return prediction_rows(scorer.score(branch.rows.filter(held)), label, dataset=dataset, evaluation=F.col("split"),

@@ -16,6 +16,7 @@ from ..operators.comparison import insertion_rank, phase_delta, single_vs_dual
 from ..operators.metrics import (classification_metrics, confusion_counts, official_score_from_counts,
                                  per_class_recall)
 from ..operators.records import custom_order
+from ..session import stored
 
 KEYS = ["dataset", "evaluation", "task"]
 
@@ -61,25 +62,32 @@ def challenge_tables(predictions: DataFrame, board: DataFrame, normal: Mapping[s
     return {"tab:biocas_challenge_placements": places, "tab:challenge_readout_comparison": scores}
 
 
-def bootstrap_classification(predictions: DataFrame, positions: DataFrame, classes: Mapping[str, Sequence[str]],
+def resample(predictions: DataFrame, groups: DataFrame, replicates: int) -> DataFrame:
+    """Confusion cells per draw of the predictions' patients; ``groups`` lists the patients.
+
+    Positions and cells are the only tables derived from the records.  Both are stored,
+    so drawing, packing and counting read those compact tables.
+    """
+    positions = stored(boot.patient_positions(groups), "positions")
+    cells = stored(boot.patient_confusions(predictions, positions), "cells")
+    return boot.resampled_confusions(cells, boot.draws(predictions.sparkSession, positions.count(), replicates))
+
+
+def bootstrap_classification(predictions: DataFrame, groups: DataFrame, classes: Mapping[str, Sequence[str]],
                              pairs: Sequence[tuple[str, str]], replicates: int,
                              metrics: Sequence[str] = ("balanced_accuracy", "macro_f1")) -> DataFrame:
     """Intervals for the classification metrics of each method and of the declared differences."""
     by = ["task", "method"]
-    cells = boot.patient_confusions(predictions, positions)
-    drawn = boot.draws(positions, replicates)
-    reps = boot.classification_replicates(boot.resampled_confusions(cells, drawn), by, classes)
+    reps = boot.classification_replicates(resample(predictions, groups, replicates), by, classes)
     points = classification_metrics(predictions, by, classes)
     return boot.interval_table(boot.to_long(points, by, metrics), boot.to_long(reps, ["draw", *by], metrics), pairs)
 
 
-def bootstrap_challenge(predictions: DataFrame, positions: DataFrame, normal: Mapping[str, str],
+def bootstrap_challenge(predictions: DataFrame, groups: DataFrame, normal: Mapping[str, str],
                         sensitive: Mapping[str, Sequence[str]], pairs: Sequence[tuple[str, str]],
                         replicates: int) -> DataFrame:
     """Intervals for the official Score of each method and of the declared differences."""
     by = ["task", "method"]
-    cells = boot.patient_confusions(predictions, positions)
-    drawn = boot.draws(positions, replicates)
-    reps = boot.challenge_replicates(boot.resampled_confusions(cells, drawn), by, normal, sensitive)
+    reps = boot.challenge_replicates(resample(predictions, groups, replicates), by, normal, sensitive)
     points = official_score_from_counts(confusion_counts(predictions, by), by, normal, sensitive)
     return boot.interval_table(boot.to_long(points, by, ["Score"]), boot.to_long(reps, ["draw", *by], ["Score"]), pairs)

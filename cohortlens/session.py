@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings the operators are written for.  Skewed shuffle joins are
 # split by AQE even where that costs one more exchange after the join.
@@ -32,3 +33,15 @@ def scratch(spark: SparkSession, purpose: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/cohortlens-{purpose}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, purpose: str, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` written once to the shared scratch folder and read back, in folders of ``by``.
+
+    For tables that many jobs read, such as the rows behind a series of fits: each
+    job then reads only its columns and folders, and a lost executor re-reads
+    files instead of repeating the joins before them.
+    """
+    place = scratch(df.sparkSession, purpose)
+    df.write.partitionBy(*by).parquet(place)
+    return df.sparkSession.read.parquet(place)

@@ -63,14 +63,12 @@ def score_pairs(spark: SparkSession, folder: str) -> DataFrame:
 
 def scores(spark: SparkSession, folder: str, fused: bool = True) -> DataFrame:
     """One row per (record, method) with class order and probabilities; optionally with the even fusion."""
-    pairs = score_pairs(spark, folder)
-    kinds = [F.struct(F.lit("CLS").alias("method"), F.col("p_first").alias("probabilities")),
-             F.struct(F.lit("TG").alias("method"), F.col("p_second").alias("probabilities"))]
-    if fused:
-        kinds.append(F.struct(F.lit("Fusion").alias("method"),
-                              fuse(F.col("p_first"), F.col("p_second"), 0.5).alias("probabilities")))
-    return (pairs.select("record_id", "group_id", "split", "y_true", string_list(FINE).alias("class_order"),
-                         F.inline(F.array(*kinds))))
+    # A readout is a weight of the first branch; 1 and 0 give the branches themselves, exactly.
+    weights = {"CLS": 1.0, "TG": 0.0, "Fusion": 0.5} if fused else {"CLS": 1.0, "TG": 0.0}
+    kinds = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(w).alias("weight")) for m, w in weights.items()])
+    spread = score_pairs(spark, folder).select("*", F.inline(kinds))
+    return spread.select("record_id", "group_id", "split", "y_true", string_list(FINE).alias("class_order"), "method",
+                         fuse(F.col("p_first"), F.col("p_second"), F.col("weight"), len(FINE)).alias("probabilities"))
 
 
 def stored_scores(spark: SparkSession, folder: str) -> DataFrame:
