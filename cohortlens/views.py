@@ -48,10 +48,10 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
 
 def _probabilities(method_index: int) -> Column:
     """Five class probabilities of one method, computed inside the record's row."""
-    raw = [((F.col("record_id") * 7919 + j * 104729 + method_index * 15485863 + 13) % 1000 + 1
-            + F.when(F.col("fine_label") == name, 600).otherwise(0)) for j, name in enumerate(FINE)]
-    total = sum(raw[1:], raw[0]).cast("double")
-    return F.array(*[r.cast("double") / total for r in raw])
+    raw = [f"((record_id * 7919 + {j * 104729 + method_index * 15485863 + 13}) % 1000 + 1 + if(fine_label = '{name}', 600, 0))"
+           for j, name in enumerate(FINE)]
+    total = f"cast({' + '.join(raw)} as double)"
+    return F.expr("array(" + ", ".join(f"cast({r} as double) / {total}" for r in raw) + ")")
 
 
 def score_pairs(spark: SparkSession, folder: str) -> DataFrame:

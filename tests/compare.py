@@ -15,10 +15,14 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import __spark_entry__ as entry  # noqa: E402
+from cohortlens.session import START_SETTINGS  # noqa: E402
 
 
 def session(cpus: str = "8") -> SparkSession:
-    spark = (SparkSession.builder.master(f"local[{cpus}]").appName("cohortlens")
+    builder = SparkSession.builder.master(f"local[{cpus}]").appName("cohortlens")
+    for key, value in START_SETTINGS.items():
+        builder = builder.config(key, value)
+    spark = (builder
              .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g")
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
