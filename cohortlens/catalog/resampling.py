@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from .. import views
 from ..operators import bootstrap as boot
 from ..operators import checks, metrics, report, verify
+from ..operators.records import included
 from ..plans import tables as plans
+from ..session import scratch
+from ..sources import sinks
 from .registry import query, rounded, with_views
 from .scoring import RUN, THREE, official
 
@@ -123,6 +126,42 @@ def bootstrap_classification(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(table, "point_estimate", "ci_lower", "ci_upper")
 
 
+def result_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """All labelled result tables of the engine from the given data."""
+    rows, everything = views.predictions(spark, folder), views.records(spark, folder)
+    tasks = {"T2-1": ("coarse_label", views.COARSE), "T2-2": ("fine_label", views.FINE)}
+    encoders = rows.filter("method <> 'Fusion'").withColumn("method", F.concat(F.lit("Enc-"), "method"))
+    tests, groups = test_predictions(spark, folder), test_groups(spark, folder)
+    return {
+        **plans.manifest_tables(included(everything), everything, tasks, views.SPLITS, views.captures(spark, folder), "Abnormal"),
+        **plans.progression_tables(rows, views.CLASSES),
+        "tab:encoder_comparison": plans.method_table(encoders, rows, views.CLASSES, "Own", ["Own", "Enc-TG", "Enc-CLS"]),
+        **plans.challenge_tables(rows, views.board(spark, folder), views.NORMAL, views.SENSITIVE),
+        "tab:bootstrap_harmonised": plans.bootstrap_classification(tests, groups, views.CLASSES, PAIRS, REPLICATES),
+        "tab:bootstrap_challenge_readouts": plans.bootstrap_challenge(tests, groups, views.NORMAL, views.SENSITIVE, PAIRS, REPLICATES),
+    }
+
+
+@query("result_bundle", with_views("""select 'tab:class_distribution' "label", 24::bigint "rows" union all
+ select 'tab:challenge_class_distribution', 24 union all
+ select 'tab:device_distribution', count(*) from (select distinct split, device from recs where inclusion_status='included') union all
+ select 'tab:single_window_event_capture', count(distinct dataset) from caps where binary_label='Abnormal' union all
+ select l, count(*) from met cross join (values ('tab:single_window_results'),('tab:complete_record_results'),('tab:dual_readout_results'),
+  ('tab:overall_harmonised_comparison')) t(l) where phase='phase1' group by l union all
+ select l, count(*) from pc cross join (values ('tab:single_window_per_class_recall'),('tab:complete_record_per_class_recall'),
+  ('tab:dual_readout_per_class_recall')) t(l) where phase='phase1' group by l union all
+ select 'tab:encoder_comparison', count(*) from met union all
+ select 'tab:challenge_readout_comparison', count(*) from off union all
+ select 'tab:challenge_placements', count(*) from (select distinct evaluation, task, tbl from board join off using (evaluation, task) where method='Fusion') union all
+ select 'tab:bootstrap_harmonised', 2*2*(count(distinct method)+3) from off union all
+ select 'tab:bootstrap_challenge_readouts', 2*(count(distinct method)+3) from off""", "recs", "caps", "met", "off", "board"))
+def result_bundle(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole result set written as one bundle; label and row count per table."""
+    tables = result_tables(spark, folder)
+    order = {label: df.columns for label, df in tables.items()}
+    return sinks.write_bundle(tables, scratch(spark, "bundle"), order).select("label", "rows")
+
+
 def two_runs(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Differences between the two methods' metric and score tables."""
     rows = views.predictions(spark, folder)

@@ -184,7 +184,7 @@ def insertion_rank(spark: SparkSession, folder: str) -> DataFrame:
     """Place of the fused readout in each published table."""
     rows = views.predictions(spark, folder)
     places = plans.challenge_tables(rows, views.board(spark, folder), views.NORMAL, views.SENSITIVE)
-    return rounded(places["tab:biocas_challenge_placements"], "score")
+    return rounded(places["tab:challenge_placements"], "score")
 
 
 @query("insertion_rank_pooled", with_views("""select evaluation, task, method, round(o.Score,9) score,

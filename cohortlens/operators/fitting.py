@@ -6,8 +6,7 @@ dimension) and a label column.  Scaling is learnt on the fit rows only.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -18,59 +17,45 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import ratio
 from ..functions.vectors import string_list
-from .pooling import moments
-
-PARALLEL_FITS = 8
+from ..session import together
+from ..sources.tables import with_dimension
 
 
 @dataclass(frozen=True)
 class Scorer:
-    """A fitted model with its scaling; ``score`` adds probabilities in declared class order."""
+    """A fitted model; ``score`` adds probabilities in declared class order."""
 
     model: LogisticRegressionModel
-    mean: list[float]
-    std: list[float]
     classes: tuple[str, ...]
 
     def score(self, rows: DataFrame) -> DataFrame:
-        scored = self.model.transform(rows.withColumn("__v", _scaled(self.mean, self.std)))
+        scored = self.model.transform(rows.withColumn("__v", array_to_vector("features")))
         return (scored.withColumn("probabilities", vector_to_array("probability"))
                 .withColumn("class_order", string_list(self.classes))
                 .drop("__v", "rawPrediction", "probability", "prediction"))
 
 
-def _scaled(mean: Sequence[float], std: Sequence[float]) -> Column:
-    m, s = F.array(*[F.lit(v) for v in mean]), F.array(*[F.lit(v if v else 1.0) for v in std])
-    centred = F.zip_with("features", m, lambda x, c: x - c)
-    return array_to_vector(F.zip_with(centred, s, lambda x, d: x / d))
-
-
 def fit_logreg(rows: DataFrame, label: str, classes: Sequence[str], dim: int, c: float = 1.0, tol: float = 1e-6,
                max_iter: int = 5000) -> Scorer:
     """L2 logistic regression with inverse strength ``c`` on standardised features.
 
-    Only the scaling (two arrays of ``dim`` numbers), the class counts and the
-    coefficients reach the driver.  The penalty matches a sum-of-losses objective: 1 / (c * rows).
+    The estimator standardises inside, on the fit rows.  It divides by the sample
+    deviation, the protocol asks for the population deviation; that is one common factor
+    sqrt((n - 1) / n) on all features, which the penalty takes up exactly.  Only
+    class counts and coefficients reach the driver.
     """
-    spark = rows.sparkSession
-    stats = spark.range(1).select(moments(rows, dim).alias("z"))
-    z = stats.first()["z"]
-    sizes = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count("*")).filter(F.col(label).isin(list(classes))).collect()}
+    checked = with_dimension(rows.select("features", label), dim)
+    sizes = {r[0]: r[1] for r in rows.filter(F.col(label).isin(list(classes))).groupBy(label).agg(F.count("*")).collect()}
     absent = [name for name in classes if not sizes.get(name)]
     if absent:
         raise ValueError(f"classes without fit rows: {absent}")
-    indexed = rows.select(_scaled(z["mean"], z["std"]).alias("__v"),
-                          (F.array_position(string_list(classes), F.col(label)) - 1).cast("double").alias("__y"))
+    n = sum(sizes.values())
+    indexed = checked.select(array_to_vector("features").alias("__v"),
+                             (F.array_position(string_list(classes), F.col(label)) - 1).cast("double").alias("__y"))
     estimator = LogisticRegression(featuresCol="__v", labelCol="__y", maxIter=max_iter, tol=tol, elasticNetParam=0.0,
-                                   regParam=1.0 / (c * sum(sizes.values())), standardization=False,
+                                   regParam=(n - 1) / (n * n * c), standardization=True,
                                    family="binomial" if len(classes) == 2 else "multinomial")
-    return Scorer(estimator.fit(indexed), list(z["mean"]), list(z["std"]), tuple(classes))
-
-
-def together(jobs: Sequence[Callable[[], object]], parallel: int = PARALLEL_FITS) -> list:
-    """Run independent driver-side job submissions side by side, results in order."""
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
-        return list(pool.map(lambda job: job(), jobs))
+    return Scorer(estimator.fit(indexed), tuple(classes))
 
 
 def logreg_scores(rows: DataFrame, fit: Column, label: str, classes: Sequence[str], dim: int, **options) -> DataFrame:

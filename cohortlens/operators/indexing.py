@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .skew import HOT_ROWS, split_hot
 
 
@@ -69,13 +70,13 @@ def sorted_position(df: DataFrame, order: Sequence[str], name: str, partitions:
 
     For keys of any type: range partitioning samples the cut points, each
     partition sorts itself, and the position is the row's place plus the size of
-    the earlier partitions.  The sorted key table is checkpointed so that a lost
-    executor cannot redraw the cut points between its two uses.
+    the earlier partitions.  The numbered key table is stored before use, so that a
+    lost executor cannot redraw the cut points between its two reads.
     """
     spark = df.sparkSession
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = (df.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-              .withColumn("__at", F.monotonically_increasing_id()).checkpoint())
+    placed = stored(df.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                    .withColumn("__at", F.monotonically_increasing_id()), "positions")
     placed = placed.select(*order, F.shiftright("__at", 33).alias("__part"),
                            F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)).alias("__row"))
     # One row per partition: bounded by `parts`, so an unpartitioned window is fine.

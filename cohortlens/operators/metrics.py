@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import harmonic_mean, ratio, ratio_or_nan, ratio_or_zero
@@ -111,9 +111,13 @@ def classification_metrics(predictions: DataFrame, by: Sequence[str], classes: C
     return summarise_classes(per_class_counts(confusion_counts(predictions, by), by, classes), by, absent)
 
 
+def recall_of(per_class: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Recall per declared class, 0 for a class without true members."""
+    return per_class.select(*by, "class", "position", ratio_or_zero(F.col("tp"), F.col("support")).alias("recall"))
+
+
 def per_class_recall(predictions: DataFrame, by: Sequence[str], classes: Classes) -> DataFrame:
-    counts = per_class_counts(confusion_counts(predictions, by), by, classes)
-    return counts.select(*by, "class", "position", ratio_or_zero(F.col("tp"), F.col("support")).alias("recall"))
+    return recall_of(per_class_counts(confusion_counts(predictions, by), by, classes), by)
 
 
 def official_score(predictions: DataFrame, by: Sequence[str], normal: str | Mapping[str, str], sensitive: Classes,
@@ -182,7 +186,6 @@ def class_distribution(records: DataFrame, tasks: Mapping[str, tuple[str, Sequen
 
 def share_within(records: DataFrame, within: str, value: str) -> DataFrame:
     """Count of ``value`` and its percentage of the ``within`` total, combined before the window."""
-    from pyspark.sql import Window
     counts = records.groupBy(within, value).agg(F.count("*").alias("count"))
     total = F.sum("count").over(Window.partitionBy(within))
     return counts.withColumn("percentage", F.lit(100.0) * F.col("count") / total)

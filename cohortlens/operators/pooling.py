@@ -56,12 +56,20 @@ def min_length_mean_pool(chunks: DataFrame, dim: int, frames: str, least: int =
         nothing.cast("array<double>")))
 
 
-def distances(windows: DataFrame, dim: int) -> DataFrame:
-    """Every window with its Euclidean distance to the record's mean vector."""
-    centres = mean_pool(windows, dim).withColumnRenamed("features", "__centre")
+def distances(windows: DataFrame, dim: int, chunk: int) -> DataFrame:
+    """Every window with its chunk and its Euclidean distance to the record's mean vector.
+
+    The means are built from chunk sums and brought back per (record, chunk), so the join
+    with the windows is spread by chunk and not by record.
+    """
+    cut = windows.withColumn("chunk", F.expr(f"window_index div {chunk}"))
+    sums = pool(cut, ["record_id", "chunk"], dim, F.sum, extra=[F.count("*").alias("n")])
+    whole = pool(sums.select("record_id", "features", "n"), ["record_id"], dim, F.sum, extra=[F.sum("n").alias("n")])
+    centres = whole.select("record_id", F.transform("features", lambda v: v / F.col("n")).alias("__centre"))
+    placed = sums.select("record_id", "chunk").join(centres, "record_id")
     squares = F.zip_with("features", "__centre", lambda x, c: (x - c) * (x - c))
     distance = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v))
-    return windows.join(centres, "record_id").withColumn("distance", distance).drop("__centre")
+    return cut.join(placed, ["record_id", "chunk"]).withColumn("distance", distance).drop("__centre")
 
 
 def sdp_pool(windows: DataFrame, dim: int, temperatures: Sequence[float], chunk: int = 16_384) -> DataFrame:
@@ -74,9 +82,8 @@ def sdp_pool(windows: DataFrame, dim: int, temperatures: Sequence[float], chunk:
     """
     if min(temperatures) <= 0:
         raise ValueError("temperature must be positive")
-    cut = distances(windows, dim).withColumn("chunk", F.expr(f"window_index div {chunk}"))
     top = F.max("distance").over(Window.partitionBy("record_id", "chunk"))
-    spread = (cut.withColumn("top", top)
+    spread = (distances(windows, dim, chunk).withColumn("top", top)
               .withColumn("temperature", F.explode(double_list(temperatures)))
               .withColumn("w", F.exp((F.col("distance") - F.col("top")) / F.col("temperature"))))
     parts = pool(spread.select("record_id", "temperature", "chunk", "top", "w", "features"),

@@ -10,12 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import string_list
-from ..operators.fitting import fit_logreg, oof_scores, together
+from ..operators.fitting import fit_logreg, oof_scores
 from ..operators.metrics import classification_metrics, official_score
 from ..operators.pooling import q75_pool, sdp_pool
 from ..operators.probabilities import alpha_grid, alpha_sweep, fuse_tables, predict
 from ..operators.selection import incumbent, mean_over_folds, rank_alphas
-from ..session import stored
+from ..session import stored, together
 
 # Fixed values of the protocol: temperature grid, replacement margin, fusion weight.
 TEMPERATURES = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0)

@@ -13,18 +13,37 @@ from pyspark.sql import functions as F
 
 from ..operators import bootstrap as boot
 from ..operators.comparison import insertion_rank, phase_delta, single_vs_dual
-from ..operators.metrics import (classification_metrics, confusion_counts, official_score_from_counts,
-                                 per_class_recall)
+from ..operators.metrics import (capture_rate, class_distribution, classification_metrics, confusion_counts,
+                                 official_score_from_counts, per_class_counts, recall_of, share_within, summarise_classes)
 from ..operators.records import custom_order
 from ..session import stored
 
 KEYS = ["dataset", "evaluation", "task"]
 
 
+def manifest_tables(harmonised: DataFrame, everything: DataFrame, tasks: Mapping[str, tuple[str, Sequence[str]]],
+                    splits: Sequence[str], captures: DataFrame, positive: str) -> dict[str, DataFrame]:
+    """Class, device and event-capture tables.
+
+    ``harmonised`` holds the included records, ``everything`` also those of the reject class.
+    """
+    return {
+        "tab:class_distribution": class_distribution(harmonised, tasks, splits),
+        "tab:device_distribution": share_within(harmonised, "split", "device"),
+        "tab:challenge_class_distribution": class_distribution(everything, tasks, splits),
+        "tab:single_window_event_capture": capture_rate(
+            captures, ["dataset"], F.col("binary_label") == positive, F.col("overlap")),
+    }
+
+
 def progression_tables(predictions: DataFrame, classes: Mapping[str, Sequence[str]]) -> dict[str, DataFrame]:
-    """Metric and recall tables of the three phases with their deltas, and single against dual."""
-    metrics = classification_metrics(predictions, ["phase", *KEYS], classes)
-    recalls = per_class_recall(predictions, ["phase", *KEYS], classes)
+    """Metric and recall tables of the three phases with their deltas, and single against dual.
+
+    The predictions are read once: all seven tables come from the stored class counts.
+    """
+    by = ["phase", *KEYS]
+    counts = stored(per_class_counts(confusion_counts(predictions, by), by, classes), "counts")
+    metrics, recalls = summarise_classes(counts, by), recall_of(counts, by)
 
     def phase(table: DataFrame, name: str) -> DataFrame:
         return table.filter(F.col("phase") == name).drop("phase")
@@ -56,10 +75,11 @@ def challenge_tables(predictions: DataFrame, board: DataFrame, normal: Mapping[s
                      sensitive: Mapping[str, Sequence[str]]) -> dict[str, DataFrame]:
     """Official score per readout, and the placement of the fused readout in every published table."""
     by = ["evaluation", "task", "method"]
-    scores = official_score_from_counts(confusion_counts(predictions, by), by, normal, sensitive)
+    cells = stored(confusion_counts(predictions, by), "cells")
+    scores = official_score_from_counts(cells, by, normal, sensitive)
     fused = scores.filter(F.col("method") == "Fusion").withColumnRenamed("Score", "score")
     places = insertion_rank(fused, board, ["evaluation", "task"], tables=["table"]).withColumnRenamed("table", "published_table")
-    return {"tab:biocas_challenge_placements": places, "tab:challenge_readout_comparison": scores}
+    return {"tab:challenge_placements": places, "tab:challenge_readout_comparison": scores}
 
 
 def resample(predictions: DataFrame, groups: DataFrame, replicates: int) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,3 +51,13 @@ def stored(df: DataFrame, purpose: str, by: Sequence[str] = ()) -> DataFrame:
     place = scratch(df.sparkSession, purpose)
     df.write.partitionBy(*by).parquet(place)
     return df.sparkSession.read.parquet(place)
+
+
+def together(jobs: Sequence[Callable[[], object]], parallel: int = 8) -> list:
+    """Submit independent Spark jobs side by side, results in order.
+
+    Fits and small writes are short jobs with driver latency between them; the cluster's
+    scheduler interleaves them.
+    """
+    with ThreadPoolExecutor(max_workers=parallel) as pool:
+        return list(pool.map(lambda job: job(), jobs))
