@@ -75,7 +75,7 @@ def record_windows_with_folds(spark: SparkSession, folder: str) -> DataFrame:
 @query("select_temperature_cv")
 def select_temperature_cv(spark: SparkSession, folder: str) -> DataFrame:
     """Official score per temperature and fold of distance-pooled windows, each fitted on the other folds."""
-    pooled = sdp_pool(views.windows(spark, folder), views.WINDOW_DIM, experiments.TEMPERATURES)
+    pooled = sdp_pool(stored(views.windows(spark, folder), "windows"), views.WINDOW_DIM, experiments.TEMPERATURES)
     rows = stored(pooled.join(record_windows_with_folds(spark, folder), "record_id"), "sdp", ["temperature"])
     scores = experiments.select_temperature(rows, views.WINDOW_DIM, "coarse_label", views.COARSE, "Normal", ["Abnormal"])
     return rounded(scores, "SE", "SP", "AS", "HS", "Score", digits=6)
@@ -95,7 +95,7 @@ def progression(spark: SparkSession, folder: str) -> DataFrame:
 def challenge_workflow(spark: SparkSession, folder: str) -> DataFrame:
     """Official scores of both pooled readouts and their fusion, temperature chosen on training rows."""
     tasks = {"T2-1": ("coarse_label", views.COARSE, "Normal", ["Abnormal"])}
-    rows, _ = experiments.challenge(views.windows(spark, folder), views.WINDOW_DIM, record_windows_with_folds(spark, folder),
+    rows, _ = experiments.challenge(stored(views.windows(spark, folder), "windows"), views.WINDOW_DIM, record_windows_with_folds(spark, folder),
                                     tasks, F.col("split") == "train2022")
     scores = metrics.official_score(rows, ["evaluation", "task", "method"], views.NORMAL, views.SENSITIVE)
     return rounded(scores, "SE", "SP", "AS", "HS", "Score", digits=6)

@@ -9,6 +9,7 @@ from .. import views
 from ..functions.vectors import grid_readout, pad_right
 from ..operators import pooling, records, signals
 from ..plans.experiments import TEMPERATURES
+from ..session import stored
 from .registry import parts, query, rounded, with_views
 
 W = 8
@@ -111,13 +112,13 @@ SDP = ", ".join(f"round(max(case when dim={i} then v end),4) v{i}" for i in rang
 @query("sdp_pool", with_views(f"select record_id, temperature, {SDP} from sdp where temperature=5 group by all", "sdp"))
 def sdp_pool(spark: SparkSession, folder: str) -> DataFrame:
     """Softmax-distance pooling at one temperature."""
-    return parts(pooling.sdp_pool(views.windows(spark, folder), views.WINDOW_DIM, [5.0]), "features", 4, 4)
+    return parts(pooling.sdp_pool(stored(views.windows(spark, folder), "windows"), views.WINDOW_DIM, [5.0]), "features", 4, 4)
 
 
 @query("sdp_pool_grid", with_views(f"select record_id, temperature, {SDP} from sdp group by all", "sdp"))
 def sdp_pool_grid(spark: SparkSession, folder: str) -> DataFrame:
     """Softmax-distance pooling at the seven temperatures, distances shared."""
-    return parts(pooling.sdp_pool(views.windows(spark, folder), views.WINDOW_DIM, TEMPERATURES), "features", 4, 4)
+    return parts(pooling.sdp_pool(stored(views.windows(spark, folder), "windows"), views.WINDOW_DIM, TEMPERATURES), "features", 4, 4)
 
 
 @query("q75_pool", with_views(f"select record_id, {', '.join(f'round(quantile_cont(f{i},0.75),6) v{i}' for i in range(4))} from wins group by all", "wins"))

@@ -13,7 +13,6 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import ratio
 from ..functions.vectors import double_list
 from .quantiles import counted_quantile
 from .skew import split_hot
@@ -64,9 +63,16 @@ def distances(windows: DataFrame, dim: int, chunk: int) -> DataFrame:
     """
     cut = windows.withColumn("chunk", F.expr(f"window_index div {chunk}"))
     sums = pool(cut, ["record_id", "chunk"], dim, F.sum, extra=[F.count("*").alias("n")])
-    whole = pool(sums.select("record_id", "features", "n"), ["record_id"], dim, F.sum, extra=[F.sum("n").alias("n")])
-    centres = whole.select("record_id", F.transform("features", lambda v: v / F.col("n")).alias("__centre"))
-    placed = sums.select("record_id", "chunk").join(centres, "record_id")
+    if dim <= UNROLL:
+        # One row per chunk: the record's totals are a window over that compact table.
+        record = Window.partitionBy("record_id")
+        total = F.sum("n").over(record)
+        placed = sums.select("record_id", "chunk", F.array(
+            *[F.sum(F.get("features", F.lit(i))).over(record) / total for i in range(dim)]).alias("__centre"))
+    else:
+        whole = pool(sums.select("record_id", "features", "n"), ["record_id"], dim, F.sum, extra=[F.sum("n").alias("n")])
+        centres = whole.select("record_id", F.transform("features", lambda v: v / F.col("n")).alias("__centre"))
+        placed = sums.select("record_id", "chunk").join(centres, "record_id")
     squares = F.zip_with("features", "__centre", lambda x, c: (x - c) * (x - c))
     distance = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v))
     return cut.join(placed, ["record_id", "chunk"]).withColumn("distance", distance).drop("__centre")
@@ -98,15 +104,24 @@ def sdp_pool(windows: DataFrame, dim: int, temperatures: Sequence[float], chunk:
                          F.transform("features", lambda v: v / F.col("total")).alias("features"))
 
 
+def sorted_quantile(x: Column, q: float) -> Column:
+    """Linear quantile as an aggregate over a bounded group."""
+    values = F.sort_array(F.collect_list(x))
+    at = F.lit(q) * (F.size(values) - 1)
+    low, high = F.get(values, F.floor(at).cast("int")), F.get(values, F.ceil(at).cast("int"))
+    return low + (high - low) * (at - F.floor(at))
+
+
 def q75_pool(windows: DataFrame, dim: int, q: float = 0.75, hot_rows: int = 200_000) -> DataFrame:
     """Exact linear quantile of every dimension per record.
 
-    The built-in percentile buffers a group's distinct values, so records with
-    more than ``hot_rows`` windows take the counting form instead.
+    Ordinary records sort their values in the aggregation buffer, which is faster than the
+    built-in percentile's value map.  Records with more than ``hot_rows`` windows take the
+    counting form, so no buffer grows beyond that.
     """
     rows = windows.select("record_id", "features")
     ordinary, hot = split_hot(rows, ["record_id"], hot_rows)
-    plain = pool(ordinary, ["record_id"], dim, lambda x: F.percentile(x, F.lit(q)))
+    plain = pool(ordinary, ["record_id"], dim, lambda x: sorted_quantile(x, q))
     spread = hot.select("record_id", F.posexplode("features").alias("dim", "x"))
     counted = gather(counted_quantile(spread, ["record_id", "dim"], "x", q), ["record_id"], "q", "features")
     return plain.unionByName(counted)
