@@ -10,6 +10,7 @@ from ..functions.vectors import argmax_label, fuse, string_list
 from ..operators import checks, comparison, metrics, probabilities, records, selection
 from ..plans import tables as plans
 from ..plans.experiments import TEMPERATURES
+from ..session import stored
 from .registry import parts, query, rounded, with_views
 
 KEYS = ["dataset", "evaluation", "task"]
@@ -114,7 +115,8 @@ OFFICIAL_SQL = 'round(SE,9) SE, round(SP,9) SP, round("AS",9) "AS", round(HS,9)
 
 
 def official(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.official_score(views.predictions(spark, folder), RUN, views.NORMAL, views.SENSITIVE)
+    cells = stored(metrics.confusion_counts(views.predictions(spark, folder), RUN), "cells")
+    return metrics.official_score_from_counts(cells, RUN, views.NORMAL, views.SENSITIVE)
 
 
 @query("official_score", with_views(f"select evaluation, task, method, {OFFICIAL_SQL} from off", "off"))

@@ -124,9 +124,16 @@ def test_incumbent_needs_more_than_the_margin(spark):
 def test_equal_scores_share_the_better_place(spark):
     fresh = spark.createDataFrame([("e", "t", "m", 0.5), ("e", "u", "m", 0.5)], "evaluation string, task string, method string, score double")
     board = spark.createDataFrame([("e", "t", s) for s in (0.6, 0.5, 0.4)], "evaluation string, task string, score double")
-    got = {r.task: (r.estimated_position, r.comparison_set_size) for r in
-           comparison.insertion_rank(fresh, board, ["evaluation", "task"]).collect()}
-    assert got == {"t": (2, 4), "u": (1, 1)}
+    for bound in (100, 0):
+        rows = comparison.insertion_rank(fresh, board, ["evaluation", "task"], broadcast_systems=bound).collect()
+        assert {r.task: (r.estimated_position, r.comparison_set_size) for r in rows} == {"t": (2, 4), "u": (1, 1)}
+
+
+def test_both_ways_of_placing_agree(spark):
+    fresh = spark.createDataFrame([(e, f"m{i}", i * 37 % 11 / 10) for e in "ab" for i in range(40)], "e string, method string, score double")
+    board = spark.createDataFrame([(e, t, i * 13 % 23 / 20) for e in "ab" for t in "xyz" for i in range(30)], "e string, t string, score double")
+    ways = [sorted(map(tuple, comparison.insertion_rank(fresh, board, ["e"], tables=["t"], broadcast_systems=b).collect())) for b in (1000, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) == 240
 
 
 def test_display_rounds_the_exact_binary_value(spark):
