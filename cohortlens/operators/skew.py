@@ -8,14 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+MOST_HOT_KEYS = 1_000_000
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """``df`` as (rows of ordinary keys, rows of keys with more than ``limit`` rows).
+    """``df`` as (rows of ordinary keys, rows of hot keys).
 
-    The list of hot keys has at most rows / ``limit`` entries.  It is not hinted:
-    AQE broadcasts it when it is small, and when it is empty drops the hot branch.
+    A key is hot when it has more than ``limit`` rows and more than its millionth part of
+    the table.  So at most ``MOST_HOT_KEYS`` keys can be hot, which is the size bound of
+    the broadcast below: rows of a hot key are told apart where they are read and never
+    meet in one shuffle partition.
     """
     keys = list(keys)
-    hot = df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > limit).select(*keys)
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+    total = df.agg(F.count("*")).scalar()
+    hot = (df.groupBy(*keys).agg(F.count("*").alias("__n"))
+           .filter((F.col("__n") > limit) & (F.col("__n") > total / F.lit(MOST_HOT_KEYS))).select(*keys))
+    return (df.join(F.broadcast(hot), keys, "left_anti"), df.join(F.broadcast(hot), keys, "left_semi"))
