@@ -56,12 +56,14 @@ def min_length_mean_pool(chunks: DataFrame, dim: int, frames: str, least: int =
 
 
 def distances(windows: DataFrame, dim: int, chunk: int) -> DataFrame:
-    """Every window with its chunk and its Euclidean distance to the record's mean vector.
+    """Every window vector with its chunk and its Euclidean distance to the record's mean vector.
 
-    The means are built from chunk sums and brought back per (record, chunk), so the join
-    with the windows is spread by chunk and not by record.
+    The windows are shuffled once, by (record, chunk).  Chunk sums, the join with the
+    centres and all later steps per chunk use that same exchange; the null filter, which the
+    join implies anyway, is written out so that both of its readers have the same plan.
     """
-    cut = windows.withColumn("chunk", F.expr(f"window_index div {chunk}"))
+    cut = (windows.select("record_id", F.expr(f"window_index div {chunk}").alias("chunk"), "features")
+           .filter("record_id is not null and chunk is not null").repartition("record_id", "chunk"))
     sums = pool(cut, ["record_id", "chunk"], dim, F.sum, extra=[F.count("*").alias("n")])
     if dim <= UNROLL:
         # One row per chunk: the record's totals are a window over that compact table.
