@@ -29,7 +29,7 @@ def test_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def resampled(spark: SparkSession, folder: str) -> DataFrame:
-    return plans.resample(test_predictions(spark, folder), test_groups(spark, folder), REPLICATES)
+    return plans.resample(test_predictions(spark, folder), REPLICATES)
 
 
 @query("patient_confusions", with_views("select task, method, patient_index, t truth, p predicted, n from cells", "cells"))
@@ -112,7 +112,7 @@ def _interval_sql(points: str, replicates: str, views_needed: tuple[str, ...]) -
     "select draw, task, method, 'Score' metric, Score v from hreps", ("off", "hreps")))
 def bootstrap_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Official score intervals of the readouts and of their differences."""
-    table = plans.bootstrap_challenge(test_predictions(spark, folder), test_groups(spark, folder), views.NORMAL,
+    table = plans.bootstrap_challenge(test_predictions(spark, folder), views.NORMAL,
                                       views.SENSITIVE, PAIRS, REPLICATES)
     return rounded(table, "point_estimate", "ci_lower", "ci_upper")
 
@@ -122,7 +122,7 @@ def bootstrap_tables(spark: SparkSession, folder: str) -> DataFrame:
     """select draw, task, method, unnest(['balanced_accuracy','macro_f1']) metric, unnest([balanced_accuracy,macro_f1]) v from creps""", ("met", "creps")))
 def bootstrap_classification(spark: SparkSession, folder: str) -> DataFrame:
     """Balanced accuracy and macro F1 intervals of the phases and of their differences."""
-    table = plans.bootstrap_classification(test_predictions(spark, folder), test_groups(spark, folder), views.CLASSES, PAIRS, REPLICATES)
+    table = plans.bootstrap_classification(test_predictions(spark, folder), views.CLASSES, PAIRS, REPLICATES)
     return rounded(table, "point_estimate", "ci_lower", "ci_upper")
 
 
@@ -131,14 +131,14 @@ def result_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     rows, everything = views.predictions(spark, folder), views.records(spark, folder)
     tasks = {"T2-1": ("coarse_label", views.COARSE), "T2-2": ("fine_label", views.FINE)}
     encoders = rows.filter("method <> 'Fusion'").withColumn("method", F.concat(F.lit("Enc-"), "method"))
-    tests, groups = test_predictions(spark, folder), test_groups(spark, folder)
+    tests = test_predictions(spark, folder)
     return {
         **plans.manifest_tables(included(everything), everything, tasks, views.SPLITS, views.captures(spark, folder), "Abnormal"),
         **plans.progression_tables(rows, views.CLASSES),
         "tab:encoder_comparison": plans.method_table(encoders, rows, views.CLASSES, "Own", ["Own", "Enc-TG", "Enc-CLS"]),
         **plans.challenge_tables(rows, views.board(spark, folder), views.NORMAL, views.SENSITIVE),
-        "tab:bootstrap_harmonised": plans.bootstrap_classification(tests, groups, views.CLASSES, PAIRS, REPLICATES),
-        "tab:bootstrap_challenge_readouts": plans.bootstrap_challenge(tests, groups, views.NORMAL, views.SENSITIVE, PAIRS, REPLICATES),
+        "tab:bootstrap_harmonised": plans.bootstrap_classification(tests, views.CLASSES, PAIRS, REPLICATES),
+        "tab:bootstrap_challenge_readouts": plans.bootstrap_challenge(tests, views.NORMAL, views.SENSITIVE, PAIRS, REPLICATES),
     }
 
 

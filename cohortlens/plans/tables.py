@@ -82,32 +82,44 @@ def challenge_tables(predictions: DataFrame, board: DataFrame, normal: Mapping[s
     return {"tab:challenge_placements": places, "tab:challenge_readout_comparison": scores}
 
 
-def resample(predictions: DataFrame, groups: DataFrame, replicates: int) -> DataFrame:
-    """Confusion cells per draw of the predictions' patients; ``groups`` lists the patients.
+def patient_cells(predictions: DataFrame) -> tuple[DataFrame, int]:
+    """Stored confusion cells of the predictions' patients, and the number of patients.
 
-    Positions and cells are the only tables derived from the records.  Both are stored,
-    so drawing, packing and counting read those compact tables.
+    The patients and their cells are the only tables taken from the predictions, one pass
+    each.  Points, draws and packing read these compact tables.
     """
-    positions = stored(boot.patient_positions(groups), "positions")
-    cells = stored(boot.patient_confusions(predictions, positions), "cells")
-    return boot.resampled_confusions(cells, boot.draws(predictions.sparkSession, positions.count(), replicates))
+    groups = stored(predictions.select("group_id").distinct(), "groups")
+    cells = boot.patient_confusions(predictions, boot.patient_positions(groups))
+    return stored(cells, "cells"), groups.count()
 
 
-def bootstrap_classification(predictions: DataFrame, groups: DataFrame, classes: Mapping[str, Sequence[str]],
+def _resample(predictions: DataFrame, replicates: int) -> tuple[DataFrame, DataFrame]:
+    """Total confusion counts, and confusion counts per draw."""
+    cells, patients = patient_cells(predictions)
+    totals = cells.groupBy("task", "method", "truth", "predicted").agg(F.sum("n").alias("n"))
+    return totals, boot.resampled_confusions(cells, boot.draws(predictions.sparkSession, patients, replicates))
+
+
+def resample(predictions: DataFrame, replicates: int) -> DataFrame:
+    return _resample(predictions, replicates)[1]
+
+
+def bootstrap_classification(predictions: DataFrame, classes: Mapping[str, Sequence[str]],
                              pairs: Sequence[tuple[str, str]], replicates: int,
                              metrics: Sequence[str] = ("balanced_accuracy", "macro_f1")) -> DataFrame:
     """Intervals for the classification metrics of each method and of the declared differences."""
     by = ["task", "method"]
-    reps = boot.classification_replicates(resample(predictions, groups, replicates), by, classes)
-    points = classification_metrics(predictions, by, classes)
+    totals, drawn = _resample(predictions, replicates)
+    reps = boot.classification_replicates(drawn, by, classes)
+    points = summarise_classes(per_class_counts(totals, by, classes), by)
     return boot.interval_table(boot.to_long(points, by, metrics), boot.to_long(reps, ["draw", *by], metrics), pairs)
 
 
-def bootstrap_challenge(predictions: DataFrame, groups: DataFrame, normal: Mapping[str, str],
-                        sensitive: Mapping[str, Sequence[str]], pairs: Sequence[tuple[str, str]],
-                        replicates: int) -> DataFrame:
+def bootstrap_challenge(predictions: DataFrame, normal: Mapping[str, str], sensitive: Mapping[str, Sequence[str]],
+                        pairs: Sequence[tuple[str, str]], replicates: int) -> DataFrame:
     """Intervals for the official Score of each method and of the declared differences."""
     by = ["task", "method"]
-    reps = boot.challenge_replicates(resample(predictions, groups, replicates), by, normal, sensitive)
-    points = official_score_from_counts(confusion_counts(predictions, by), by, normal, sensitive)
+    totals, drawn = _resample(predictions, replicates)
+    reps = boot.challenge_replicates(drawn, by, normal, sensitive)
+    points = official_score_from_counts(totals, by, normal, sensitive)
     return boot.interval_table(boot.to_long(points, by, ["Score"]), boot.to_long(reps, ["draw", *by], ["Score"]), pairs)
