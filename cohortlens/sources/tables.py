@@ -30,9 +30,12 @@ def read_csv(spark: SparkSession, path: str, columns: Mapping[str, str]) -> Data
     return rows.select(*[F.col(c).cast(t).alias(c) for c, t in columns.items()])
 
 
-def read_payload(spark: SparkSession, path: str, row_schema: str) -> DataFrame:
-    """``{"label", "rows": [...]}`` documents to one row per table row."""
-    docs = spark.read.schema(f"label string, rows array<struct<{row_schema}>>").json(path, multiLine=True)
+def read_payload(spark: SparkSession, path: str, row_schema: str, multi_line: bool = False) -> DataFrame:
+    """``{"label", "rows": [...]}`` documents to one row per table row.
+
+    ``multi_line`` reads indented files of one document each; otherwise each line is a document.
+    """
+    docs = spark.read.schema(f"label string, rows array<struct<{row_schema}>>").json(path, multiLine=multi_line)
     return docs.select("label", F.inline("rows"))
 
 
