@@ -69,7 +69,7 @@ def oof_logreg(spark: SparkSession, folder: str) -> DataFrame:
 
 def record_windows_with_folds(spark: SparkSession, folder: str) -> DataFrame:
     rows = grouped_stratified_folds(views.records(spark, folder), "coarse_label", F.col("split") == "train2022")
-    return rows.select("record_id", "split", "fold_id", "fine_label", "coarse_label")
+    return rows.select("record_id", "group_id", "split", "fold_id", "fine_label", "coarse_label")
 
 
 @query("select_temperature_cv")

@@ -12,7 +12,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import ratio_or_nan, ratio_or_zero
 from .indexing import equal_slices, running_before
 from .metrics import Classes, official_score_from_counts, per_class_counts, summarise_classes
 

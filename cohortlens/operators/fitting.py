@@ -19,6 +19,7 @@ from ..functions.numbers import ratio
 from ..functions.vectors import string_list
 from ..session import together
 from ..sources.tables import with_dimension
+from .checks import fold_leakage
 
 
 @dataclass(frozen=True)
@@ -63,6 +64,12 @@ def logreg_scores(rows: DataFrame, fit: Column, label: str, classes: Sequence[st
     return fit_logreg(rows.filter(fit), label, classes, dim, **options).score(rows)
 
 
+def require_whole_groups(train: DataFrame, fold: str = "fold_id") -> None:
+    """Fail when a group has rows in more than one fold; one aggregation over the group and fold columns."""
+    if "group_id" in train.columns and not fold_leakage(train, fold).isEmpty():
+        raise ValueError("group leakage across folds")
+
+
 def oof_scores(rows: DataFrame, label: str, classes: Sequence[str], dim: int, folds: int = 5, fold: str = "fold_id",
                **options) -> DataFrame:
     """Each training row scored once, by the model fitted on the other folds; rows with fold -1 take no part.
@@ -70,6 +77,7 @@ def oof_scores(rows: DataFrame, label: str, classes: Sequence[str], dim: int, fo
     ``rows`` is read by every fit, so pass a stored table; in folders per fold each fit reads only its own part.
     """
     train = rows.filter(F.col(fold) >= 0)
+    require_whole_groups(train, fold)
 
     def one(k: int) -> DataFrame:
         scorer = fit_logreg(train.filter(F.col(fold) != k), label, classes, dim, **options)

@@ -59,6 +59,16 @@ def side_by_side(rows: DataFrame, keys: Sequence[str], first: str, second: str)
             .agg(of(first).alias("p_first"), of(second).alias("p_second")))
 
 
+def aligned_pairs(first: DataFrame, second: DataFrame, truth: str, key: str = "record_id") -> DataFrame:
+    """Both branches' arrays per record; a record or a truth found in one branch only is an error."""
+    a = first.select(key, F.col(truth).alias("y_true"), F.col("probabilities").alias("p_first"))
+    b = second.select(key, F.col(truth).alias("__truth"), F.col("probabilities").alias("p_second"))
+    joined = a.join(b, key, "full_outer")
+    matched = F.col("p_first").isNotNull() & F.col("p_second").isNotNull() & F.col("y_true").eqNullSafe(F.col("__truth"))
+    return joined.select(key, F.when(matched, F.col("y_true")).otherwise(
+        F.raise_error(F.lit("branch alignment mismatch"))).alias("y_true"), "p_first", "p_second")
+
+
 def alpha_grid(steps: int = 20) -> list[float]:
     return [i / float(steps) for i in range(steps + 1)]
 

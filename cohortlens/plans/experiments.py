@@ -9,11 +9,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import string_list
-from ..operators.fitting import fit_logreg, oof_scores
+from ..operators.fitting import fit_logreg, oof_scores, require_whole_groups
 from ..operators.metrics import classification_metrics, official_score
 from ..operators.pooling import q75_pool, sdp_pool
-from ..operators.probabilities import alpha_grid, alpha_sweep, fuse_tables, predict
+from ..operators.probabilities import aligned_pairs, alpha_grid, alpha_sweep, fuse_tables, predict
 from ..operators.selection import incumbent, mean_over_folds, rank_alphas
 from ..session import stored, together
 
@@ -46,8 +45,7 @@ def choose_alpha(cls_oof: DataFrame, tg_oof: DataFrame, label: str, classes: Seq
 
     The out-of-fold scores are joined once and every alpha is tried inside the row.
     """
-    pairs = (cls_oof.select("record_id", F.col(label).alias("y_true"), F.col("probabilities").alias("p_first"))
-             .join(tg_oof.select("record_id", F.col("probabilities").alias("p_second")), "record_id"))
+    pairs = aligned_pairs(cls_oof, tg_oof, label)
     tried = alpha_sweep(pairs, ["y_true"], classes, alpha_grid())
     return rank_alphas(classification_metrics(tried, ["alpha"], classes, absent="skip"), [])
 
@@ -84,6 +82,7 @@ def select_temperature(pooled: DataFrame, dim: int, label: str, classes: Sequenc
                        **options) -> DataFrame:
     """Official scores per (temperature, fold): each grid value fitted and scored fold by fold on training rows."""
     train = pooled.filter(F.col("fold_id") >= 0)
+    require_whole_groups(train)
 
     def one(temperature: float, fold: int) -> DataFrame:
         rows = train.filter(F.col("temperature") == temperature)

@@ -109,6 +109,16 @@ def test_alpha_tie_goes_to_the_smaller(spark):
     assert probabilities.alpha_grid() == [round(0.05 * i, 10) for i in range(21)]
 
 
+def test_branches_must_cover_the_same_records(spark):
+    def branch(rows):
+        return spark.createDataFrame([(k, t, [0.5, 0.5]) for k, t in rows], "record_id int, y string, probabilities array<double>")
+    full = branch([(1, "a"), (2, "b")])
+    assert probabilities.aligned_pairs(full, full, "y").count() == 2
+    for other in ([(1, "a")], [(1, "a"), (2, "a")]):
+        with pytest.raises(Exception, match="branch alignment mismatch"):
+            probabilities.aligned_pairs(full, branch(other), "y").collect()
+
+
 def incumbent(spark, changes):
     scores = {t: 0.5 for t in (1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0)} | changes
     rows = spark.createDataFrame([("t", t, s) for t, s in scores.items()], "task string, temperature double, mean_score double")

@@ -242,3 +242,10 @@ def test_out_of_fold_scores_cover_the_training_rows_once(spark):
     assert sorted(r.record_id for r in prior) == list(range(10)) and {tuple(r.probabilities) for r in prior} == {(0.5, 0.5)}
     with pytest.raises(ValueError, match="without fit rows"):
         fitting.fit_logreg(df, "label", ["no", "yes", "maybe"], 2)
+
+
+def test_leaking_folds_are_refused(spark):
+    rows = [(i, 7, [float(i)], ["no", "yes"][i % 2], i % 2) for i in range(6)]
+    df = spark.createDataFrame(rows, "record_id int, group_id int, features array<double>, label string, fold_id int")
+    with pytest.raises(ValueError, match="group leakage"):
+        fitting.oof_scores(df, "label", ["no", "yes"], 1, folds=2)
