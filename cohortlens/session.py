@@ -34,10 +34,15 @@ def tune(spark: SparkSession) -> SparkSession:
 def scratch(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's shared checkpoint folder.
 
-    A machine-local folder is used only where the session names none, as in
-    tests on one machine.
+    That is ``spark.checkpoint.dir``, or what ``setCheckpointDir`` was given.  Only a session
+    that runs in one process may do without; its folder is local.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/cohortlens-{purpose}-{uuid.uuid4().hex}"
 
 
@@ -50,7 +55,7 @@ def stored(df: DataFrame, purpose: str, by: Sequence[str] = ()) -> DataFrame:
     """
     place = scratch(df.sparkSession, purpose)
     df.write.partitionBy(*by).parquet(place)
-    return df.sparkSession.read.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
 def together(jobs: Sequence[Callable[[], object]], parallel: int = 8) -> list:
