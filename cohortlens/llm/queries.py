@@ -37,3 +37,11 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from .repeats import remove_repeats
     return (remove_repeats(table(spark, folder, "documents"))
             .select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")))
+
+
+@query("op8_simhash")
+def simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document, links at 4 bits."""
+    from .simhash import hex_digits, near_duplicates
+    return (near_duplicates(table(spark, folder, "documents"))
+            .select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id"))
