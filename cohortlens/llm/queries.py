@@ -45,3 +45,12 @@ def simhash(spark: SparkSession, folder: str) -> DataFrame:
     from .simhash import hex_digits, near_duplicates
     return (near_duplicates(table(spark, folder, "documents"))
             .select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id"))
+
+
+@query("op7_token_counts")
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document, and how much of it 512 tokens hold."""
+    import public_tokenizers
+
+    from .bpe_counts import token_counts as counts
+    return counts(table(spark, folder, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), limit=512)
