@@ -21,8 +21,8 @@ from .packing import narrow, pack, unpack
 from .storing import settled
 from .words import column, small_batches, split_words, word_hashes, word_ids
 
-CHUNK_WORDS = 1 << 21
-PART_OFFERS = 3_000_000
+CHUNK_WORDS = 1 << 20
+PART_OFFERS = 2_000_000
 SCHEMA = "chunk long, n_words long, words binary, rows binary"
 
 
