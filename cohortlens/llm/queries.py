@@ -54,3 +54,31 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
     from .bpe_counts import token_counts as counts
     return counts(table(spark, folder, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), limit=512)
+
+
+@query("op6_sentencepiece")
+def sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded and decoded again: its tokens, a hash of the ids, and what came back."""
+    import public_tokenizers
+
+    from .unigram import decode, encode
+    model = str(public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    coded = encode(docs, model, keep=["text_sha256"]).select("*", F.xxhash64("ids").alias("ids_hash"))
+    back = F.sha2(F.col("decoded").cast("binary"), 256)
+    return decode(coded, model).select("doc_id", "n_tokens", "n_byte_tokens", "ids_hash", back.alias("decoded_sha256"),
+                                       F.coalesce(back == F.col("text_sha256"), F.lit(False)).alias("round_trip"))
+
+
+@query("op9_topk", """
+with v as (select distinct vec_id, [floor(256 * cast(x as double)) for x in embedding] e from embeddings
+ where vec_id is not null and embedding is not null
+ and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0),
+s as (select q.vec_id query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) score
+ from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id),
+r as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score from s)
+select * from r where rank <= 5""")
+def topk(spark: SparkSession, folder: str) -> DataFrame:
+    """The 5 best of every row for the query rows."""
+    from .topk import top_k
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
