@@ -82,3 +82,12 @@ def topk(spark: SparkSession, folder: str) -> DataFrame:
     """The 5 best of every row for the query rows."""
     from .topk import top_k
     return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op1_quality_rules")
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base rules and robust distance of every document."""
+    from .outliers import quality_rules as rules
+    return (rules(table(spark, folder, "documents"))
+            .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                    F.round("distance", 3).alias("distance"), "kept"))
