@@ -57,7 +57,7 @@ def nullable(kind: pa.DataType) -> pa.DataType:
     return pa.list_(nullable(kind.value_type)) if pa.types.is_list(kind) else kind
 
 
-def _one(batches: list[pa.RecordBatch], number: int, with_rows: bool) -> pa.RecordBatch:
+def _one(batches: list[pa.RecordBatch], number: int, with_text: bool) -> pa.RecordBatch:
     table = pa.Table.from_batches(batches).combine_chunks()
     batch = table.to_batches()[0]
     texts = column(batch, "__text")
@@ -67,30 +67,30 @@ def _one(batches: list[pa.RecordBatch], number: int, with_rows: bool) -> pa.Reco
     return pa.RecordBatch.from_pydict({
         "chunk": pa.array([TaskContext.get().partitionId() << 32 | number], pa.int64()),
         "n_words": pa.array([int(offsets[-1])], pa.int64()), "words": pa.array([blob], pa.binary()),
-        "rows": pa.array([to_bytes(batch) if with_rows else None], pa.binary())})
+        "rows": pa.array([to_bytes(batch if with_text else batch.drop_columns(["__text"]))], pa.binary())})
 
 
-def cut(batches: Iterator[pa.RecordBatch], with_rows: bool = True, size: int = CHUNK_WORDS) -> Iterator[pa.RecordBatch]:
+def cut(batches: Iterator[pa.RecordBatch], with_text: bool = True, size: int = CHUNK_WORDS) -> Iterator[pa.RecordBatch]:
     """One row for about ``size`` words (estimated as bytes / 6) of consecutive documents."""
     held: list[pa.RecordBatch] = []
     bytes_held, number = 0, 0
     for batch in small_batches(batches, "__text", most_bytes=6 * size):
         more = pc.sum(pc.binary_length(column(batch, "__text"))).as_py() or 0
         if held and bytes_held + more > 6 * size:
-            yield _one(held, number, with_rows)
+            yield _one(held, number, with_text)
             held, bytes_held, number = [], 0, number + 1
         held.append(batch)
         bytes_held += more
     if held:
-        yield _one(held, number, with_rows)
+        yield _one(held, number, with_text)
 
 
-def chunked(df: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = (), with_rows: bool = True,
+def chunked(df: DataFrame, id_col: str, text_col: str, keep: Sequence[str] = (), with_text: bool = True,
             purpose: str = "chunks", size: int = CHUNK_WORDS) -> tuple[DataFrame, int]:
     """(stored chunk table, number of words in all documents)."""
     rows = df.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"),
                      *([F.struct(*keep).alias("__row")] if keep else []))
-    table = settled(rows.mapInArrow(lambda b: cut(b, with_rows, size), SCHEMA), purpose)
+    table = settled(rows.mapInArrow(lambda b: cut(b, with_text, size), SCHEMA), purpose)
     return table, table.agg(F.sum("n_words")).first()[0] or 0
 
 

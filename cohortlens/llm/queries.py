@@ -91,3 +91,32 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return (rules(table(spark, folder, "documents"))
             .select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                     F.round("distance", 3).alias("distance"), "kept"))
+
+
+@query("op4_quality_classifier")
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document."""
+    from .rule_ensemble import classify
+    return classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_backoff_scores", r"""
+with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+p as (select doc_id, unnest(w) w3, unnest(range(1, len(w) + 1)) i from t),
+g as (select doc_id, i, w3, lag(w3) over d w2, lag(w3, 2) over d w1 from p window d as (partition by doc_id order by i)),
+c1 as (select w3, count(*) n from g group by all),
+c2 as (select w2, w3, count(*) n from g where w2 is not null group by all),
+c3 as (select w1, w2, w3, count(*) n from g where w1 is not null group by all),
+s as (select g.doc_id, case
+  when c3.n >= 2 then ln(c3.n / b.n)
+  when c2.n >= 2 then ln(c2.n / u.n) + case when g.w1 is not null then ln(0.4) else 0 end
+  else ln(c1.n / (select count(*) from p)) + case when g.w1 is not null then 2 * ln(0.4) when g.w2 is not null then ln(0.4) else 0 end
+  end x from g join c1 on g.w3 = c1.w3
+ left join c2 on g.w2 = c2.w2 and g.w3 = c2.w3 left join c3 on g.w1 = c3.w1 and g.w2 = c3.w2 and g.w3 = c3.w3
+ left join c1 u on g.w2 = u.w3 left join c2 b on g.w1 = b.w2 and g.w2 = b.w3)
+select t.doc_id, cast(len(w) as bigint) n_words, round(coalesce(x, 0.0), 3) log_score
+from t left join (select doc_id, sum(x) x from s group by all) r on t.doc_id = r.doc_id""")
+def backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Trigram stupid-backoff score of every document under the counts of all documents."""
+    from .backoff import backoff_scores as scores
+    return scores(table(spark, folder, "documents")).withColumn("log_score", F.round("log_score", 3))
