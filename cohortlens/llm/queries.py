@@ -120,3 +120,67 @@ def backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Trigram stupid-backoff score of every document under the counts of all documents."""
     from .backoff import backoff_scores as scores
     return scores(table(spark, folder, "documents")).withColumn("log_score", F.round("log_score", 3))
+
+
+def _digits(source: str) -> str:
+    return f"try_cast(nullif(regexp_extract({source}, '([0-9]{{1,9}})$', 1), '') as int)"
+
+
+DOMAIN = f"case coalesce({_digits('source')} % 4, 9) when 0 then 'web' when 1 then 'books' when 2 then 'forums' when 3 then 'reference' else 'other' end"
+DOMAIN_WEIGHT = DOMAIN.replace("'web'", "4").replace("'books'", "3").replace("'forums'", "1").replace("'reference'", "2").replace("'other'", "1")
+LANG_WEIGHT = "case when lang = 'en' then 4 when lang in ('de', 'es', 'fr') then 2 else 1 end"
+
+
+def target_levels() -> list:
+    """Domain (by the number of the source), language and source, with their weights."""
+    from .mixing import Level
+    return [Level("domain", F.expr(DOMAIN), F.expr(DOMAIN_WEIGHT)), Level("lang", F.col("lang"), F.expr(LANG_WEIGHT)),
+            Level("source", F.col("source"), F.lit(1))]
+
+
+def _shared(name: str, nodes: str, parents: str, key: str) -> str:
+    """SQL of one level of the budget tree, from ``nodes`` (parents, key, weight, capacity, budget)."""
+    order = f"partition by {parents} order by capacity / weight, {key}"
+    return f"""{name}_a as (select *, cast(coalesce(sum(capacity) over (u rows between unbounded preceding and 1 preceding), 0) as hugeint) c,
+ cast(sum(weight) over (u rows between current row and unbounded following) as hugeint) w from {nodes} window u as ({order})),
+{name}_b as (select *, capacity * w <= (budget - c) * weight as satisfied from {name}_a),
+{name} as (select *, cast(case when satisfied then capacity else (budget - min(c) filter (where not satisfied) over (partition by {parents})) * weight
+ // max(w) filter (where not satisfied) over (partition by {parents}) end as bigint) quota from {name}_b)"""
+
+
+MIXING_SQL = rf"""with t as (select doc_id, coalesce('=' || ({DOMAIN}), 'null') "domain", coalesce('=' || lang, 'null') lang, coalesce('=' || source, 'null') source,
+ {DOMAIN_WEIGHT} wd, {LANG_WEIGHT} wl, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) n_tokens from documents),
+leaf as (select "domain", lang, source, max(wd) wd, max(wl) wl, 1 ws, cast(sum(n_tokens) as hugeint) tokens, 4 * cast(sum(n_tokens) as hugeint) capacity from t group by 1, 2, 3 having sum(n_tokens) > 0),
+n1 as (select "domain", max(wd) weight, sum(capacity) capacity, (select least(sum(capacity), sum(tokens) * 5 // 4) from leaf) budget, 1 one from leaf group by 1),
+{_shared("s1", "n1", "one", '"domain"')},
+n2 as (select "domain", lang, max(wl) weight, sum(leaf.capacity) capacity, any_value(quota) budget from leaf join (select "domain", quota from s1) using ("domain") group by 1, 2),
+{_shared("s2", "n2", '"domain"', "lang")},
+n3 as (select "domain", lang, source, ws weight, leaf.capacity, quota budget, tokens from leaf join (select "domain", lang, quota from s2) using ("domain", lang)),
+{_shared("s3", "n3", '"domain", lang', "source")},
+e as (select t.*, quota // tokens "full", quota % tokens rest, md5(concat_ws('|', '1', cast(quota // tokens as varchar), coalesce(cast(doc_id as varchar), 'null'))) h
+ from t join (select "domain", lang, source, quota, tokens from s3 where quota > 0) using ("domain", lang, source)),
+r as (select *, sum(n_tokens) over (partition by "domain", lang, source order by h, doc_id, n_tokens rows unbounded preceding) upto from e),
+x as (select *, unnest(range(cast("full" + case when upto <= rest then 1 else 0 end as bigint))) epoch from r)
+select doc_id, "domain", lang, source, cast(n_tokens as bigint) n_tokens, cast(epoch as int) epoch from x"""
+
+
+@query("op2_mixing", MIXING_SQL)
+def mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents and epochs that spend five quarters of all tokens by target weights, four epochs at most."""
+    from .mixing import mix
+    return mix(table(spark, folder, "documents"), target_levels(), budget_share=(5, 4), max_epochs=4, seed=1)
+
+
+@query("op3_chat_snapshots", r"""
+with t as (select distinct conv_id, turn, role, text,
+ md5(concat(coalesce('r' || role, 'n'), chr(31), coalesce('t' || text, 'n'))) d from conversations where conv_id is not null),
+o as (select *, row_number() over w pos, string_agg(d, '') over (w rows unbounded preceding) p, count(*) over (partition by conv_id) n
+ from t window w as (partition by conv_id order by turn nulls first, d)),
+k as (select min(conv_id) conv_id, count(*) n_copies from o where pos = n and p not in (select p from o where pos < n) group by p)
+select o.conv_id, any_value(n) n_turns, any_value(n_copies) n_copies,
+ string_agg('<|' || replace(coalesce(role, 'unknown'), '<|', '< |') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || chr(10), '' order by pos) || '<|end|>' rendered
+from o join k on o.conv_id = k.conv_id group by o.conv_id""")
+def chat_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """Maximal conversations as chat text."""
+    from .snapshots import render_maximal
+    return render_maximal(table(spark, folder, "conversations"))
