@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Bootstrap draws of the registered queries; the protocol's own number, 10,000, is a parameter like any other.
+REPLICATES = 1000
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
@@ -115,26 +117,31 @@ VIEWS = {
     "embl": "select record_id, split, unnest(range(0,64)) dim, unnest(features) x from embs",
     "docs": """select d.doc_id record_id, source group_id, case when d.doc_id%5=0 then 'test' else 'train' end split, sha256(text) content, quality, toxic
  from documents d left join labels l on d.doc_id=l.doc_id""",
-    "patients": "select group_id, row_number() over (order by group_id)-1 patient_index from (select distinct group_id from recs where split='test2022')",
-    "draws": """select d.range draw, k.patient_index slot,
- ('0x'||substr(md5(concat('boot:',d.range,':',k.patient_index)),1,15))::bigint % (select count(*) from patients) patient_index
- from range(50) d cross join patients k""",
-    "cells": """select task, method, patient_index, y_true t, y_pred p, count(*) n from tp join patients using (group_id)
- where evaluation='test2022' group by all""",
-    "resampled": "select draw, task, method, t, p, sum(n)::bigint n from draws join cells using (patient_index) group by all",
+    "tpd": "select * from tp where evaluation='test2022' and (task='T2-1' or group_id%3<>0)",
+    "patients": """select task, group_id, row_number() over (partition by task order by group_id)-1 patient_index, count(*) over (partition by task) patients
+ from (select distinct task, group_id from tpd)""",
+    "draws": f"""select task, d.range draw, k.patient_index slot,
+ ('0x'||substr(md5(concat('boot:',task,':',d.range,':',k.patient_index)),1,15))::bigint % patients patient_index
+ from range({REPLICATES}) d cross join patients k""",
+    "cells": """select task, method, patient_index, y_true t, y_pred p, count(*) n from tpd join patients using (task, group_id) group by all""",
+    "resampled": f"""select draw, task, method, t, p, sum(n)::bigint n from (select draw, task, method, t, p, n from draws join cells using (task, patient_index)
+ union all select d.range, task, method, t, p, 0 from range({REPLICATES}) d cross join (select distinct task, method, t, p from cells)) group by all""",
+    "resampledp": "select * from resampled union all select -1, task, method, t, p, sum(n)::bigint from cells group by all",
     "rpc": """select draw, task, method, cls, coalesce(sum(case when t=cls and p=cls then n end),0) tp,
  coalesce(sum(case when t=cls then n end),0) sup, coalesce(sum(case when p=cls then n end),0) prd
- from resampled join cl using (task) group by all""",
-    "creps": """select draw, task, method, avg(case when sup=0 then 'nan'::double else tp::double/sup end) balanced_accuracy,
+ from resampledp join cl using (task) group by all""",
+    "crepsp": """select draw, task, method, avg(case when sup=0 then 'nan'::double else tp::double/sup end) balanced_accuracy,
  avg(case when sup+prd=0 then 0.0::double else 2.0::double*tp/(sup+prd) end) macro_f1,
  sum(tp)::double/sum(sup)::double accuracy from rpc group by all""",
+    "creps": "select * from crepsp where draw>=0",
     "hreps0": """select draw, task, method,
  coalesce(sum(case when t in ('Abnormal','2-HIGH','3-MEDIUM','4-NOT SPECIFIED') and t=p then n end),0)::double
   /sum(case when t in ('Abnormal','2-HIGH','3-MEDIUM','4-NOT SPECIFIED') then n end) SE,
  coalesce(sum(case when t in ('Normal','1-URGENT') and t=p then n end),0)::double/sum(case when t in ('Normal','1-URGENT') then n end) SP
- from resampled group by all""",
-    "hreps": """select *, (SE+SP)/2 "AS", case when SE+SP=0 then 0.0::double else 2*SE*SP/(SE+SP) end HS,
+ from resampledp group by all""",
+    "hrepsp": """select *, (SE+SP)/2 "AS", case when SE+SP=0 then 0.0::double else 2*SE*SP/(SE+SP) end HS,
  ((SE+SP)/2+case when SE+SP=0 then 0.0::double else 2*SE*SP/(SE+SP) end)/2 Score from hreps0""",
+    "hreps": "select * from hrepsp where draw>=0",
     "foldg": """select group_id, (row_number() over (partition by main order by md5(group_id::varchar), group_id)-1)%5 fold_id from
  (select group_id, coarse_label main from (select group_id, coarse_label,
    row_number() over (partition by group_id order by count(*) desc, coarse_label) rk
@@ -170,9 +177,9 @@ VIEWS = {
 DEPENDS = {
     "raws": ("recs", "fine", "meth"), "scores_long": ("raws",), "scores3": ("scores_long",), "pred3": ("scores3",),
     "tp": ("pred3",), "conf": ("tp",), "pc": ("conf", "cl"), "pr": ("pc",), "met": ("pr",), "off0": ("tp",), "off": ("off0",),
-    "winl": ("wins",), "embl": ("embs",), "patients": ("recs",), "draws": ("patients",), "cells": ("tp", "patients"),
-    "resampled": ("draws", "cells"), "rpc": ("resampled", "cl"), "creps": ("rpc",), "hreps0": ("resampled",),
-    "hreps": ("hreps0",), "foldg": ("recs",), "folded": ("foldg",), "sweep": ("scores_long", "alphas"),
+    "winl": ("wins",), "embl": ("embs",), "tpd": ("tp",), "patients": ("tpd",), "draws": ("patients",), "cells": ("tpd", "patients"),
+    "resampled": ("draws", "cells"), "resampledp": ("resampled",), "rpc": ("resampledp", "cl"), "crepsp": ("rpc",), "creps": ("crepsp",), "hreps0": ("resampledp",),
+    "hrepsp": ("hreps0",), "hreps": ("hrepsp",), "foldg": ("recs",), "folded": ("foldg",), "sweep": ("scores_long", "alphas"),
     "sweepc": ("sweep", "fine"), "sweepm": ("sweepc",), "tfold": ("scores_long", "temps"), "tscore0": ("tfold",),
     "tscore": ("tscore0",), "tmean": ("tscore",), "sdpd": ("winl",), "sdp": ("sdpd", "temps"),
 }

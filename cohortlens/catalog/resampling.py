@@ -10,52 +10,43 @@ from ..operators import bootstrap as boot
 from ..operators import checks, metrics, report, verify
 from ..operators.records import included
 from ..plans import tables as plans
-from ..session import scratch
+from ..session import scratch, stored
 from ..sources import sinks
-from .registry import query, rounded, with_views
+from .registry import REPLICATES, query, rounded, with_views
 from .scoring import RUN, THREE, official
 
-REPLICATES = 50
 BY = ["task", "method"]
 PAIRS = [("TG", "CLS"), ("Fusion", "CLS"), ("Fusion", "TG")]
 
 
-def test_predictions(spark: SparkSession, folder: str) -> DataFrame:
-    return views.predictions(spark, folder).filter("evaluation = 'test2022'")
-
-
-def test_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return views.records(spark, folder).filter("split = 'test2022'").select("group_id")
-
-
-def resampled(spark: SparkSession, folder: str) -> DataFrame:
-    return plans.resample(test_predictions(spark, folder), REPLICATES)
+def resampled(spark: SparkSession, folder: str) -> plans.Resampled:
+    return plans.resample(views.drawn_predictions(spark, folder), REPLICATES)
 
 
 @query("patient_confusions", with_views("select task, method, patient_index, t truth, p predicted, n from cells", "cells"))
 def patient_confusions(spark: SparkSession, folder: str) -> DataFrame:
     """Confusion cells per patient."""
-    return boot.patient_confusions(test_predictions(spark, folder), boot.patient_positions(test_groups(spark, folder)))
+    return plans.patient_cells(views.drawn_predictions(spark, folder))[0]
 
 
-@query("bootstrap_draws", with_views("select draw, slot, patient_index from draws", "draws"))
+@query("bootstrap_draws", with_views("select task, draw, slot, patient_index from draws", "draws"))
 def bootstrap_draws(spark: SparkSession, folder: str) -> DataFrame:
     """Hash-based patient draws with replacement."""
-    return boot.draws(spark, test_groups(spark, folder).distinct().count(), REPLICATES)
+    return boot.draws(spark, plans.patient_cells(views.drawn_predictions(spark, folder))[1], REPLICATES)
 
 
 @query("resampled_confusions", with_views("select draw, task, method, t truth, p predicted, n from resampled", "resampled"))
 def resampled_confusions(spark: SparkSession, folder: str) -> DataFrame:
     """Confusion cells per draw with multiplicity."""
-    return resampled(spark, folder)
+    return resampled(spark, folder).drawn
 
 
 def class_replicates(spark: SparkSession, folder: str) -> DataFrame:
-    return boot.classification_replicates(resampled(spark, folder), BY, views.CLASSES)
+    return boot.classification_replicates(resampled(spark, folder).drawn, BY, views.CLASSES)
 
 
 def score_replicates(spark: SparkSession, folder: str) -> DataFrame:
-    return boot.challenge_replicates(resampled(spark, folder), BY, views.NORMAL, views.SENSITIVE)
+    return boot.challenge_replicates(resampled(spark, folder).drawn, BY, views.NORMAL, views.SENSITIVE)
 
 
 @query("classification_replicates", with_views("""select draw, task, method, round(balanced_accuracy,9) balanced_accuracy,
@@ -108,41 +99,42 @@ def _interval_sql(points: str, replicates: str, views_needed: tuple[str, ...]) -
 
 
 @query("bootstrap_tables", _interval_sql(
-    "select task, method, 'Score' metric, Score v from off where evaluation='test2022'",
-    "select draw, task, method, 'Score' metric, Score v from hreps", ("off", "hreps")))
+    "select task, method, 'Score' metric, Score v from hrepsp where draw=-1",
+    "select draw, task, method, 'Score' metric, Score v from hreps", ("hreps",)))
 def bootstrap_tables(spark: SparkSession, folder: str) -> DataFrame:
     """Official score intervals of the readouts and of their differences."""
-    table = plans.bootstrap_challenge(test_predictions(spark, folder), views.NORMAL,
-                                      views.SENSITIVE, PAIRS, REPLICATES)
+    table = plans.bootstrap_challenge(resampled(spark, folder), views.NORMAL, views.SENSITIVE, PAIRS)
     return rounded(table, "point_estimate", "ci_lower", "ci_upper")
 
 
 @query("bootstrap_classification", _interval_sql(
-    """select task, method, unnest(['balanced_accuracy','macro_f1']) metric, unnest([balanced_accuracy,macro_f1]) v from met where evaluation='test2022'""",
-    """select draw, task, method, unnest(['balanced_accuracy','macro_f1']) metric, unnest([balanced_accuracy,macro_f1]) v from creps""", ("met", "creps")))
+    """select task, method, unnest(['balanced_accuracy','macro_f1']) metric, unnest([balanced_accuracy,macro_f1]) v from crepsp where draw=-1""",
+    """select draw, task, method, unnest(['balanced_accuracy','macro_f1']) metric, unnest([balanced_accuracy,macro_f1]) v from creps""", ("creps",)))
 def bootstrap_classification(spark: SparkSession, folder: str) -> DataFrame:
     """Balanced accuracy and macro F1 intervals of the phases and of their differences."""
-    table = plans.bootstrap_classification(test_predictions(spark, folder), views.CLASSES, PAIRS, REPLICATES)
+    table = plans.bootstrap_classification(resampled(spark, folder), views.CLASSES, PAIRS)
     return rounded(table, "point_estimate", "ci_lower", "ci_upper")
 
 
 def result_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """All labelled result tables of the engine from the given data."""
-    rows, everything = views.predictions(spark, folder), views.records(spark, folder)
+    rows, everything = stored(views.predictions(spark, folder), "predictions"), views.records(spark, folder)
     tasks = {"T2-1": ("coarse_label", views.COARSE), "T2-2": ("fine_label", views.FINE)}
     encoders = rows.filter("method <> 'Fusion'").withColumn("method", F.concat(F.lit("Enc-"), "method"))
-    tests = test_predictions(spark, folder)
+    drawn = plans.resample(views.drawn(rows), REPLICATES)
+    own = {"binary": ("binary_label", views.BINARY_LABELS), "quarter": ("coarse_label", views.QUARTER_LABELS)}
     return {
+        "tab:source_class_distribution": metrics.class_distribution(views.features(spark, folder), own, ["train", "test2022", "test2023"]),
         **plans.manifest_tables(included(everything), everything, tasks, views.SPLITS, views.captures(spark, folder), "Abnormal"),
         **plans.progression_tables(rows, views.CLASSES),
         "tab:encoder_comparison": plans.method_table(encoders, rows, views.CLASSES, "Own", ["Own", "Enc-TG", "Enc-CLS"]),
         **plans.challenge_tables(rows, views.board(spark, folder), views.NORMAL, views.SENSITIVE),
-        "tab:bootstrap_harmonised": plans.bootstrap_classification(tests, views.CLASSES, PAIRS, REPLICATES),
-        "tab:bootstrap_challenge_readouts": plans.bootstrap_challenge(tests, views.NORMAL, views.SENSITIVE, PAIRS, REPLICATES),
+        "tab:bootstrap_harmonised": plans.bootstrap_classification(drawn, views.CLASSES, PAIRS),
+        "tab:bootstrap_challenge_readouts": plans.bootstrap_challenge(drawn, views.NORMAL, views.SENSITIVE, PAIRS),
     }
 
 
-@query("result_bundle", with_views("""select 'tab:class_distribution' "label", 24::bigint "rows" union all
+@query("result_bundle", with_views("""select 'tab:class_distribution' "label", 24::bigint "rows" union all select 'tab:source_class_distribution', 18 union all
  select 'tab:challenge_class_distribution', 24 union all
  select 'tab:device_distribution', count(*) from (select distinct split, device from recs where inclusion_status='included') union all
  select 'tab:single_window_event_capture', count(distinct dataset) from caps where binary_label='Abnormal' union all
@@ -237,8 +229,9 @@ def table_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("table_fingerprint", with_views("""select count(*) "rows", """ + ", ".join(
-    f"sum(('0x'||substr(h,{1 + 5 * i},5))::bigint)::bigint h{i}" for i in range(4)) + """ from (select sha256(concat_ws('|', record_id::varchar, group_id::varchar, split,
- fine_label, coalesce(exclusion_reason,'\\N'))) h from recs)""", "recs"))
+    f"sum(('0x'||substr(h,{1 + 5 * i},5))::bigint)::bigint h{i}" for i in range(4)) + """ from (select sha256(concat('record_id:bigint,group_id:bigint,split:string,fine_label:string,exclusion_reason:string',
+ 'v', length(record_id::varchar), ':', record_id, 'v', length(group_id::varchar), ':', group_id, 'v', length(split), ':', split,
+ 'v', length(fine_label), ':', fine_label, coalesce('v'||length(exclusion_reason)||':'||exclusion_reason,'n'))) h from recs)""", "recs"))
 def table_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     """Order-insensitive content hash of the manifest."""
     return verify.table_fingerprint(views.records(spark, folder), ["record_id", "group_id", "split", "fine_label", "exclusion_reason"])

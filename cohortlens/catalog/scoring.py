@@ -179,7 +179,7 @@ def single_vs_dual(spark: SparkSession, folder: str) -> DataFrame:
                    *[f"{p}_{m}" for p in ("single", "dual", "delta") for m in THREE])
 
 
-@query("insertion_rank", with_views("""select evaluation, task, tbl published_table, method, round(o.Score,9) score,
+@query("insertion_rank", with_views("""select evaluation, task, tbl published_table, method, 'estimated afterwards; never submitted' status, round(o.Score,9) score,
  1+count(*) filter (b.score>o.Score) estimated_position, 1+count(*) comparison_set_size from off o join board b using (evaluation, task)
  where method='Fusion' group by evaluation, task, tbl, method, o.Score""", "off", "board"))
 def insertion_rank(spark: SparkSession, folder: str) -> DataFrame:
@@ -198,14 +198,16 @@ def insertion_rank_pooled(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(comparison.insertion_rank(scores, views.board(spark, folder), ["evaluation", "task"]), "score")
 
 
-@query("max_abs_diff", with_views("""select a.split, count(*) "rows", round(max(d),9) max_abs_diff, max(d)=0 exact from (
- select a.split, a.record_id, max(abs(a.p-b.p)) d from scores_long a join scores_long b on a.record_id=b.record_id and a.j=b.j
- and a.method='CLS' and b.method='TG' group by all) a group by all""", "scores_long"))
+@query("max_abs_diff", with_views("""select coalesce(a.split,b.split) split, count(distinct case when a.j is not null and b.j is not null then a.record_id end) "rows",
+ count(distinct case when b.j is null then a.record_id end) only_left, count(distinct case when a.j is null then b.record_id end) only_right,
+ round(max(abs(a.p-b.p)),9) max_abs_diff, coalesce(bool_and(a.j is not null and b.j is not null and a.p=b.p),true) exact
+ from (select * from scores_long where method='CLS' and record_id%7<>0) a
+ full join (select * from scores_long where method='TG' and record_id%11<>0) b on a.record_id=b.record_id and a.j=b.j group by all""", "scores_long"))
 def max_abs_diff(spark: SparkSession, folder: str) -> DataFrame:
-    """Largest probability difference between two runs per split."""
+    """Largest probability difference between two runs per split, each of which lacks records of the other."""
     rows = views.scores(spark, folder, fused=False)
-    left, right = rows.filter("method = 'CLS'"), rows.filter("method = 'TG'")
-    return rounded(checks.max_abs_diff(left, right, ["record_id"], "probabilities", ["split"]), "max_abs_diff")
+    left, right = rows.filter("method = 'CLS' and record_id % 7 <> 0"), rows.filter("method = 'TG' and record_id % 11 <> 0")
+    return rounded(checks.max_abs_diff(left, right, ["record_id", "split"], "probabilities", ["split"]), "max_abs_diff")
 
 
 @query("decode_probabilities", with_views("""select record_id, method, 5 classes, 5 "values", round(max(case when j=0 then p end),9) first_p

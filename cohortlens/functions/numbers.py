@@ -29,6 +29,8 @@ def fixed_decimals(value: Column, decimals: int) -> Column:
     The built-in formatter rounds the shortest decimal text instead and so moves
     ties.  Here the value is split into a 24-bit head and an exact tail, which
     makes the distance to the rounding point exact for display-sized numbers.
+    From 2**53 / 10**decimals on, the whole part is taken apart exactly (below 2**106, about 8e31) and the
+    fraction has so few bits that its product with the scale is exact.  Null stays null; infinity prints as ``inf``.
     """
     scale = float(10 ** decimals)
     size = F.abs(value)
@@ -38,5 +40,16 @@ def fixed_decimals(value: Column, decimals: int) -> Column:
     over = (head * scale - low - 0.5) + tail * scale
     units = F.when((over > 0) | ((over == 0) & (low % 2 == 1)), low + 1).otherwise(low)
     text = F.format_string(f"%.{decimals}f", units / scale)
-    return F.when(F.isnan(value), F.lit("nan")).otherwise(
-        F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), text))
+    safe = F.when(size < 2.0 ** 106, size)
+    high = F.floor(safe / 2.0 ** 53)
+    rest = safe - high * 2.0 ** 53
+    part = F.bround((rest - F.floor(rest)) * scale, 0).cast("long")
+    carry = F.when(part == 10 ** decimals, 1).otherwise(0)
+    whole = high.cast("decimal(19,0)") * F.lit(2 ** 53).cast("decimal(16,0)") + (F.floor(rest) + carry).cast("decimal(19,0)")
+    digits = F.lpad(F.when(carry == 1, 0).otherwise(part).cast("string"), decimals, "0")
+    large = F.concat(whole.cast("string"), F.lit("." if decimals else ""), digits if decimals else F.lit(""))
+    large = F.coalesce(large, F.format_string(f"%.{decimals}f", size))
+    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    return (F.when(value.isNull(), F.lit(None).cast("string")).when(F.isnan(value), F.lit("nan"))
+            .when(size == float("inf"), F.concat(sign, F.lit("inf")))
+            .when(size >= 2.0 ** 53 / scale, F.concat(sign, large)).otherwise(F.concat(sign, text)))

@@ -8,11 +8,12 @@ storage, are the same for every method, and can be made in any number of tasks.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .indexing import equal_slices, running_before
+from .indexing import running_before
 from .metrics import Classes, official_score_from_counts, per_class_counts, summarise_classes
 
 ROWS_PER_TASK = 4_000_000
@@ -20,10 +21,9 @@ ROWS_PER_TASK = 4_000_000
 BROADCAST_CELLS = 2_000_000
 
 
-def patient_positions(records: DataFrame, group: str = "group_id", slices: int = 1024) -> DataFrame:
-    """Position of every distinct group in sorted order, numbered slice by slice."""
-    groups = records.select(group).distinct()
-    return running_before(groups, [F.col(group)], [equal_slices(records, F.col(group), slices)], "patient_index")
+def patient_positions(records: DataFrame, group: str = "group_id", by: Sequence[str] = ("task",)) -> DataFrame:
+    """Position of every distinct group in sorted order, per ``by``: every task has its own patients."""
+    return running_before(records.select(*by, group).distinct(), [F.col(group)], "patient_index", keys=by)
 
 
 def patient_confusions(predictions: DataFrame, positions: DataFrame, by: Sequence[str] = ("task", "method"),
@@ -31,28 +31,32 @@ def patient_confusions(predictions: DataFrame, positions: DataFrame, by: Sequenc
     """Confusion cells per patient; combined on the group before positions are attached."""
     cells = (predictions.groupBy(*by, group, F.col("y_true").alias("truth"), F.col("y_pred").alias("predicted"))
              .agg(F.count("*").alias("n")))
-    return cells.join(positions, group).drop(group)
+    return cells.join(positions, ["task", group]).drop(group)
 
 
-def draws(spark: SparkSession, patients: int, replicates: int) -> DataFrame:
-    """``(draw, slot, patient_index)``: ``patients`` slots per draw, filled with replacement.
+def draws(spark: SparkSession, patients: Mapping[str, int], replicates: int) -> DataFrame:
+    """``(task, draw, slot, patient_index)``: per task as many slots per draw as it has patients, filled with replacement.
 
-    The table is a range, so its tasks are even, the planner knows its true size and
-    never broadcasts it, and one task holds whole draws: sums per draw are all but
-    complete before they are shuffled.
+    All methods of a task share its draws.  The table is a range per task, so its tasks are even, the
+    planner knows its true size and never broadcasts it, and one task holds whole draws: sums per
+    draw are all but complete before they are shuffled.
     """
-    rows = patients * replicates
-    parts = max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
-    ids = spark.range(0, rows, 1, parts).select(
-        F.expr(f"id div {patients}").alias("draw"), (F.col("id") % patients).alias("slot"))
-    text = F.concat(F.lit("boot:"), F.col("draw").cast("string"), F.lit(":"), F.col("slot").cast("string"))
-    number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-    return ids.select("draw", "slot", F.pmod(number, F.lit(patients).cast("long")).alias("patient_index"))
-
-
-def resampled_confusions(cells: DataFrame, drawn: DataFrame, by: Sequence[str] = ("task", "method"),
+    def one(task: str, count: int) -> DataFrame:
+        rows = count * replicates
+        parts = max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+        ids = spark.range(0, rows, 1, parts).select(
+            F.lit(task).alias("task"), F.expr(f"id div {max(count, 1)}").alias("draw"), (F.col("id") % max(count, 1)).alias("slot"))
+        text = F.concat_ws(":", F.lit("boot"), "task", F.col("draw").cast("string"), F.col("slot").cast("string"))
+        number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+        return ids.select("task", "draw", "slot", F.pmod(number, F.lit(max(count, 1)).cast("long")).alias("patient_index"))
+    return reduce(DataFrame.unionByName, [one(t, n) for t, n in sorted(patients.items())])
+
+
+def resampled_confusions(cells: DataFrame, drawn: DataFrame, replicates: int, by: Sequence[str] = ("task", "method"),
                          broadcast_cells: int = BROADCAST_CELLS) -> DataFrame:
-    """Confusion cells per draw; a patient drawn twice counts twice.
+    """Confusion cells per draw; a patient drawn twice counts twice, a cell that no drawn patient has counts zero.
+
+    So a method without any record in a draw is there with empty classes, and its metrics are NaN.
 
     Every distinct (method, labels) cell gets a small number; there are at most
     methods x classes^2 of them.  A patient's cells are packed into one row of
@@ -63,11 +67,12 @@ def resampled_confusions(cells: DataFrame, drawn: DataFrame, by: Sequence[str] =
     """
     labels = [*by, "truth", "predicted"]
     codes = cells.select(*labels).distinct().withColumn("cell", F.row_number().over(Window.orderBy(*labels)))
-    packed = (cells.join(codes, labels).groupBy("patient_index")
+    packed = (cells.join(codes, labels).groupBy("task", "patient_index")
               .agg(F.array_agg(F.struct("cell", "n")).alias("cells")))
     packed = F.broadcast(packed) if cells.count() <= broadcast_cells else packed.hint("shuffle_hash")
-    hits = drawn.select("draw", "patient_index").join(packed, "patient_index")
-    sums = hits.select("draw", F.inline("cells")).groupBy("draw", "cell").agg(F.sum("n").alias("n"))
+    hits = drawn.select("task", "draw", "patient_index").join(packed, ["task", "patient_index"]).select("draw", F.inline("cells"))
+    nothing = codes.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))).alias("draw"), "cell", F.lit(0).cast("long").alias("n"))
+    sums = hits.unionByName(nothing).groupBy("draw", "cell").agg(F.sum("n").alias("n"))
     return sums.join(codes, "cell").select("draw", *labels, "n")
 
 

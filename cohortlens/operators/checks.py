@@ -69,10 +69,14 @@ def branch_alignment(left: DataFrame, right: DataFrame, keys: Sequence[str]) ->
 
 
 def universe_difference(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
-    """Identifiers on one side only, as ``missing`` or ``unexpected``; no rows means equal sets."""
-    missing = expected.select(key).exceptAll(actual.select(key)).withColumn("state", F.lit("missing"))
-    extra = actual.select(key).exceptAll(expected.select(key)).withColumn("state", F.lit("unexpected"))
-    return missing.unionByName(extra)
+    """Identifiers on one side only, as ``missing`` or ``unexpected``; no rows means equal sets.
+
+    Sides are compared as sets: repeats do not count, null is an identifier like any other.
+    """
+    sides = (expected.select(key, F.lit(True).alias("e"), F.lit(False).alias("a"))
+             .unionByName(actual.select(key, F.lit(False).alias("e"), F.lit(True).alias("a"))))
+    return (sides.groupBy(key).agg(F.bool_or("e").alias("e"), F.bool_or("a").alias("a")).filter("e <> a")
+            .select(key, F.when(F.col("e"), F.lit("missing")).otherwise(F.lit("unexpected")).alias("state")))
 
 
 def fold_leakage(records: DataFrame, fold: str = "fold_id", group: str = "group_id") -> DataFrame:
@@ -92,14 +96,23 @@ def ordered_distinct(df: DataFrame, column: str) -> DataFrame:
 
 
 def max_abs_diff(left: DataFrame, right: DataFrame, keys: Sequence[str], vector: str, by: Sequence[str] = ()) -> DataFrame:
-    """Largest element difference between two runs, and whether every row is exactly equal."""
+    """Largest element difference between two runs, and whether they hold exactly the same rows.
+
+    ``rows`` are on both sides, ``only_left`` and ``only_right`` on one; any of these, or vectors of different
+    lengths, make the runs unequal.  Different lengths, or a number against none, differ by infinity.  ``by``
+    columns are among the ``keys``.
+    """
     from ..functions.vectors import max_abs_difference
-    other = right.select(*keys, F.col(vector).alias("__other"))
-    joined = left.join(other, list(keys))
-    return joined.groupBy(*by).agg(
-        F.count("*").alias("rows"),
-        F.max(max_abs_difference(F.col(vector), F.col("__other"))).alias("max_abs_diff"),
-        F.bool_and(F.col(vector).eqNullSafe(F.col("__other"))).alias("exact"))
+    a = left.select(*keys, F.col(vector).alias("__a"), F.lit(True).alias("__in_a"))
+    b = right.select(*keys, F.col(vector).alias("__b"), F.lit(True).alias("__in_b"))
+    both = F.col("__in_a").isNotNull() & F.col("__in_b").isNotNull()
+    equal = F.col("__a").eqNullSafe(F.col("__b"))
+    gap = F.when(both & ~equal, F.coalesce(F.when(F.size("__a") == F.size("__b"), max_abs_difference(F.col("__a"), F.col("__b"))),
+                                           F.lit(float("inf")))).when(both, F.lit(0.0))
+    return a.join(b, list(keys), "full_outer").groupBy(*by).agg(
+        F.count_if(both).alias("rows"), F.count_if(F.col("__in_b").isNull()).alias("only_left"),
+        F.count_if(F.col("__in_a").isNull()).alias("only_right"), F.max(gap).alias("max_abs_diff"),
+        F.bool_and(both & equal).alias("exact"))
 
 
 def coverage(expected: Sequence[str], produced: DataFrame, label: str = "label") -> DataFrame:

@@ -7,9 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .indexing import equal_slices, running_before
+from .indexing import running_before
 
-BROADCAST_SYSTEMS = 10_000
 METRICS = ("balanced_accuracy", "macro_f1", "accuracy")
 
 
@@ -28,46 +27,26 @@ def single_vs_dual(single: DataFrame, dual: DataFrame, keys: Sequence[str], metr
         {f"delta_{m}": F.col(f"dual_{m}") - F.col(f"single_{m}") for m in metrics})
 
 
-def _places_by_scan(fresh: DataFrame, published: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
-    """One pass over the board against the broadcast systems, folded to counts map-side."""
-    return (published.join(F.broadcast(fresh), on)
-            .groupBy(*keys, "method", "score")
-            .agg(F.count_if(F.col("__published") > F.col("score")).alias("above"), F.count("*").alias("size")))
-
-
-def _places_by_order(fresh: DataFrame, published: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
-    """Systems and board in one descending order: the board rows before a system are those above it.
-
-    On equal scores the system comes first.  No system meets any board row, whatever their numbers.
-    """
-    sizes = published.groupBy(*keys).agg(F.count("*").alias("size"))
-    systems = fresh.join(sizes.select(*keys), on).select(*keys, "method", "score", F.lit(0).alias("__board"))
-    rows = systems.unionByName(published.select(*keys, F.lit(None).cast("string").alias("method"),
-                                                F.col("__published").alias("score"), F.lit(1).alias("__board")))
-    down = -F.col("score")
-    placed = running_before(rows, [down, F.col("__board"), F.col("method")], [equal_slices(rows, down)], "above", keys=keys,
-                            value=F.col("__board"))
-    return placed.filter("__board = 0").drop("__board").join(sizes, keys)
-
-
 def insertion_rank(scores: DataFrame, board: DataFrame, on: Sequence[str], score: str = "score",
-                   board_score: str = "score", tables: Sequence[str] = (),
-                   broadcast_systems: int = BROADCAST_SYSTEMS) -> DataFrame:
+                   board_score: str = "score", tables: Sequence[str] = ()) -> DataFrame:
     """Place of each fresh score among published ones: 1 + the number strictly above it.
 
     ``tables`` are board columns that split the board further, one placement per table.
-    The fresh side is a result table.  It is counted first: up to ``broadcast_systems`` rows it
-    is broadcast and the board is read once, beyond that both sides are ordered together.
+    Systems and board stand in one descending order, on equal scores the system first: the board rows before a
+    system are those above it.  No system meets any board row, whatever their numbers.  A published score
+    that is null or NaN is no competitor; a system without a score gets no place (null).
     """
     on, keys = list(on), [*on, *tables]
     fresh = scores.select(*on, "method", F.col(score).alias("score"))
-    published = board.select(*keys, F.col(board_score).alias("__published"))
-    small = fresh.count() <= broadcast_systems
-    places = (_places_by_scan if small else _places_by_order)(fresh, published, keys, on)
-    if not tables:
-        # A system without any published competitor still takes place 1 of 1.
-        alone = fresh.withColumns({"above": F.lit(0).cast("long"), "size": F.lit(0).cast("long")})
-        places = (places.unionByName(alone).groupBy(*keys, "method", "score")
-                  .agg(F.max("above").alias("above"), F.max("size").alias("size")))
-    return places.select(*keys, "method", "score", (F.col("above") + 1).alias("estimated_position"),
-                         (F.col("size") + 1).alias("comparison_set_size"))
+    published = board.select(*keys, F.col(board_score).alias("score")).filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    sizes = published.groupBy(*keys).agg(F.count("*").alias("size"))
+    # Without tables, a system without any published competitor still takes place 1 of 1.
+    systems = (fresh.join(sizes, on, "inner" if tables else "left")
+               .select(*keys, "method", "score", F.coalesce("size", F.lit(0)).alias("size"), F.lit(0).alias("__board")))
+    rows = systems.unionByName(published.select(*keys, F.lit(None).cast("string").alias("method"), "score",
+                                                F.lit(None).cast("long").alias("size"), F.lit(1).alias("__board")))
+    rated = F.when(~F.isnan("score"), F.col("score"))
+    placed = running_before(rows, [-rated, F.col("__board"), F.col("method")], "above", keys=keys, value=F.col("__board"))
+    return placed.filter("__board = 0").select(
+        *keys, "method", "score", F.when(rated.isNotNull(), F.col("above") + 1).alias("estimated_position"),
+        (F.col("size") + 1).alias("comparison_set_size"))

@@ -46,7 +46,11 @@ def fit_logreg(rows: DataFrame, label: str, classes: Sequence[str], dim: int, c:
     class counts and coefficients reach the driver.
     """
     checked = with_dimension(rows.select("features", label), dim)
-    sizes = {r[0]: r[1] for r in rows.filter(F.col(label).isin(list(classes))).groupBy(label).agg(F.count("*")).collect()}
+    known = F.when(F.col(label).isin(list(classes)), F.col(label))
+    found = rows.groupBy(known.alias("known")).agg(F.count("*").alias("n"), F.max(label).alias("example")).collect()
+    sizes = {r["known"]: r["n"] for r in found if r["known"] is not None}
+    if strange := [r["example"] for r in found if r["known"] is None]:
+        raise ValueError(f"label {strange[0]!r} is not among the classes")
     absent = [name for name in classes if not sizes.get(name)]
     if absent:
         raise ValueError(f"classes without fit rows: {absent}")
@@ -66,8 +70,10 @@ def logreg_scores(rows: DataFrame, fit: Column, label: str, classes: Sequence[st
 
 def require_whole_groups(train: DataFrame, fold: str = "fold_id") -> None:
     """Fail when a group has rows in more than one fold; one aggregation over the group and fold columns."""
-    if "group_id" in train.columns and not fold_leakage(train, fold).isEmpty():
-        raise ValueError("group leakage across folds")
+    if "group_id" not in train.columns:
+        raise ValueError("folds can only be checked with a group_id column")
+    if not fold_leakage(train, fold).isEmpty():
+        raise ValueError("a group has rows in several folds")
 
 
 def oof_scores(rows: DataFrame, label: str, classes: Sequence[str], dim: int, folds: int = 5, fold: str = "fold_id",

@@ -1,9 +1,8 @@
 """Positions and running totals that never put a whole group into one task.
 
-A plain ``row_number() over (partition by key order by ...)`` sorts each key in
-one task.  That is kept for ordinary keys.  A key with too many rows is cut into
-*slices* of its sort range: rows are numbered inside ``(key, slice)`` and shifted by
-the total of the earlier slices, so it is spread over as many tasks as it has slices.
+Rows are dealt out by sampled ranges of their sort key, so ids of any type, outliers and
+groups of any size spread evenly.  Inside a range the rows are numbered, and shifted by the
+totals of the ranges before it.  There is one way for every size of table and group.
 """
 
 from __future__ import annotations
@@ -14,75 +13,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .skew import HOT_ROWS, split_hot
 
 
-def equal_slices(df: DataFrame, value: Column, slices: int = 1024) -> Column:
-    """Monotone slice number of a numeric expression: equal widths between its min and max.
-
-    The bounds are one scalar subquery over one column.
-    """
-    bounds = df.agg(F.struct(F.min(value).cast("double").alias("lo"),
-                             F.max(value).cast("double").alias("hi")).alias("b")).scalar()
-    width = (bounds["hi"] - bounds["lo"]) / F.lit(float(slices))
-    return F.coalesce(F.least(F.floor(F.try_divide(value.cast("double") - bounds["lo"], width)),
-                              F.lit(slices - 1).cast("long")), F.lit(0).cast("long"))
-
-
-def _prior(window: Window, value: Column | None) -> Column:
-    if value is None:
-        return (F.row_number().over(window) - F.lit(1)).cast("long")
-    before = window.rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(value).over(before), F.lit(0)).cast("long")
-
-
-def _sliced(df: DataFrame, order: Sequence[Column], slice_by: Sequence[Column], name: str, keys: list[str],
-            value: Column | None) -> DataFrame:
-    cuts = [f"__s{i}" for i in range(len(slice_by))]
-    cut = df.select("*", *[c.alias(n) for c, n in zip(slice_by, cuts)])
-    amount = F.lit(1) if value is None else value
-    # One row per slice: small whatever the size of the key.
-    shifts = (cut.groupBy(*keys, *cuts).agg(F.sum(amount).alias("__t"))
-              .select(*keys, *cuts, _prior(Window.partitionBy(*keys).orderBy(*cuts), F.col("__t")).alias("__shift")))
-    numbered = cut.withColumn("__local", _prior(Window.partitionBy(*keys, *cuts).orderBy(*order), value))
-    return (numbered.join(shifts, keys + cuts).withColumn(name, F.col("__shift") + F.col("__local"))
-            .drop("__shift", "__local", *cuts))
-
-
-def running_before(df: DataFrame, order: Sequence[Column], slice_by: Sequence[Column], name: str,
-                   keys: Sequence[str] = (), value: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def running_before(df: DataFrame, order: Sequence[Column], name: str, keys: Sequence[str] = (), value: Column | None = None,
+                   partitions: int | None = None) -> DataFrame:
     """Add ``name``: the sum of ``value`` over the rows before this one within ``keys``.
 
-    ``order`` must be a total order and ``slice_by`` monotone in it, both without
-    nulls.  Without ``value`` the result is the zero-based position.  Without
-    ``keys`` the whole table is one group and always sliced.
+    ``order`` must be a total order; nulls come first.  Without ``value`` the result is the zero-based position.
+    Without ``keys`` the whole table is one group; null keys are a group like any other.  The input
+    is read twice, once for the sample of cut points; the dealt rows are stored, so that a lost executor
+    cannot redraw the cut points between the two reads that follow.
     """
-    keys = list(keys)
-    if not keys:
-        return _sliced(df, order, slice_by, name, keys, value)
-    ordinary, hot = split_hot(df, keys, hot_rows)
-    plain = ordinary.withColumn(name, _prior(Window.partitionBy(*keys).orderBy(*order), value))
-    return plain.unionByName(_sliced(hot, order, slice_by, name, keys, value))
+    keys, cuts = list(keys), [f"__o{i}" for i in range(len(order))]
+    parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select("*", *[c.alias(n) for c, n in zip(order, cuts)], (F.lit(1) if value is None else value).cast("long").alias("__n"))
+    dealt = stored(dealt.repartitionByRange(parts, *keys, *cuts).withColumn("__part", F.spark_partition_id()), "numbering")
+    # One row per range and group: the groups inside one range stay together, so a group of many ranges has one row in each.
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = dealt.groupBy("__part", *keys).agg(F.sum("__n").alias("__t"))
+    shifts = totals.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+                           F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__shift"))
+    before = Window.partitionBy("__part", *keys).orderBy(*cuts).rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.withColumn("__local", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return local.join(shifts, same).select(*df.columns, (F.col("__shift") + F.col("__local")).alias(name))
 
 
 def sorted_position(df: DataFrame, order: Sequence[str], name: str, partitions: int | None = None) -> DataFrame:
-    """Zero-based position in the global order of columns ``order`` (a unique key).
-
-    For keys of any type: range partitioning samples the cut points, each
-    partition sorts itself, and the position is the row's place plus the size of
-    the earlier partitions.  The numbered key table is stored before use, so that a
-    lost executor cannot redraw the cut points between its two reads.
-    """
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = stored(df.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-                    .withColumn("__at", F.monotonically_increasing_id()), "positions")
-    placed = placed.select(*order, F.shiftright("__at", 33).alias("__part"),
-                           F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)).alias("__row"))
-    # One row per partition: bounded by `parts`, so an unpartitioned window is fine.
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (placed.groupBy("__part").agg(F.count("*").alias("__n"))
-              .select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift")))
-    return (placed.join(F.broadcast(shifts), "__part")
-            .withColumn(name, F.col("__shift") + F.col("__row"))
-            .drop("__part", "__row", "__shift"))
+    """Zero-based position in the global order of columns ``order`` (a unique key)."""
+    return running_before(df.select(*order), [F.col(c) for c in order], name, partitions=partitions)

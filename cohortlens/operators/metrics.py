@@ -45,7 +45,7 @@ def _declared(counts: DataFrame, classes: Classes) -> DataFrame:
     labels = class_list(classes)
     known = F.array_contains(labels, F.col("truth")) & F.array_contains(labels, F.col("predicted"))
     return counts.withColumn("__classes", F.when(known, labels).otherwise(
-        F.raise_error(F.lit("label outside explicit class order")).cast("array<string>")))
+        F.raise_error(F.lit("a label is not among the declared classes")).cast("array<string>")))
 
 
 def confusion_matrix(predictions: DataFrame, by: Sequence[str], classes: Classes) -> DataFrame:
@@ -103,7 +103,7 @@ def summarise_classes(per_class: DataFrame, by: Sequence[str], absent: str = "ze
     return per_class.groupBy(*by).agg(
         F.avg(recall).alias("balanced_accuracy"),
         F.avg(f1(tp, support, predicted_n)).alias("macro_f1"),
-        ratio_or_zero(F.sum(tp), F.sum(support)).alias("accuracy"),
+        (ratio_or_nan if absent == "nan" else ratio_or_zero)(F.sum(tp), F.sum(support)).alias("accuracy"),
         F.sum(support).alias("record_count"))
 
 
@@ -145,7 +145,7 @@ def official_score_from_counts(counts: DataFrame, by: Sequence[str], normal: str
         total(is_normal).alias("__normal"), total(is_normal & right).alias("__normal_ok"),
         total(is_sensitive).alias("__sens"), total(is_sensitive & right).alias("__sens_ok"))
     if empty == "error":
-        missing = F.raise_error(F.lit("undefined official score population")).cast("double")
+        missing = F.raise_error(F.lit("the score has no records to count")).cast("double")
     else:
         missing = F.lit(float("nan"))
     rates = sums.select(

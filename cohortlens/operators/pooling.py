@@ -1,9 +1,9 @@
 """Window vectors to record vectors.
 
-Vectors are ``array<double>`` with a declared dimension.  Up to ``UNROLL``
-dimensions each one is its own aggregate column in a single hash aggregation;
-wider vectors are exploded and combined per (record, dimension).  Both forms
-combine map-side, so no record is ever gathered in one task.
+Vectors are ``array<double>`` with a declared dimension; another one is an error, and windows
+without a vector do not count.  Vectors are aggregated in blocks of elements: a window
+gives one row per block to a hash aggregation with map-side combine, so what is shuffled depends on
+groups and blocks, not on windows times elements, and no record is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import double_list
+from ..sources.tables import with_dimension
 from .quantiles import counted_quantile
 from .skew import split_hot
 
-UNROLL = 16
+#: Aggregate columns per row of the aggregation; a wider vector takes several blocks.
+BLOCK = 64
+Combine = Callable[[Column], Column]
 
 
 def gather(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
@@ -26,16 +28,37 @@ def gather(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataF
     return rows.groupBy(*keys).agg(F.transform(ordered, lambda s: s["v"]).alias(name))
 
 
-def pool(windows: DataFrame, keys: Sequence[str], dim: int, combine: Callable[[Column], Column],
-         vector: str = "features", extra: Sequence[Column] = ()) -> DataFrame:
-    """Apply the aggregate ``combine`` to every dimension of ``vector`` per ``keys``; ``extra`` aggregates ride along."""
-    if dim <= UNROLL:
-        values = F.array(*[combine(F.get(vector, F.lit(i))) for i in range(dim)]).alias(vector)
-        return windows.groupBy(*keys).agg(values, *extra)
-    others = [c for c in windows.columns if c != vector]
-    spread = windows.select(*others, F.posexplode(vector).alias("dim", "__x"))
-    wide = gather(spread.groupBy(*keys, "dim").agg(combine(F.col("__x")).alias("__y")), keys, "__y", vector)
-    return wide.join(windows.groupBy(*keys).agg(*extra), list(keys)) if extra else wide
+def pool_many(windows: DataFrame, keys: Sequence[str], dim: int, combines: Sequence[Combine], vector: str = "features",
+              extra: Sequence[Column] = ()) -> DataFrame:
+    """Apply each aggregate of ``combines`` to every element of ``vector`` per ``keys``.
+
+    ``vector`` becomes an array of one array per aggregate; the aggregates ``extra`` ride along.
+    """
+    width = max(1, BLOCK // len(combines))
+    rows = with_dimension(windows.filter(F.col(vector).isNotNull()), dim, vector)
+    if dim > width:  # the same aggregation, over blocks of the vector
+        rows = rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((dim - 1) // width))))
+        rows = rows.withColumn(vector, F.slice(vector, F.col("__block") * width + 1, F.lit(width)))
+    cells = [F.array(*[c(F.get(vector, F.lit(i))) for i in range(min(dim, width))]) for c in combines]
+    by = [*keys, "__block"] if dim > width else list(keys)
+    pooled = rows.groupBy(*by).agg(F.array(*cells).alias(vector), *extra)
+    if dim <= width:
+        return pooled
+    others = [c for c in pooled.columns if c not in (*by, vector)]
+    ordered = F.array_sort(F.array_agg(F.struct("__block", F.col(vector).alias("v"))))
+    whole = pooled.groupBy(*keys).agg(ordered.alias("__all"), *[F.any_value(c).alias(c) for c in others])
+
+    def of(i: int) -> Column:
+        return F.slice(F.flatten(F.transform("__all", lambda s: s["v"][i])), 1, dim)
+
+    joined = map(of, range(len(combines)))
+    return whole.select(*keys, F.array(*joined).alias(vector), *others)
+
+
+def pool(windows: DataFrame, keys: Sequence[str], dim: int, combine: Combine, vector: str = "features",
+         extra: Sequence[Column] = ()) -> DataFrame:
+    """:func:`pool_many` with one aggregate, whose array is ``vector``."""
+    return pool_many(windows, keys, dim, [combine], vector, extra).withColumn(vector, F.col(vector)[0])
 
 
 def mean_pool(windows: DataFrame, dim: int, keys: Sequence[str] = ("record_id",), vector: str = "features") -> DataFrame:
@@ -63,18 +86,11 @@ def distances(windows: DataFrame, dim: int, chunk: int) -> DataFrame:
     join implies anyway, is written out so that both of its readers have the same plan.
     """
     cut = (windows.select("record_id", F.expr(f"window_index div {chunk}").alias("chunk"), "features")
-           .filter("record_id is not null and chunk is not null").repartition("record_id", "chunk"))
+           .filter("record_id is not null and chunk is not null and features is not null").repartition("record_id", "chunk"))
     sums = pool(cut, ["record_id", "chunk"], dim, F.sum, extra=[F.count("*").alias("n")])
-    if dim <= UNROLL:
-        # One row per chunk: the record's totals are a window over that compact table.
-        record = Window.partitionBy("record_id")
-        total = F.sum("n").over(record)
-        placed = sums.select("record_id", "chunk", F.array(
-            *[F.sum(F.get("features", F.lit(i))).over(record) / total for i in range(dim)]).alias("__centre"))
-    else:
-        whole = pool(sums.select("record_id", "features", "n"), ["record_id"], dim, F.sum, extra=[F.sum("n").alias("n")])
-        centres = whole.select("record_id", F.transform("features", lambda v: v / F.col("n")).alias("__centre"))
-        placed = sums.select("record_id", "chunk").join(centres, "record_id")
+    whole = pool(sums.select("record_id", "features", "n"), ["record_id"], dim, F.sum, extra=[F.sum("n").alias("n")])
+    centres = whole.select("record_id", F.transform("features", lambda v: v / F.col("n")).alias("__centre"))
+    placed = sums.select("record_id", "chunk").join(centres, "record_id")
     squares = F.zip_with("features", "__centre", lambda x, c: (x - c) * (x - c))
     distance = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v))
     return cut.join(placed, ["record_id", "chunk"]).withColumn("distance", distance).drop("__centre")
@@ -89,14 +105,18 @@ def sdp_pool(windows: DataFrame, dim: int, temperatures: Sequence[float], chunk:
     record while a record with very many windows stays spread out.
     """
     if min(temperatures) <= 0:
-        raise ValueError("temperature must be positive")
+        raise ValueError("temperatures have to be above zero")
     top = F.max("distance").over(Window.partitionBy("record_id", "chunk"))
-    spread = (distances(windows, dim, chunk).withColumn("top", top)
-              .withColumn("temperature", F.explode(double_list(temperatures)))
-              .withColumn("w", F.exp((F.col("distance") - F.col("top")) / F.col("temperature"))))
-    parts = pool(spread.select("record_id", "temperature", "chunk", "top", "w", "features"),
-                 ["record_id", "temperature", "chunk"], dim, lambda x: F.sum(F.col("w") * x),
-                 extra=[F.sum("w").alias("w"), F.max("top").alias("top")])
+    steps = [float(t) for t in temperatures]
+    # Every window stays one row: its weights for all temperatures are columns.
+    weighed = distances(windows, dim, chunk).withColumn("top", top).withColumns(
+        {f"w{i}": F.exp((F.col("distance") - F.col("top")) / t) for i, t in enumerate(steps)})
+    parts = pool_many(weighed.select("record_id", "chunk", "top", "features", *[f"w{i}" for i in range(len(steps))]),
+                      ["record_id", "chunk"], dim, [lambda x, i=i: F.sum(F.col(f"w{i}") * x) for i in range(len(steps))],
+                      extra=[*[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(steps))], F.max("top").alias("top")])
+    lines = F.array(*[F.struct(F.lit(t).alias("temperature"), F.col("features")[i].alias("features"), F.col(f"w{i}").alias("w"))
+                      for i, t in enumerate(steps)])
+    parts = parts.select("record_id", "chunk", "top", F.inline(lines))
     # One row per (record, temperature, chunk) from here on.
     peak = F.max("top").over(Window.partitionBy("record_id", "temperature"))
     scaled = parts.withColumn("r", F.exp((F.col("top") - peak) / F.col("temperature")))
@@ -121,7 +141,7 @@ def q75_pool(windows: DataFrame, dim: int, q: float = 0.75, hot_rows: int = 200_
     built-in percentile's value map.  Records with more than ``hot_rows`` windows take the
     counting form, so no buffer grows beyond that.
     """
-    rows = windows.select("record_id", "features")
+    rows = with_dimension(windows.select("record_id", "features").filter("features is not null"), dim)
     ordinary, hot = split_hot(rows, ["record_id"], hot_rows)
     plain = pool(ordinary, ["record_id"], dim, lambda x: sorted_quantile(x, q))
     spread = hot.select("record_id", F.posexplode("features").alias("dim", "x"))
@@ -131,16 +151,8 @@ def q75_pool(windows: DataFrame, dim: int, q: float = 0.75, hot_rows: int = 200_
 
 def moments(rows: DataFrame, dim: int, vector: str = "features") -> Column:
     """Scalar subquery with the mean and population deviation arrays of ``rows``; its size is twice ``dim``."""
-    spread = rows.select(F.posexplode(vector).alias("dim", "x"))
-    stats = (spread.groupBy("dim").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-             if dim > UNROLL else None)
-    if stats is not None:
-        ordered = F.array_sort(F.array_agg(F.struct("dim", "m", "s")))
-        return stats.agg(F.struct(F.transform(ordered, lambda t: t["m"]).alias("mean"),
-                                  F.transform(ordered, lambda t: t["s"]).alias("std")).alias("z")).scalar()
-    cells = [F.get(vector, F.lit(i)) for i in range(dim)]
-    return rows.agg(F.struct(F.array(*[F.avg(c) for c in cells]).alias("mean"),
-                             F.array(*[F.stddev_pop(c) for c in cells]).alias("std")).alias("z")).scalar()
+    both = pool_many(rows.select(F.lit(1).alias("__all_rows"), vector), ["__all_rows"], dim, [F.avg, F.stddev_pop], vector)
+    return both.select(F.struct(F.col(vector)[0].alias("mean"), F.col(vector)[1].alias("std")).alias("z")).scalar()
 
 
 def standardise(rows: DataFrame, fit: Column, dim: int, vector: str = "features") -> DataFrame:

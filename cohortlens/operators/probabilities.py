@@ -17,7 +17,7 @@ def decode(rows: DataFrame, class_order: str = "class_order", probabilities: str
         probabilities: F.from_json(probabilities, "array<double>")})
     same = F.size(class_order) == F.size(probabilities)
     return parsed.withColumn(probabilities, F.when(same, F.col(probabilities)).otherwise(
-        F.raise_error(F.lit("probability/class-order length mismatch")).cast("array<double>")))
+        F.raise_error(F.lit("as many probabilities as classes are needed")).cast("array<double>")))
 
 
 def encode(rows: DataFrame, class_order: str = "class_order", probabilities: str = "probabilities") -> DataFrame:
@@ -30,7 +30,7 @@ def predict(rows: DataFrame, stored: str | None = None) -> DataFrame:
     if stored is not None:
         kept = F.col(stored)
         label = F.when(kept.isNull() | (kept == "") | (kept == label), label).otherwise(
-            F.raise_error(F.lit("stored label differs from probability argmax")))
+            F.raise_error(F.lit("the kept label is not the most probable class")))
     return rows.withColumn("y_pred", label)
 
 
@@ -49,16 +49,6 @@ def fuse_tables(first: DataFrame, second: DataFrame, keys: Sequence[str], alpha:
             .withColumn("probabilities", fuse(F.col("probabilities"), F.col("__other"), alpha, size)).drop("__other"))
 
 
-def side_by_side(rows: DataFrame, keys: Sequence[str], first: str, second: str) -> DataFrame:
-    """Both methods' arrays in one row per record (``p_first``, ``p_second``): one aggregation instead of a self-join."""
-
-    def of(method: str) -> Column:
-        return F.max(F.when(F.col("method") == method, F.col("probabilities")))
-
-    return (rows.filter(F.col("method").isin(first, second)).groupBy(*keys)
-            .agg(of(first).alias("p_first"), of(second).alias("p_second")))
-
-
 def aligned_pairs(first: DataFrame, second: DataFrame, truth: str, key: str = "record_id") -> DataFrame:
     """Both branches' arrays per record; a record or a truth found in one branch only is an error."""
     a = first.select(key, F.col(truth).alias("y_true"), F.col("probabilities").alias("p_first"))

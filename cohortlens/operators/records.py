@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .indexing import equal_slices, running_before, sorted_position
+from .indexing import running_before, sorted_position
 
 
 def public_projection(records: DataFrame, columns: Sequence[str], optional: Sequence[str] = (),
@@ -80,13 +80,12 @@ def grouped_stratified_folds(records: DataFrame, label: str, train: Column, fold
     """``fold_id`` for the train rows so that whole groups stay together and classes stay balanced; -1 elsewhere.
 
     Each group takes its most frequent class (ties to the smaller label).  Inside a class the groups
-    are dealt out in the order of the hash of their id.  The hash prefix slices that order evenly, so no
-    class is ranked in one task.
+    are dealt out in the order of the hash of their id, by ranges of that order, so no class is ranked in one task.
     """
     sizes = records.filter(train).groupBy("group_id", label).agg(F.count("*").alias("n"))
     dominant = sizes.groupBy("group_id").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(label).alias("c"))).alias("m"))
     groups = dominant.select("group_id", F.col("m.c").alias("main"), F.md5(F.col("group_id").cast("string")).alias("h"))
-    dealt = running_before(groups, [F.col("h"), F.col("group_id")], [F.substring("h", 1, 3)], "at", keys=["main"])
+    dealt = running_before(groups, [F.col("h"), F.col("group_id")], "at", keys=["main"])
     return (records.withColumn("__train", train).join(dealt.select("group_id", "at"), "group_id", "left")
             .withColumn("fold_id", F.when(F.col("__train"), F.pmod("at", F.lit(folds))).otherwise(F.lit(-1)).cast("int"))
             .drop("__train", "at"))
@@ -104,14 +103,13 @@ def sequential_ids(names: DataFrame, column: str, pattern: str) -> DataFrame:
     return numbered.select(column, F.format_string(pattern, F.col("at") + 1).alias("record_name"))
 
 
-def global_window_index(windows: DataFrame, batch_size: int = 32, slices: int = 1024) -> DataFrame:
+def global_window_index(windows: DataFrame, batch_size: int = 32) -> DataFrame:
     """Record-major running index over all windows, and the batch each falls into.
 
     Window counts are combined per record, so the running total is over records only.
     """
     per_record = windows.groupBy("record_id").agg(F.count("*").alias("n"))
-    starts = running_before(per_record, [F.col("record_id")], [equal_slices(windows, F.col("record_id"), slices)],
-                            "start", value=F.col("n"))
+    starts = running_before(per_record, [F.col("record_id")], "start", value=F.col("n"))
     indexed = windows.join(starts.select("record_id", "start"), "record_id")
     return (indexed.withColumn("global_window_index", F.col("start") + F.col("window_index")).drop("start")
             .withColumn("batch_id", F.expr(f"global_window_index div {batch_size}")))

@@ -15,10 +15,11 @@ def record_windows(samples: DataFrame, size: int, records: DataFrame | None = No
     windows = (samples.groupBy("record_id", F.expr(f"sample_index div {size}").cast("int").alias("window_index"))
                .agg(F.count("*").alias("valid_samples"), F.sum("value").alias("__sum")))
     if records is not None:
-        empty = (records.select("record_id").distinct().join(samples.select("record_id"), "record_id", "left_anti")
-                 .select("record_id", F.lit(0).alias("window_index"), F.lit(0).cast("long").alias("valid_samples"),
-                         F.lit(0.0).alias("__sum")))
-        windows = windows.unionByName(empty)
+        # A zero row for every record's first window is added up with what is there: no join, and the samples are read once.
+        empty = records.select("record_id").distinct().select(
+            "record_id", F.lit(0).alias("window_index"), F.lit(0).cast("long").alias("valid_samples"), F.lit(0.0).alias("__sum"))
+        windows = (windows.unionByName(empty).groupBy("record_id", "window_index")
+                   .agg(F.sum("valid_samples").alias("valid_samples"), F.sum("__sum").alias("__sum")))
     return windows.select("record_id", "window_index", "valid_samples",
                           (F.lit(size) - F.col("valid_samples")).alias("right_padding_samples"),
                           (F.col("__sum") / F.lit(float(size))).alias("window_mean"))
@@ -45,9 +46,10 @@ def max_energy_crop(samples: DataFrame, size: int, chunk: int | None = None) ->
 
     Each record is cut into chunks and every chunk also receives the first
     ``size - 1`` samples of the next one, so all frames starting in a chunk can be
-    summed there and a very long record spreads over many tasks.  Short frames
-    are summed directly; long ones by prefix sums inside the chunk.  Signals not
-    longer than a frame start at 0 and are padded.
+    summed there and a very long record spreads over many tasks.  Frames of any size are
+    differences of prefix sums inside the chunk, so frames whose energies differ by less than the
+    rounding of those sums count as a tie or in either order.  Signals not longer than a frame
+    start at 0 and are padded.
     """
     chunk = max(chunk or 65_536, size)
     i = F.col("sample_index")
@@ -57,17 +59,12 @@ def max_energy_crop(samples: DataFrame, size: int, chunk: int | None = None) ->
                             F.explode(F.when(halo, F.array(own - 1, own)).otherwise(F.array(own))).alias("chunk"))
     # Rows reaching past the frame belong to the halo only; frames start inside the chunk itself.
     inside = Window.partitionBy("record_id", "chunk").orderBy("sample_index")
-    if size <= 64:
-        frame = inside.rowsBetween(Window.currentRow, size - 1)
-        scored = placed.select("record_id", "sample_index", "chunk", F.sum("e").over(frame).alias("energy"),
-                               F.count("*").over(frame).alias("filled"))
-    else:
-        upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        summed = placed.select("*", F.sum("e").over(upto).alias("__upto"))
-        end = F.lead("__upto", size - 1).over(inside)
-        scored = summed.select("record_id", "sample_index", "chunk",
-                               (end - (F.col("__upto") - F.col("e"))).alias("energy"),
-                               F.when(end.isNotNull(), F.lit(size)).otherwise(F.lit(0)).alias("filled"))
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = placed.select("*", F.sum("e").over(upto).alias("__upto"))
+    end = F.lead("__upto", size - 1).over(inside)
+    scored = summed.select("record_id", "sample_index", "chunk",
+                           (end - (F.col("__upto") - F.col("e"))).alias("energy"),
+                           F.when(end.isNotNull(), F.lit(size)).otherwise(F.lit(0)).alias("filled"))
     full = (F.col("filled") == size) & (F.expr(f"sample_index div {chunk}") == F.col("chunk"))
     best = F.min(F.when(full, F.struct((-F.col("energy")).alias("e"), F.col("sample_index").alias("i"))))
     # The own copy of each sample counts the record's length.

@@ -1,26 +1,23 @@
-"""Separation of keys that hold too many rows for one task."""
+"""Separation of keys that hold too many rows for one buffer."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000
-MOST_HOT_KEYS = 1_000_000
 
+def split_hot(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` as (rows of keys with at most ``limit`` rows, rows of the others); null keys are keys like any other.
 
-def split_hot(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """``df`` as (rows of ordinary keys, rows of hot keys).
-
-    A key is hot when it has more than ``limit`` rows and more than its millionth part of
-    the table.  So at most ``MOST_HOT_KEYS`` keys can be hot, which is the size bound of
-    the broadcast below: rows of a hot key are told apart where they are read and never
-    meet in one shuffle partition.
+    There are fewer hot keys than rows / limit.  Spark broadcasts their list where its measured size
+    allows, and otherwise splits skewed partitions of the join, so a hot key's rows do not meet in one task.
     """
-    keys = list(keys)
-    total = df.agg(F.count("*")).scalar()
-    hot = (df.groupBy(*keys).agg(F.count("*").alias("__n"))
-           .filter((F.col("__n") > limit) & (F.col("__n") > total / F.lit(MOST_HOT_KEYS))).select(*keys))
-    return (df.join(F.broadcast(hot), keys, "left_anti"), df.join(F.broadcast(hot), keys, "left_semi"))
+    names = [f"__h{i}" for i in range(len(keys))]
+    hot = (df.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > limit)
+           .select(*[F.col(k).alias(n) for k, n in zip(keys, names)]))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names)])
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")

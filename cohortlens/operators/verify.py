@@ -65,9 +65,14 @@ def run_comparison(diffs: Mapping[str, DataFrame]) -> DataFrame:
         F.max("max_difference").alias("maximum_absolute_difference"))
 
 
-def row_hash(columns: Sequence[str]) -> Column:
-    """SHA-256 of the row text, columns in the given order; null is told apart from the empty text."""
-    return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]), 256)
+def row_hash(df: DataFrame, columns: Sequence[str]) -> Column:
+    """SHA-256 of the row text: names and types, then every field with its length; null is told apart from any text."""
+    header = ",".join(f"{c}:{df.schema[c].dataType.simpleString()}" for c in columns)
+
+    def field(c: str) -> Column:
+        text = F.col(c).cast("string")
+        return F.coalesce(F.concat(F.lit("v"), F.length(text).cast("string"), F.lit(":"), text), F.lit("n"))
+    return F.sha2(F.concat(F.lit(header), *map(field, columns)), 256)
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -75,11 +80,21 @@ def table_fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     One streaming aggregation; 20-bit parts keep the sums inside a long for 8e12 rows.
     """
-    hashed = df.select(row_hash(columns).alias("h"))
+    hashed = df.select(row_hash(df, columns).alias("h"))
     parts = [F.sum(F.conv(F.substring("h", 1 + 5 * i, 5), 16, 10).cast("long")).alias(f"h{i}") for i in range(4)]
     return hashed.agg(F.count("*").alias("rows"), *[F.coalesce(p, F.lit(0)).alias(f"h{i}") for i, p in enumerate(parts)])
 
 
+def manifest(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """One row: row count (under the table's name) and ``<name>_fingerprint`` of every table over the given columns."""
+    whole: DataFrame | None = None
+    for name, (df, columns) in tables.items():
+        one = table_fingerprint(df, columns).select(F.col("rows").alias(name), F.concat_ws("-", "rows", "h0", "h1", "h2", "h3").alias(f"{name}_fingerprint"))
+        row = F.struct(*one.columns)
+        whole = one if whole is None else whole.withColumn("__m", one.agg(F.first(row)).scalar()).select(*whole.columns, "__m.*")
+    return whole
+
+
 def cache_valid(stored: DataFrame, current: DataFrame) -> DataFrame:
     """Field-by-field comparison of a stored manifest row with the current one: ``(field, expected, actual, ok)``.
 

@@ -7,6 +7,7 @@ and ``phase`` (progression) or ``method`` (encoders, challenge).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,47 +80,50 @@ def challenge_tables(predictions: DataFrame, board: DataFrame, normal: Mapping[s
     scores = official_score_from_counts(cells, by, normal, sensitive)
     fused = scores.filter(F.col("method") == "Fusion").withColumnRenamed("Score", "score")
     places = insertion_rank(fused, board, ["evaluation", "task"], tables=["table"]).withColumnRenamed("table", "published_table")
+    places = places.withColumn("status", F.lit("estimated afterwards; never submitted"))
     return {"tab:challenge_placements": places, "tab:challenge_readout_comparison": scores}
 
 
-def patient_cells(predictions: DataFrame) -> tuple[DataFrame, int]:
-    """Stored confusion cells of the predictions' patients, and the number of patients.
+def patient_cells(predictions: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """Stored confusion cells of the predictions' patients, and the number of patients per task.
 
     The patients and their cells are the only tables taken from the predictions, one pass
     each.  Points, draws and packing read these compact tables.
     """
-    groups = stored(predictions.select("group_id").distinct(), "groups")
+    groups = stored(predictions.select("task", "group_id").distinct(), "groups")
     cells = boot.patient_confusions(predictions, boot.patient_positions(groups))
-    return stored(cells, "cells"), groups.count()
+    patients = {r["task"]: r["count"] for r in groups.groupBy("task").count().collect()}  # a row per task
+    return stored(cells, "cells"), patients
 
 
-def _resample(predictions: DataFrame, replicates: int) -> tuple[DataFrame, DataFrame]:
-    """Total confusion counts, and confusion counts per draw."""
-    cells, patients = patient_cells(predictions)
-    totals = cells.groupBy("task", "method", "truth", "predicted").agg(F.sum("n").alias("n"))
-    return totals, boot.resampled_confusions(cells, boot.draws(predictions.sparkSession, patients, replicates))
+@dataclass(frozen=True)
+class Resampled:
+    """Stored confusion counts, total and per draw, that all bootstrap tables of a bundle share."""
+
+    totals: DataFrame
+    drawn: DataFrame
 
 
-def resample(predictions: DataFrame, replicates: int) -> DataFrame:
-    return _resample(predictions, replicates)[1]
+def resample(predictions: DataFrame, replicates: int) -> Resampled:
+    cells, patients = patient_cells(predictions)
+    totals = cells.groupBy("task", "method", "truth", "predicted").agg(F.sum("n").alias("n"))
+    drawn = boot.resampled_confusions(cells, boot.draws(predictions.sparkSession, patients, replicates), replicates)
+    return Resampled(stored(totals, "totals"), stored(drawn, "resampled"))
 
 
-def bootstrap_classification(predictions: DataFrame, classes: Mapping[str, Sequence[str]],
-                             pairs: Sequence[tuple[str, str]], replicates: int,
+def bootstrap_classification(resampled: Resampled, classes: Mapping[str, Sequence[str]], pairs: Sequence[tuple[str, str]],
                              metrics: Sequence[str] = ("balanced_accuracy", "macro_f1")) -> DataFrame:
     """Intervals for the classification metrics of each method and of the declared differences."""
     by = ["task", "method"]
-    totals, drawn = _resample(predictions, replicates)
-    reps = boot.classification_replicates(drawn, by, classes)
-    points = summarise_classes(per_class_counts(totals, by, classes), by)
+    reps = boot.classification_replicates(resampled.drawn, by, classes)
+    points = summarise_classes(per_class_counts(resampled.totals, by, classes), by)
     return boot.interval_table(boot.to_long(points, by, metrics), boot.to_long(reps, ["draw", *by], metrics), pairs)
 
 
-def bootstrap_challenge(predictions: DataFrame, normal: Mapping[str, str], sensitive: Mapping[str, Sequence[str]],
-                        pairs: Sequence[tuple[str, str]], replicates: int) -> DataFrame:
+def bootstrap_challenge(resampled: Resampled, normal: Mapping[str, str], sensitive: Mapping[str, Sequence[str]],
+                        pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Intervals for the official Score of each method and of the declared differences."""
     by = ["task", "method"]
-    totals, drawn = _resample(predictions, replicates)
-    reps = boot.challenge_replicates(drawn, by, normal, sensitive)
-    points = official_score_from_counts(totals, by, normal, sensitive)
+    reps = boot.challenge_replicates(resampled.drawn, by, normal, sensitive)
+    points = official_score_from_counts(resampled.totals, by, normal, sensitive)
     return boot.interval_table(boot.to_long(points, by, ["Score"]), boot.to_long(reps, ["draw", *by], ["Score"]), pairs)

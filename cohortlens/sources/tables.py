@@ -52,10 +52,10 @@ def with_dimension(rows: DataFrame, dim: int, vector: str = "features") -> DataF
 
 
 def read_draws(spark: SparkSession, path: str) -> DataFrame:
-    """Stored draw pieces ``(draw, first_slot, patients array)`` to the long form ``(draw, slot, patient_index)``."""
-    rows = spark.read.schema("draw long, first_slot long, patients array<long>").parquet(path)
-    return (rows.select("draw", "first_slot", F.posexplode("patients").alias("at", "patient_index"))
-            .select("draw", (F.col("first_slot") + F.col("at")).alias("slot"), "patient_index"))
+    """Stored draw pieces ``(task, draw, first_slot, patients array)`` to the long form ``(task, draw, slot, patient_index)``."""
+    rows = spark.read.schema("task string, draw long, first_slot long, patients array<long>").parquet(path)
+    return (rows.select("task", "draw", "first_slot", F.posexplode("patients").alias("at", "patient_index"))
+            .select("task", "draw", (F.col("first_slot") + F.col("at")).alias("slot"), "patient_index"))
 
 
 def file_inventory(spark: SparkSession, root: str, suffix: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.vectors import argmax_label, fuse, string_list
-from .operators.indexing import equal_slices, running_before
+from .operators.indexing import running_before
 from .sources.tables import table
 
 FINE = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -95,6 +95,15 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
         "evaluation", "method", phase.alias("phase"), "record_id", "group_id", F.inline(tasks))
 
 
+def drawn_predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions of the resampled split; the second task covers only some of the patients."""
+    return drawn(predictions(spark, folder))
+
+
+def drawn(rows: DataFrame) -> DataFrame:
+    return rows.filter("evaluation = 'test2022' and (task = 'T2-1' or group_id % 3 <> 0)")
+
+
 def windows(spark: SparkSession, folder: str, indexed: bool = True) -> DataFrame:
     """Line items as windows with four feature dimensions, numbered inside each record."""
     lines = table(spark, folder, "lineitem")
@@ -103,18 +112,14 @@ def windows(spark: SparkSession, folder: str, indexed: bool = True) -> DataFrame
         return lines.select(F.col("l_orderkey").alias("record_id"), F.col("l_quantity").alias("frames"), features)
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity"]
     rows = lines.select(F.col("l_orderkey").alias("record_id"), *order, features)
-    numbered = running_before(rows, [F.col(c) for c in order],
-                              [F.col("l_linenumber"), equal_slices(lines, F.col("l_partkey"), 256)],
-                              "window_index", keys=["record_id"])
+    numbered = running_before(rows, [F.col(c) for c in order], "window_index", keys=["record_id"])
     return numbered.select("record_id", "window_index", F.col("l_quantity").alias("frames"), "features")
 
 
 def signal(spark: SparkSession, folder: str) -> DataFrame:
-    """Events as samples, numbered per user in time order; time is cut into slices for the numbering."""
+    """Events as samples, numbered per user in time order."""
     events = table(spark, folder, "events").select(F.col("user_id").alias("record_id"), "ts", "event_id", "value")
-    seconds = F.col("ts").cast("timestamp").cast("double")
-    numbered = running_before(events, [F.col("ts"), F.col("event_id")], [equal_slices(events, seconds, 1024)],
-                              "sample_index", keys=["record_id"])
+    numbered = running_before(events, [F.col("ts"), F.col("event_id")], "sample_index", keys=["record_id"])
     return numbered.select("record_id", "sample_index", "value")
 
 

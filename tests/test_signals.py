@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortlens.functions.vectors import grid_readout
-from cohortlens.operators import fitting, pooling, records, signals
-from cohortlens.operators.indexing import equal_slices, running_before, sorted_position
+from cohortlens.operators import bootstrap, fitting, pooling, records, signals
+from cohortlens.operators.indexing import running_before, sorted_position
 from cohortlens.operators.quantiles import counted_quantile
 
 
@@ -131,22 +131,83 @@ def test_counted_quantile_with_ties_and_outliers(spark):
         assert all(got[k] == pytest.approx(np.quantile(x, q)) for k, x in groups.items())
 
 
-@pytest.mark.parametrize("hot_rows", [0, 40, 10 ** 6])
-def test_positions_with_a_key_holding_a_third(spark, hot_rows):
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_positions_with_a_key_holding_a_third(spark, parts):
     rng = np.random.default_rng(5)
     keys = [0] * 100 + [int(k) for k in rng.integers(1, 60, 200)]
     rows = [(k, int(rng.integers(0, 50)), i) for i, k in enumerate(keys)]
     df = spark.createDataFrame(rows, "k int, a int, b int").repartition(5)
-    got = running_before(df, [F.col("a"), F.col("b")], [equal_slices(df, F.col("a"), 7)], "at", keys=["k"], hot_rows=hot_rows)
+    got = running_before(df, [F.col("a"), F.col("b")], "at", keys=["k"], partitions=parts)
     want = {}
     for k, a, b in sorted(rows):
         want[k, a, b] = sum(1 for r in want if r[0] == k)
     assert {(r.k, r.a, r.b): r["at"] for r in got.collect()} == want
 
 
+def test_positions_of_text_ids_nulls_and_outliers(spark):
+    rows = [("a", 1), ("a", None), (None, 5), (None, 4), ("b", 10 ** 15), *[("b", i) for i in range(50)]]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(4)
+    got = {(r.k, r.v): r["at"] for r in running_before(df, [F.col("v")], "at", keys=["k"], partitions=6).collect()}
+    assert got == {("a", None): 0, ("a", 1): 1, (None, 4): 0, (None, 5): 1, ("b", 10 ** 15): 50, **{("b", i): i for i in range(50)}}
+    names = spark.createDataFrame([(f"p{i % 17}", t) for i in range(60) for t in "xy" if t == "x" or i % 17 < 3], "group_id string, task string")
+    places = {(r.task, r.group_id): r.patient_index for r in bootstrap.patient_positions(names).collect()}
+    assert places == {("x", n): i for i, n in enumerate(sorted(f"p{i}" for i in range(17)))} | {("y", f"p{i}"): i for i in range(3)}
+    windows = spark.createDataFrame([(f"r{i}", w) for i in range(30) for w in range(i % 4 + 1)], "record_id string, window_index long")
+    at = [r.global_window_index for r in records.global_window_index(windows).orderBy("record_id", "window_index").collect()]
+    assert at == list(range(len(at)))
+
+
+def test_no_range_holds_most_rows(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") == 0, F.lit(10 ** 15)).otherwise(F.col("id")).alias("v"))
+    placed = running_before(df, [F.col("v")], "at", partitions=8)
+    assert placed.filter("v = 1000000000000000").first()["at"] == 19_999
+    sizes = [r["count"] for r in placed.groupBy(F.expr("at div 2500")).count().collect()]
+    assert max(sizes) == 2500
+
+
+@pytest.mark.parametrize("dim", [4, 64, 65, 200])
+def test_pools_are_alike_at_every_width(spark, dim):
+    rng = np.random.default_rng(dim)
+    x = {r: rng.normal(size=(int(n), dim)) for r, n in zip("abcd", [1, 3, 9, 30])}
+    rows = [(r, i, v.tolist()) for r, m in x.items() for i, v in enumerate(m)] + [("a", 9, None), ("z", 0, None)]
+    df = spark.createDataFrame(rows, "record_id string, window_index long, features array<double>").repartition(4)
+
+    def got(pooled, where="true"):
+        return {r.record_id: np.array(r.features) for r in pooled.filter(where).collect()}
+    mean, quart = got(pooling.mean_pool(df, dim)), [got(pooling.q75_pool(df, dim, hot_rows=h)) for h in (5, 10 ** 6)]
+    sdp = pooling.sdp_pool(df, dim, [1.0, 5.0, 20.0], chunk=4)
+    assert set(mean) == set(quart[0]) == set(quart[1]) == set(x)
+    for r, m in x.items():
+        assert np.allclose(mean[r], m.mean(0))
+        assert all(np.allclose(q[r], np.quantile(m, 0.75, axis=0)) for q in quart)
+        d = np.sqrt(((m - m.mean(0)) ** 2).sum(1))
+        for t in (1.0, 5.0, 20.0):
+            w = np.exp((d - d.max()) / t)
+            assert np.allclose(got(sdp, f"temperature = {t}")[r], (w[:, None] * m).sum(0) / w.sum())
+    known = df.filter("features is not null and record_id <> 'a'")
+    z = {(r.record_id, r.window_index): np.array(r.features) for r in pooling.standardise(known, F.col("record_id") != "b", dim).collect()}
+    fit = np.concatenate([x["c"], x["d"]])
+    assert np.allclose(z["b", 1], (x["b"][1] - fit.mean(0)) / fit.std(0))
+    with pytest.raises(Exception, match="dimension"):
+        pooling.mean_pool(df, dim + 1).collect()
+
+
+def test_shuffled_rows_do_not_follow_the_dimension(spark):
+    for dim in (64, 256):
+        df = spark.range(400).select((F.col("id") % 4).alias("record_id"), F.array_repeat(F.col("id").cast("double"), dim).alias("features"))
+        plan = pooling.mean_pool(df, dim)._jdf.queryExecution().executedPlan().toString()
+        assert "posexplode" not in plan
+
+
+def test_crop_of_a_constant_signal_by_prefix_sums(spark):
+    for size in (3, 64, 65):
+        df = spark.createDataFrame([(1, i, 0.5) for i in range(200)], "record_id int, sample_index long, value double")
+        assert signals.max_energy_crop(df, size).first().crop_start_sample == 0
+
+
 def test_global_running_total_and_batches(spark):
     windows = spark.createDataFrame([(r, w) for r in (3, 10, 11, 500) for w in range(r % 7 + 1)], "record_id long, window_index long")
-    got = records.global_window_index(windows, batch_size=4, slices=5).orderBy("record_id", "window_index").collect()
+    got = records.global_window_index(windows, batch_size=4).orderBy("record_id", "window_index").collect()
     assert [r.global_window_index for r in got] == list(range(len(got))) and [r.batch_id for r in got] == [i // 4 for i in range(len(got))]
 
 
@@ -224,6 +285,10 @@ def test_logreg_reaches_the_optimum_in_declared_order(spark, classes):
     got = fitting.logreg_scores(df, F.col("split") == "train", "label", classes, 4, tol=1e-10).orderBy("record_id").collect()
     want = softmax_optimum(x, y, classes)
     assert np.abs(np.array([r.probabilities for r in got]) - want).max() < 1e-5
+    usual = fitting.logreg_scores(df, F.col("split") == "train", "label", classes, 4).orderBy("record_id").collect()
+    assert np.abs(np.array([r.probabilities for r in usual]) - want).max() < 2e-3
+    with pytest.raises(ValueError, match="'other' is not among"):
+        fitting.fit_logreg(df.withColumn("label", F.when(F.col("record_id") == 3, F.lit("other")).otherwise(F.col("label"))), "label", classes, 4)
     assert got[0].class_order == classes
 
 
@@ -235,7 +300,7 @@ def test_scaling_uses_fit_rows_only(spark):
 
 def test_out_of_fold_scores_cover_the_training_rows_once(spark):
     rows = [(i, [float(i % 2), float(i)], ["no", "yes"][i % 2], i // 2 if i < 10 else -1) for i in range(12)]
-    df = spark.createDataFrame(rows, "record_id int, features array<double>, label string, fold_id int")
+    df = spark.createDataFrame(rows, "record_id int, features array<double>, label string, fold_id int").withColumn("group_id", F.expr("record_id div 2"))
     got = fitting.oof_scores(df, "label", ["no", "yes"], 2).collect()
     assert sorted(r.record_id for r in got) == list(range(10)) and all(math.isfinite(p) for r in got for p in r.probabilities)
     prior = fitting.oof_prior_scores(df, "label", ["no", "yes"]).collect()
@@ -247,5 +312,5 @@ def test_out_of_fold_scores_cover_the_training_rows_once(spark):
 def test_leaking_folds_are_refused(spark):
     rows = [(i, 7, [float(i)], ["no", "yes"][i % 2], i % 2) for i in range(6)]
     df = spark.createDataFrame(rows, "record_id int, group_id int, features array<double>, label string, fold_id int")
-    with pytest.raises(ValueError, match="group leakage"):
+    with pytest.raises(ValueError, match="several folds"):
         fitting.oof_scores(df, "label", ["no", "yes"], 1, folds=2)

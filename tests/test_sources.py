@@ -50,9 +50,9 @@ def test_ordered_csv_and_draw_pieces(spark, tmp_path):
     sinks.write_csv_gz(df, str(tmp_path / "c"), ["k"])
     lines = [line for p in sorted((tmp_path / "c").glob("*.csv.gz")) for line in gzip.open(p, "rt").read().split()[1:]]
     assert lines == [str(i) for i in range(50)]
-    drawn = spark.range(60).select((F.col("id") % 3).alias("draw"), F.expr("id div 3").alias("slot"), (F.col("id") * 7 % 20).alias("patient_index"))
+    drawn = spark.range(60).select(F.lit("t").alias("task"), (F.col("id") % 3).alias("draw"), F.expr("id div 3").alias("slot"), (F.col("id") * 7 % 20).alias("patient_index"))
     sinks.write_draws(drawn, str(tmp_path / "d"), piece=8)
-    key = ["draw", "slot", "patient_index"]
+    key = ["task", "draw", "slot", "patient_index"]
     assert sorted(map(tuple, tables.read_draws(spark, str(tmp_path / "d")).select(*key).collect())) == sorted(map(tuple, drawn.collect()))
 
 
@@ -63,6 +63,16 @@ def test_bundle_manifest(spark, tmp_path):
     assert (tmp_path / "machine_readable" / "t_one").is_dir() and (tmp_path / "tables" / "t_one").is_dir()
     direct = verify.table_fingerprint(df, ["k", "v"]).first()
     assert row.h0 == direct.h0 and row.h3 == direct.h3
+    assert (row.json_files, row.csv_files, row.total_tables, row.total_rows, row.total_files) == (1, 1, 1, 2, 2)
+
+
+def test_payload_of_equal_rows_and_of_none(spark, tmp_path):
+    df = spark.range(0, 5000, 1, 3).select(F.lit(7).alias("v"))
+    sinks.write_payload(df, str(tmp_path / "p"), "tab:x", rows_per_document=1000)
+    sizes = [r[0] for r in spark.read.json(str(tmp_path / "p")).select(F.size("rows")).collect()]
+    assert sum(sizes) == 5000 and max(sizes) <= 1000
+    sinks.write_payload(df.limit(0), str(tmp_path / "e"), "tab:x")
+    assert spark.read.schema("label string, rows array<struct<v:int>>").json(str(tmp_path / "e")).select("label", F.size("rows")).collect() == [("tab:x", 0)]
 
 
 def test_official_split_and_exclusions(spark):
