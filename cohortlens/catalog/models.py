@@ -6,7 +6,7 @@ against a numerical optimum.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import views
@@ -24,11 +24,24 @@ TASKS = {"binary": ("binary_label", views.BINARY_LABELS), "coarse": ("coarse_lab
 CLASSES = {task: classes for task, (_, classes) in TASKS.items()}
 
 
+FOLDS = {task: f"fold_{task}" for task in TASKS}
+CHALLENGE = {"T2-1": ("coarse_label", views.COARSE, "Normal", ["Abnormal"]),
+             "T2-2": ("fine_label", views.FINE, "1-URGENT", ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"])}
+CHALLENGE_FOLDS = {task: f"fold_{task}" for task in CHALLENGE}
+
+
+def with_folds(rows: DataFrame, labels: dict[str, str], train: Column) -> DataFrame:
+    """A fold column per task, stratified on the task's own label."""
+    for task, label in labels.items():
+        rows = grouped_stratified_folds(rows, label, train).withColumnRenamed("fold_id", f"fold_{task}")
+    return rows
+
+
 def branch(spark: SparkSession, folder: str, kind: str) -> Branch:
-    """One readout of the embeddings: the first 16 dimensions, all of them, or their grid readout, with folds."""
-    rows = grouped_stratified_folds(views.features(spark, folder), "coarse_label", F.col("split") == "train")
+    """One readout of the embeddings, with folds per task: their squares, the values, or their grid readout."""
+    rows = stored(with_folds(views.features(spark, folder), {t: label for t, (label, _) in TASKS.items()}, F.col("split") == "train"), "branch")
     if kind == "single":
-        return Branch(rows.withColumn("features", F.slice("features", 1, 16)), 16)
+        return Branch(rows.withColumn("features", F.transform("features", lambda x: x * x)), views.FEATURE_DIM)
     if kind == "grid":
         return Branch(rows.withColumn("features", grid_readout(F.col("features"), 4, 4, 4)), 32)
     return Branch(rows, views.FEATURE_DIM)
@@ -63,50 +76,59 @@ def oof_prior(spark: SparkSession, folder: str) -> DataFrame:
 def oof_logreg(spark: SparkSession, folder: str) -> DataFrame:
     """Left-out folds scored by models of the other folds."""
     b = branch(spark, folder, "all")
-    rows = stored(b.rows, "branch", ["fold_id"])
-    return scored(fitting.oof_scores(rows, "binary_label", views.BINARY_LABELS, b.dim), "binary_label")
+    return scored(fitting.oof_scores(b.rows, "binary_label", views.BINARY_LABELS, b.dim, fold=FOLDS["binary"]), "binary_label")
 
 
-def record_windows_with_folds(spark: SparkSession, folder: str) -> DataFrame:
-    rows = grouped_stratified_folds(views.records(spark, folder), "coarse_label", F.col("split") == "train2022")
-    return rows.select("record_id", "group_id", "split", "fold_id", "fine_label", "coarse_label")
+def records_with_folds(spark: SparkSession, folder: str) -> DataFrame:
+    rows = with_folds(views.records(spark, folder), {t: spec[0] for t, spec in CHALLENGE.items()}, F.col("split") == "train2022")
+    return stored(rows.select("record_id", "group_id", "split", *CHALLENGE_FOLDS.values(), "fine_label", "coarse_label"), "folds")
 
 
-@query("select_temperature_cv")
+@query("select_temperature_cv", with_views("""select task, temperature, fold_id::int fold_id, record_count, round(SE,6) SE, round(SP,6) SP, round("AS",6) "AS",
+ round(HS,6) HS, round(Score,6) Score, temperature=(select temperature from cbest where cbest.task=cscore.task) selected from cscore""", "cscore", "cbest"))
 def select_temperature_cv(spark: SparkSession, folder: str) -> DataFrame:
-    """Official score per temperature and fold of distance-pooled windows, each fitted on the other folds."""
+    """Official score per task, temperature and fold of distance-pooled windows, scored by the class means of the other folds; the choice."""
     pooled = sdp_pool(stored(views.windows(spark, folder), "windows"), views.WINDOW_DIM, experiments.TEMPERATURES)
-    rows = stored(pooled.join(record_windows_with_folds(spark, folder), "record_id"), "sdp", ["temperature"])
-    scores = experiments.select_temperature(rows, views.WINDOW_DIM, "coarse_label", views.COARSE, "Normal", ["Abnormal"])
-    return rounded(scores, "SE", "SP", "AS", "HS", "Score", digits=6)
-
-
-@query("progression")
+    rows = stored(pooled.join(records_with_folds(spark, folder), "record_id"), "sdp", ["temperature"])
+    scores = stored(experiments.union([
+        experiments.select_temperature(rows, views.WINDOW_DIM, label, classes, normal, sensitive, fold_column=CHALLENGE_FOLDS[task],
+                                       fit=fitting.fit_centroids).withColumn("task", F.lit(task))
+        for task, (label, classes, normal, sensitive) in CHALLENGE.items()]), "fold-scores")
+    chosen = experiments.rank_temperatures(scores).select("task", "temperature", "selected")
+    return rounded(scores.join(chosen, ["task", "temperature"]), "SE", "SP", "AS", "HS", "Score", digits=6)
+
+
+@query("progression", with_views("""select case split when 'test2022' then 'Set2022' else 'Set2023' end dataset, split evaluation, task,
+ case kind when 'single' then 'phase1' when 'all' then 'phase2' else 'phase3' end phase, alpha selected_alpha, round(balanced_accuracy,6) balanced_accuracy,
+ round(macro_f1,6) macro_f1, round(accuracy,6) accuracy, record_count from emet where kind<>'grid'""", "emet"))
 def progression(spark: SparkSession, folder: str) -> DataFrame:
-    """Metrics of the three phases with alpha chosen on out-of-fold training scores."""
-    rows, _ = experiments.progression(branch(spark, folder, "single"), branch(spark, folder, "all"), branch(spark, folder, "grid"),
-                                      TASKS, EVALUATIONS, F.col("split") == "train")
+    """Metrics of the three phases by class means, with alpha chosen on out-of-fold training scores."""
+    found = experiments.progression(branch(spark, folder, "single"), branch(spark, folder, "all"), branch(spark, folder, "grid"),
+                                    TASKS, EVALUATIONS, F.col("split") == "train", FOLDS, fit=fitting.fit_centroids)
     by = ["dataset", "evaluation", "task", "phase"]
-    return rounded(metrics.classification_metrics(rows, by, CLASSES, absent="skip"),
-                   "balanced_accuracy", "macro_f1", "accuracy", digits=6)
+    alphas = found.selection.filter("selected").select("task", F.lit("phase3").alias("phase"), F.col("alpha").alias("selected_alpha"))
+    rows = metrics.classification_metrics(found.predictions, by, CLASSES, absent="skip").join(alphas, ["task", "phase"], "left")
+    return rounded(rows, "balanced_accuracy", "macro_f1", "accuracy", digits=6)
 
 
-@query("challenge_workflow")
+@query("challenge_workflow", with_views("""select evaluation, task, method, record_count, round(SE,6) SE, round(SP,6) SP, round("AS",6) "AS", round(HS,6) HS,
+ round(Score,6) Score from coff""", "coff"))
 def challenge_workflow(spark: SparkSession, folder: str) -> DataFrame:
-    """Official scores of both pooled readouts and their fusion, temperature chosen on training rows."""
-    tasks = {"T2-1": ("coarse_label", views.COARSE, "Normal", ["Abnormal"])}
-    rows, _ = experiments.challenge(stored(views.windows(spark, folder), "windows"), views.WINDOW_DIM, record_windows_with_folds(spark, folder),
-                                    tasks, F.col("split") == "train2022")
-    scores = metrics.official_score(rows, ["evaluation", "task", "method"], views.NORMAL, views.SENSITIVE)
+    """Official scores of both pooled readouts and their fusion by class means, temperature chosen on training rows, both tasks."""
+    found = experiments.challenge(stored(views.windows(spark, folder), "windows"), views.WINDOW_DIM, records_with_folds(spark, folder),
+                                  CHALLENGE, F.col("split") == "train2022", CHALLENGE_FOLDS, fit=fitting.fit_centroids)
+    scores = metrics.official_score(found.predictions, ["evaluation", "task", "method"], views.NORMAL, views.SENSITIVE)
     return rounded(scores, "SE", "SP", "AS", "HS", "Score", digits=6)
 
 
-@query("encoder_comparison")
+@query("encoder_comparison", with_views("""select case split when 'test2022' then 'Set2022' else 'Set2023' end dataset, split evaluation, task,
+ case kind when 'single' then 'Enc-A' when 'all' then 'Enc-B' else 'Enc-C' end as method, round(balanced_accuracy,6) balanced_accuracy,
+ round(macro_f1,6) macro_f1, round(accuracy,6) accuracy, record_count from emet where kind<>'fused'""", "emet"))
 def encoder_comparison(spark: SparkSession, folder: str) -> DataFrame:
-    """Metrics of one fit per encoder and task on two held-out splits."""
+    """Metrics of one set of class means per encoder and task on two held-out splits."""
     encoders = {name: branch(spark, folder, kind) for name, kind in
                 (("Enc-A", "single"), ("Enc-B", "all"), ("Enc-C", "grid"))}
-    rows = experiments.encoder_comparison(encoders, TASKS, EVALUATIONS, F.col("split") == "train")
+    rows = experiments.encoder_comparison(encoders, TASKS, EVALUATIONS, F.col("split") == "train", fit=fitting.fit_centroids)
     by = ["dataset", "evaluation", "task", "method"]
     return rounded(metrics.classification_metrics(rows, by, CLASSES, absent="skip"),
                    "balanced_accuracy", "macro_f1", "accuracy", digits=6)

@@ -56,6 +56,11 @@ def with_views(body: str, *names: str) -> str:
 
 COARSE_CASE = "case {0} when '1-URGENT' then 'Normal' when '5-LOW' then 'Reject' else 'Abnormal' end"
 
+SE_SP = """sum(case when y_true in ('Abnormal','2-HIGH','3-MEDIUM','4-NOT SPECIFIED') and y_true=y_pred then 1 else 0 end)::double
+  /nullif(sum(case when y_true in ('Abnormal','2-HIGH','3-MEDIUM','4-NOT SPECIFIED') then 1 else 0 end),0) SE,
+ sum(case when y_true in ('Normal','1-URGENT') and y_true=y_pred then 1 else 0 end)::double
+  /nullif(sum(case when y_true in ('Normal','1-URGENT') then 1 else 0 end),0) SP"""
+
 VIEWS = {
     "recs": """select o_orderkey record_id, o_custkey group_id, cast(year(o_orderdate) as int) yr,
  case when year(o_orderdate)=1995 then 'train2022' when year(o_orderdate)<=1997 then 'test2022' else 'test2023' end split,
@@ -115,6 +120,67 @@ VIEWS = {
  'q'||(label%4) coarse_label, case when (vec_id//5)%10<6 then 'train' when (vec_id//5)%10<8 then 'test2022' else 'test2023' end split,
  embedding::double[] features from embeddings""",
     "embl": "select record_id, split, unnest(range(0,64)) dim, unnest(features) x from embs",
+    "etask": """select record_id, group_id, split, 'binary' task, binary_label y from embs union all select record_id, group_id, split, 'coarse', coarse_label from embs""",
+    "efold": """select task, group_id, (row_number() over (partition by task, main order by md5(group_id::varchar), group_id)-1)%5 fold_id from
+ (select task, group_id, y main from (select task, group_id, y, row_number() over (partition by task, group_id order by count(*) desc, y) rk
+   from etask where split='train' group by task, group_id, y) where rk=1)""",
+    "efit": "select e.*, case when split='train' then fold_id else -1 end fold_id from etask e left join efold using (task, group_id)",
+    "ebr": """select record_id, 'all' kind, dim, x from embl union all select record_id, 'single', dim, x*x from embl union all
+ select record_id, 'grid', (dim//16)*4+dim%4, avg(x) from embl group by all union all
+ select record_id, 'grid', 16+(dim//16)*4+dim%4, stddev_pop(x) from embl group by all""",
+    "emeans": """select kind, task, k, y cls, dim, avg(x) m from ebr join efit using (record_id) cross join (select unnest(range(-1,5)) k)
+ where split='train' and (k=-1 or fold_id<>k) group by all""",
+    "edist": """select kind, task, record_id, cls, 1.0::double/(1.0::double+sqrt(sum((x-m)*(x-m)))) c
+ from efit join ebr using (record_id) join emeans using (kind, task, dim) where k=fold_id group by all""",
+    "eprob": """select kind, task, record_id, split, y, cls, c/sum(c) over (partition by kind, task, record_id) p
+ from edist join etask using (task, record_id)""",
+    "ecls": "select distinct task, cls from eprob",
+    "etry": """select task, record_id, y, alpha, cls y_pred from (select a.*, alpha, row_number() over (partition by task, a.record_id, alpha
+   order by alpha*a.p+(1.0::double-alpha)*b.p desc, cls) rk from eprob a join eprob b using (task, record_id, cls) cross join alphas
+   where a.kind='all' and b.kind='grid' and a.split='train') where rk=1""",
+    "etryc": """select task, alpha, cls, sum(case when y=cls and y_pred=cls then n else 0 end) tp, sum(case when y=cls then n else 0 end) sup,
+ sum(case when y_pred=cls then n else 0 end) prd from (select task, alpha, y, y_pred, count(*) n from etry group by all) join ecls using (task) group by all""",
+    "ealpha": """select task, alpha from (select task, alpha, row_number() over (partition by task order by avg(case when sup>0 then tp::double/sup end) desc,
+   avg(case when tp=0 then 0.0::double else 2.0::double*(tp::double/prd)*(tp::double/sup)/(tp::double/prd+tp::double/sup) end) desc,
+   abs(alpha-0.5), alpha) rk from etryc group by task, alpha) where rk=1""",
+    "efinal": """select kind, task, record_id, split, y, cls, p, null::double alpha from eprob where split<>'train' union all
+ select 'fused', task, record_id, a.split, a.y, cls, alpha*a.p+(1.0::double-alpha)*b.p, alpha from eprob a join eprob b using (task, record_id, cls)
+ join ealpha using (task) where a.kind='all' and b.kind='grid' and a.split<>'train'""",
+    "epred": """select kind, task, split, y, y_pred, alpha, count(*) n from (select *, cls y_pred, row_number() over (partition by kind, task, record_id order by p desc, cls) rk
+   from efinal) where rk=1 group by all""",
+    "emet": """select kind, task, split, alpha, avg(case when sup>0 then tp::double/sup end) balanced_accuracy,
+ avg(case when tp=0 then 0.0::double else 2.0::double*(tp::double/prd)*(tp::double/sup)/(tp::double/prd+tp::double/sup) end) macro_f1,
+ sum(tp)::double/sum(sup)::double accuracy, sum(sup)::bigint record_count from (select kind, task, split, max(alpha) alpha, cls,
+ sum(case when y=cls and y_pred=cls then n else 0 end) tp, sum(case when y=cls then n else 0 end) sup, sum(case when y_pred=cls then n else 0 end) prd
+ from epred join ecls using (task) group by kind, task, split, cls) group by all""",
+    "ctask": """select record_id, group_id, split, 'T2-1' task, coarse_label y from recs union all select record_id, group_id, split, 'T2-2', fine_label from recs""",
+    "cfold": """select task, group_id, (row_number() over (partition by task, main order by md5(group_id::varchar), group_id)-1)%5 fold_id from
+ (select task, group_id, y main from (select task, group_id, y, row_number() over (partition by task, group_id order by count(*) desc, y) rk
+   from ctask where split='train2022' group by task, group_id, y) where rk=1)""",
+    "cfit": "select e.*, case when split='train2022' then fold_id else -1 end fold_id from ctask e left join cfold using (task, group_id)",
+    "cvec": "select record_id, temperature, dim, v x from sdp union all select record_id, -1.0, dim, quantile_cont(x,0.75) from winl group by all",
+    "cmeans": """select temperature, task, k, y cls, dim, avg(x) m from cvec join cfit using (record_id) cross join (select unnest(range(-1,5)) k)
+ where split='train2022' and (k=-1 or fold_id<>k) group by all""",
+    "cdist": """select temperature, task, record_id, split, fold_id, y, cls, 1.0::double/(1.0::double+sqrt(sum((x-m)*(x-m)))) c
+ from cfit join cvec using (record_id) join cmeans using (temperature, task, dim) where k=fold_id group by all""",
+    "cprob": "select *, c/sum(c) over (partition by temperature, task, record_id) p from cdist",
+    "ctry": """select task, temperature, fold_id, y y_true, cls y_pred from (select p.*, row_number() over (partition by p.temperature, task, record_id order by p.p desc, pos) rk
+   from cprob p join cl using (task, cls) where split='train2022' and temperature>0) where rk=1""",
+    "cscore": f"""select *, (SE+SP)/2 "AS", case when SE+SP=0 then 0.0::double else 2*SE*SP/(SE+SP) end HS,
+ ((SE+SP)/2+case when SE+SP=0 then 0.0::double else 2*SE*SP/(SE+SP) end)/2 Score from (select task, temperature, fold_id, count(*) record_count, {SE_SP} from ctry group by all)""",
+    "cmean": "select task, temperature, avg(Score) mean_score, row_number() over (partition by task order by temperature) k from cscore group by task, temperature",
+    "cwalk": """select task, k, temperature, mean_score from cmean where k=1 union all
+ select o.task, o.k, case when o.mean_score>cwalk.mean_score+1e-4::double then o.temperature else cwalk.temperature end,
+ case when o.mean_score>cwalk.mean_score+1e-4::double then o.mean_score else cwalk.mean_score end from cwalk join cmean o on o.task=cwalk.task and o.k=cwalk.k+1""",
+    "cbest": "select task, max_by(temperature, k) temperature from cwalk group by task",
+    "cfinal": """select 'CLS' method, p.* from cprob p join cbest using (task, temperature) union all select 'Temporal Grid', * from cprob where temperature=-1.0""",
+    "cboth": """select method, task, record_id, split, y, cls, p from cfinal where split<>'train2022' union all
+ select 'Fusion', task, record_id, a.split, a.y, cls, 0.5::double*a.p+0.5::double*b.p from cfinal a join cfinal b using (task, record_id, cls)
+ where a.method='CLS' and b.method<>'CLS' and a.split<>'train2022'""",
+    "coff": f"""select *, (SE+SP)/2 "AS", case when SE+SP=0 then 0.0::double else 2*SE*SP/(SE+SP) end HS,
+ ((SE+SP)/2+case when SE+SP=0 then 0.0::double else 2*SE*SP/(SE+SP) end)/2 Score from (select split evaluation, task, method, count(*) record_count, {SE_SP}
+ from (select split, task, method, y y_true, cls y_pred from (select b.*, row_number() over (partition by method, task, record_id order by p desc, pos) rk
+   from cboth b join cl using (task, cls)) where rk=1) group by all)""",
     "docs": """select d.doc_id record_id, source group_id, case when d.doc_id%5=0 then 'test' else 'train' end split, sha256(text) content, quality, toxic
  from documents d left join labels l on d.doc_id=l.doc_id""",
     "tpd": "select * from tp where evaluation='test2022' and (task='T2-1' or group_id%3<>0)",
@@ -175,6 +241,12 @@ VIEWS = {
 }
 
 DEPENDS = {
+    "etask": ("embs",), "efold": ("etask",), "efit": ("efold",), "ebr": ("embl",), "emeans": ("ebr", "efit"), "edist": ("emeans",),
+    "eprob": ("edist",), "ecls": ("eprob",), "etry": ("eprob", "alphas"), "etryc": ("etry", "ecls"), "ealpha": ("etryc",),
+    "efinal": ("ealpha",), "epred": ("efinal",), "emet": ("epred",), "ctask": ("recs",), "cfold": ("ctask",), "cfit": ("cfold",),
+    "cvec": ("sdp", "winl"), "cmeans": ("cvec", "cfit"), "cdist": ("cmeans",), "cprob": ("cdist",), "ctry": ("cprob", "cl"),
+    "cscore": ("ctry",), "cmean": ("cscore",), "cwalk": ("cmean",), "cbest": ("cwalk",), "cfinal": ("cbest",), "cboth": ("cfinal",),
+    "coff": ("cboth",),
     "raws": ("recs", "fine", "meth"), "scores_long": ("raws",), "scores3": ("scores_long",), "pred3": ("scores3",),
     "tp": ("pred3",), "conf": ("tp",), "pc": ("conf", "cl"), "pr": ("pc",), "met": ("pr",), "off0": ("tp",), "off": ("off0",),
     "winl": ("wins",), "embl": ("embs",), "tpd": ("tp",), "patients": ("tpd",), "draws": ("patients",), "cells": ("tpd", "patients"),

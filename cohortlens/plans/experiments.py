@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -30,6 +30,15 @@ class Branch:
     dim: int
 
 
+@dataclass(frozen=True)
+class Outcome:
+    """Predictions of an experiment, and the table its choice was made from (every candidate, with ``selected``)."""
+
+    predictions: DataFrame
+    selection: DataFrame
+    folds: DataFrame | None = None
+
+
 def union(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
@@ -51,42 +60,43 @@ def choose_alpha(cls_oof: DataFrame, tg_oof: DataFrame, label: str, classes: Seq
 
 
 def progression(single: Branch, cls: Branch, tg: Branch, tasks: Mapping[str, tuple[str, Sequence[str]]],
-                evaluations: Mapping[str, str], train: Column, **options) -> tuple[DataFrame, dict[str, float]]:
-    """Predictions of the three phases on every evaluation split, and the alpha chosen per task.
+                evaluations: Mapping[str, str], train: Column, folds: Mapping[str, str], fit: Callable = fit_logreg, **options) -> Outcome:
+    """Predictions of the three phases on every evaluation split, and the ranked alphas per task.
 
-    ``tasks`` maps a task to (label column, classes) and ``evaluations`` a split to
-    its dataset name.  Alpha is chosen on out-of-fold training scores only.
+    ``tasks`` maps a task to (label column, classes), ``folds`` to the fold column stratified on that label, and
+    ``evaluations`` a split to its dataset name.  Alpha is chosen on out-of-fold training scores only.
+    ``fit`` makes a scorer of (rows, label, classes, dimension).
     """
-    out, chosen = [], {}
-    single, cls, tg = (Branch(stored(b.rows, "branch", ["fold_id"]), b.dim) for b in (single, cls, tg))
+    out, choices = [], []
+    single, cls, tg = (Branch(stored(b.rows, "branch"), b.dim) for b in (single, cls, tg))
     held = F.col("split").isin(list(evaluations))
     dataset = F.lit(None).cast("string")
     for split, name in evaluations.items():
         dataset = F.when(F.col("split") == split, F.lit(name)).otherwise(dataset)
     for task, (label, classes) in tasks.items():
-        cls_oof, tg_oof = (oof_scores(b.rows, label, classes, b.dim, **options) for b in (cls, tg))
-        ranked = choose_alpha(cls_oof, tg_oof, label, classes)
+        cls_oof, tg_oof = (oof_scores(b.rows, label, classes, b.dim, fold=folds[task], fit=fit, **options) for b in (cls, tg))
+        ranked = stored(choose_alpha(cls_oof, tg_oof, label, classes), "alphas")
         alpha = ranked.filter("selected").first()["alpha"]
-        chosen[task] = alpha
-        s, c, t = together([lambda b=b: fit_logreg(b.rows.filter(train), label, classes, b.dim, **options).score(
+        choices.append(ranked.withColumn("task", F.lit(task)))
+        s, c, t = together([lambda b=b: fit(b.rows.filter(train), label, classes, b.dim, **options).score(
             b.rows.filter(held)) for b in (single, cls, tg)])
         phases = {"phase1": s, "phase2": c, "phase3": fuse_tables(c, t, ["record_id"], alpha, len(classes))}
         for phase, scored in phases.items():
             out.append(prediction_rows(scored, label, dataset=dataset, evaluation=F.col("split"), phase=phase, task=task)
                        .withColumn("selected_alpha", F.lit(alpha if phase == "phase3" else None).cast("double")))
-    return union(out), chosen
+    return Outcome(union(out), union(choices))
 
 
 def select_temperature(pooled: DataFrame, dim: int, label: str, classes: Sequence[str], normal: str,
                        sensitive: Sequence[str], temperatures: Sequence[float] = TEMPERATURES, folds: int = 5,
-                       **options) -> DataFrame:
+                       fold_column: str = "fold_id", fit: Callable = fit_logreg, **options) -> DataFrame:
     """Official scores per (temperature, fold): each grid value fitted and scored fold by fold on training rows."""
-    train = pooled.filter(F.col("fold_id") >= 0)
+    train = pooled.withColumn("fold_id", F.col(fold_column)).filter("fold_id >= 0")
     require_whole_groups(train)
 
     def one(temperature: float, fold: int) -> DataFrame:
         rows = train.filter(F.col("temperature") == temperature)
-        scorer = fit_logreg(rows.filter(F.col("fold_id") != fold), label, classes, dim, **options)
+        scorer = fit(rows.filter(F.col("fold_id") != fold), label, classes, dim, **options)
         return (predict(scorer.score(rows.filter(F.col("fold_id") == fold)))
                 .select("temperature", "fold_id", F.col(label).alias("y_true"), "y_pred"))
 
@@ -94,35 +104,41 @@ def select_temperature(pooled: DataFrame, dim: int, label: str, classes: Sequenc
     return official_score(union(scored), ["temperature", "fold_id"], normal, sensitive)
 
 
-def best_temperature(fold_scores: DataFrame, margin: float = REPLACEMENT_MARGIN) -> float:
-    means = mean_over_folds(fold_scores.withColumn("task", F.lit("t")), ["task", "temperature"])
-    return incumbent(means, ["task"], "temperature", margin=margin).first()["selected"]
+def rank_temperatures(fold_scores: DataFrame, margin: float = REPLACEMENT_MARGIN) -> DataFrame:
+    """(task, temperature, mean_score, selected) from the scores per (task, temperature, fold)."""
+    means = mean_over_folds(fold_scores, ["task", "temperature"])
+    chosen = incumbent(means, ["task"], "temperature", margin=margin).withColumnRenamed("selected", "__t")
+    return means.join(chosen, "task").withColumn("selected", F.col("temperature") == F.col("__t")).drop("__t")
 
 
 def challenge(windows: DataFrame, dim: int, records: DataFrame, tasks: Mapping[str, tuple[str, Sequence[str], str, Sequence[str]]],
-              train: Column, **options) -> tuple[DataFrame, dict[str, float]]:
-    """Predictions of the distance-pooled, q75 and fused readouts on all rows outside ``train``, and the chosen temperatures.
+              train: Column, folds: Mapping[str, str], fit: Callable = fit_logreg, **options) -> Outcome:
+    """Predictions of the distance-pooled, q75 and fused readouts on all rows outside ``train``, with the fold and mean scores per temperature.
 
-    ``tasks`` maps a task to (label column, classes, normal class, sensitive classes).
+    ``tasks`` maps a task to (label column, classes, normal class, sensitive classes), ``folds`` to its fold column.
     """
     shares = windows.select("record_id", "window_index", "features")
     # Every fit reads the pooled vectors: stored once, and a fit reads only its temperature and folds.
     sdp = stored(sdp_pool(shares, dim, TEMPERATURES).join(records, "record_id"), "sdp", ["temperature"])
     q75 = stored(q75_pool(shares, dim).join(records, "record_id"), "q75")
-    out, chosen = [], {}
+    scores = stored(union([
+        select_temperature(sdp, dim, label, classes, normal, sensitive, fold_column=folds[task], fit=fit, **options).withColumn("task", F.lit(task))
+        for task, (label, classes, normal, sensitive) in tasks.items()]), "fold-scores")
+    ranked = stored(rank_temperatures(scores), "temperatures")
+    chosen = {r["task"]: r["temperature"] for r in ranked.filter("selected").collect()}  # one per task
+    out = []
     for task, (label, classes, normal, sensitive) in tasks.items():
-        temperature = best_temperature(select_temperature(sdp, dim, label, classes, normal, sensitive, **options))
-        chosen[task] = temperature
+        temperature = chosen[task]
         at = sdp.filter(F.col("temperature") == temperature).drop("temperature")
-        cls, tg = together([lambda r=r: fit_logreg(r.filter(train), label, classes, dim, **options).score(r.filter(~train))
+        cls, tg = together([lambda r=r: fit(r.filter(train), label, classes, dim, **options).score(r.filter(~train))
                             for r in (at, q75)])
         methods = {"CLS": cls, "Temporal Grid": tg, "Fusion": fuse_tables(cls, tg, ["record_id"], FUSION_ALPHA, len(classes))}
         out += [prediction_rows(s, label, evaluation=F.col("split"), task=task, method=m) for m, s in methods.items()]
-    return union(out), chosen
+    return Outcome(union(out), ranked, scores)
 
 
 def encoder_comparison(encoders: Mapping[str, Branch], tasks: Mapping[str, tuple[str, Sequence[str]]],
-                       evaluations: Mapping[str, str], train: Column, **options) -> DataFrame:
+                       evaluations: Mapping[str, str], train: Column, fit: Callable = fit_logreg, **options) -> DataFrame:
     """Predictions of one fit per (encoder, task) on the training split, scored on the held-out splits."""
     held = F.col("split").isin(list(evaluations))
     dataset = F.lit(None).cast("string")
@@ -132,7 +148,7 @@ def encoder_comparison(encoders: Mapping[str, Branch], tasks: Mapping[str, tuple
     encoders = {m: Branch(stored(b.rows, "encoder"), b.dim) for m, b in encoders.items()}
 
     def one(method: str, branch: Branch, task: str, label: str, classes: Sequence[str]) -> DataFrame:
-        scorer = fit_logreg(branch.rows.filter(train), label, classes, branch.dim, **options)
+        scorer = fit(branch.rows.filter(train), label, classes, branch.dim, **options)
         return prediction_rows(scorer.score(branch.rows.filter(held)), label, dataset=dataset, evaluation=F.col("split"),
                                task=task, method=method)
 
