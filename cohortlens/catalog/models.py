@@ -89,7 +89,7 @@ def records_with_folds(spark: SparkSession, folder: str) -> DataFrame:
 def select_temperature_cv(spark: SparkSession, folder: str) -> DataFrame:
     """Official score per task, temperature and fold of distance-pooled windows, scored by the class means of the other folds; the choice."""
     pooled = sdp_pool(stored(views.windows(spark, folder), "windows"), views.WINDOW_DIM, experiments.TEMPERATURES)
-    rows = stored(pooled.join(records_with_folds(spark, folder), "record_id"), "sdp", ["temperature"])
+    rows = stored(pooled.join(records_with_folds(spark, folder), "record_id"), "sdp", ["temperature"], files=8)
     scores = stored(experiments.union([
         experiments.select_temperature(rows, views.WINDOW_DIM, label, classes, normal, sensitive, fold_column=CHALLENGE_FOLDS[task],
                                        fit=fitting.fit_centroids).withColumn("task", F.lit(task))

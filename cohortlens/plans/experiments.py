@@ -119,7 +119,7 @@ def challenge(windows: DataFrame, dim: int, records: DataFrame, tasks: Mapping[s
     """
     shares = windows.select("record_id", "window_index", "features")
     # Every fit reads the pooled vectors: stored once, and a fit reads only its temperature and folds.
-    sdp = stored(sdp_pool(shares, dim, TEMPERATURES).join(records, "record_id"), "sdp", ["temperature"])
+    sdp = stored(sdp_pool(shares, dim, TEMPERATURES).join(records, "record_id"), "sdp", ["temperature"], files=8)
     q75 = stored(q75_pool(shares, dim).join(records, "record_id"), "q75")
     scores = stored(union([
         select_temperature(sdp, dim, label, classes, normal, sensitive, fold_column=folds[task], fit=fit, **options).withColumn("task", F.lit(task))

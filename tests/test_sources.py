@@ -1,6 +1,7 @@
 """Readers and writers over small files."""
 
 import gzip
+from pathlib import Path
 import json
 
 import pytest
@@ -56,6 +57,16 @@ def test_ordered_csv_and_draw_pieces(spark, tmp_path):
     assert sorted(map(tuple, tables.read_draws(spark, str(tmp_path / "d")).select(*key).collect())) == sorted(map(tuple, drawn.collect()))
 
 
+def test_scratch_tables(spark, tmp_path):
+    from cohortlens.session import clear_scratch, stored
+    df = spark.range(0, 400, 1, 12).select((F.col("id") % 3).alias("k"), "id")
+    kept = stored(df, "test", ["k"], files=2)
+    assert kept.filter("k = 1").count() == 133 and len(kept.inputFiles()) <= 6
+    assert stored(df.limit(0), "test", ["k"]).count() == 0
+    place = kept.inputFiles()[0].split("/k=")[0].removeprefix("file:").replace("///", "/")
+    assert Path(place).is_dir() and clear_scratch(spark) >= 2 and not Path(place).exists()
+
+
 def test_bundle_manifest(spark, tmp_path):
     df = spark.createDataFrame([("a", 0.5), ("b", 0.25)], "k string, v double")
     row = sinks.write_bundle({"tab:t:one": df}, str(tmp_path), {"tab:t:one": ["k"]}).first()
