@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from . import packing
 from .chunks import Chunk, chunked, from_bytes, nullable, part_count
+from .storing import settled
 from .words import WindowHashes, column, inside
 
 OFFER = "kind int, part int, chunk long, payload binary"
@@ -130,8 +131,9 @@ def backoff_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table, total = chunked(df, id_col, text_col, keep, with_text=False, purpose="backoff")
     # Equal hashes of different n-grams stay as rare at any size: one in 2^26 or less.
     parts, bits = part_count(total * order), min(64, max(54, total.bit_length() + 26))
-    totals = (table.select("chunk", "words").mapInPandas(_offers(order, bits, parts), OFFER)
-              .groupBy("part").applyInPandas(_totals, OFFER))
+    # Stored, so that the offers, by far the largest exchange, are gone before the texts move.
+    totals = settled(table.select("chunk", "words").mapInPandas(_offers(order, bits, parts), OFFER)
+                     .groupBy("part").applyInPandas(_totals, OFFER), "backoff-counts")
     own = table.select(F.lit(0).alias("kind"), F.lit(0).alias("part"), "chunk", F.col("words").alias("payload"))
     rows = table.select(F.lit(2).alias("kind"), F.lit(0).alias("part"), "chunk", F.col("rows").alias("payload"))
     schema = "__id long, n_words long, log_score double"
