@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from cohortlens.llm.outliers import DIM, FLOORS, base_failed, estimates, quality_rules, vector
+from cohortlens.llm.outliers import DIM, estimates, quality_rules
 from cohortlens.llm.queries import QUERIES
 from tests.conftest import SMALL
 from tests.llm import brute
@@ -35,7 +35,6 @@ def test_estimate_resists_outliers(spark):
     z = (np.concatenate((good, bad)) - e.centre) @ np.array(e.factor).reshape(DIM, DIM).T
     d = (z ** 2).sum(1) / e.scale
     assert (d[:1600] < 25).mean() > 0.99 and d[1600:].min() > 40
-    assert len(FLOORS) == DIM
 
 
 def test_junk_goes_and_clean_stays(spark):
@@ -53,6 +52,5 @@ def test_junk_goes_and_clean_stays(spark):
     assert len(got) == len(rows)
     kept = {i for i, k, _ in got if k}
     assert sum(i < 800 for i in kept) >= 798 and not any(800 <= i < 900 for i in kept)
-    assert {900, 901}.isdisjoint(kept) and {902, 903, 904} - {904} <= kept
+    assert {900, 901, 904}.isdisjoint(kept) and {902, 903} <= kept  # 904 repeats itself ten times
     assert quality_rules(df.limit(0)).count() == 0
-    assert base_failed() is not None and vector() is not None
