@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import tune
+from .storing import small_batches_for
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -18,6 +19,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under ``name``, with its SQL where SQL can express it."""
     def keep(build: Query) -> Query:
         def run(spark: SparkSession, folder: str) -> DataFrame:
+            small_batches_for(spark)
             return build(tune(spark), folder)
         run.__name__, run.__doc__ = name, build.__doc__
         QUERIES[name] = run

@@ -26,7 +26,7 @@ MARK = "▁"
 #: Fixed value: an unknown character scores this much below the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Distinct units that a task keeps.
-KEPT = 400_000
+KEPT = 200_000
 #: Units of more bytes are searched one by one.
 TOGETHER = 256
 
@@ -309,27 +309,31 @@ def _shared(df: DataFrame, model: str):
     return df.sparkSession.sparkContext.broadcast(_pieces(model))
 
 
-def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (),
+           check: bool = False) -> DataFrame:
     """(``id_col``, kept columns, ``n_tokens``, ``n_byte_tokens``, ``ids``) for every row.
 
+    With ``check``, also ``round_trip``: the ids decode to the text (false for a null text).
     Null and empty texts have no ids.  Repeated rows give repeated rows; an empty table gives an empty result.
     """
-    if {"ids", "n_tokens", "n_byte_tokens"} & set(keep):
+    if {"ids", "n_tokens", "n_byte_tokens", "round_trip"} & set(keep):
         raise ValueError("a kept column has the name of a result column")
     shared = _shared(df, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in small_batches(batches, "__text", 4_000_000):
-            ids, at = own.encode(column(batch, "__text").to_pylist())
+        for batch in small_batches(batches, "__text", 2_000_000):
+            texts = column(batch, "__text").to_pylist()
+            ids, at = own.encode(texts)
+            same = [pa.array([t == d for t, d in zip(texts, own.decode(ids.astype(np.int64), at))])] if check else []
             low = np.concatenate(([0], np.cumsum(own.is_byte[ids])))[at]
             yield pa.RecordBatch.from_arrays(
                 [c for c, n in zip(batch.columns, batch.schema.names) if n != "__text"]
-                + [pa.array(np.diff(at)), pa.array(np.diff(low)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))],
-                names=[n for n in batch.schema.names if n != "__text"] + ["n_tokens", "n_byte_tokens", "ids"])
+                + [pa.array(np.diff(at)), pa.array(np.diff(low)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))] + same,
+                names=[n for n in batch.schema.names if n != "__text"] + ["n_tokens", "n_byte_tokens", "ids"] + ["round_trip"] * check)
     rows = df.select(F.col(id_col).alias("__id"), *keep, F.col(text_col).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
-    return (rows.mapInArrow(run, f"{kinds}, n_tokens long, n_byte_tokens long, ids array<int>").withColumnRenamed("__id", id_col))
+    return (rows.mapInArrow(run, f"{kinds}, n_tokens long, n_byte_tokens long, ids array<int>" + ", round_trip boolean" * check).withColumnRenamed("__id", id_col))
 
 
 def decode(df: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
