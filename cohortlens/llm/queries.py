@@ -33,7 +33,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@query("op10_substring_dedup")
+@query("op10_substring_dedup", r"""
+with t as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w from documents),
+p as (select doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) i from t),
+g as (select doc_id, i, word, case when count(*) over d = 20 then string_agg(word, ' ') over d end s
+ from p window d as (partition by doc_id order by i rows between current row and 19 following)),
+f as (select s, min({'d': doc_id, 'i': i}) m from g where s is not null group by s),
+r as (select g.*, coalesce(f.m.d <> doc_id or f.m.i <> i, false) later from g left join f on g.s = f.s),
+c as (select *, bool_or(later) over (partition by doc_id order by i rows between 19 preceding and current row) gone from r)
+select t.doc_id, cast(any_value(len(w)) as bigint) n_words, count(*) filter (gone) n_removed,
+ sha256(coalesce(string_agg(word, ' ' order by i) filter (not gone), '')) kept_sha256
+from t left join c on t.doc_id = c.doc_id group by t.doc_id""")
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words that remain after repeats of 20 words are removed."""
     from .repeats import remove_repeats
