@@ -141,9 +141,11 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if {"held_out", "score", "predicted"} & set(keep):
         raise ValueError("a kept column has the name of a result column")
     named = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)])
-    stats = settled(with_statistics(named, "__text", keep=["__id", *[f"__k{i}" for i in range(len(keep))]]), "statistics")
-    model = fit(stats.select("__id", *[c for c in stats.columns if not c.startswith("__")]), labels.withColumnRenamed(id_col, "__id"), "__id")
-    scored = stats.withColumn("__score", model.score())
+    stats = settled(with_statistics(named.select("__id", "__text"), "__text", keep=["__id"]), "statistics")
+    model = fit(stats, labels.withColumnRenamed(id_col, "__id"), "__id")
+    # Kept columns, texts among them, are not stored beside the counts: they pass by a second count of their own.
+    counted = with_statistics(named, "__text", keep=["__id", *[f"__k{i}" for i in range(len(keep))]]) if keep else stats
+    scored = counted.withColumn("__score", model.score())
     return scored.select(F.col("__id").alias(id_col), *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)],
                          held_out("__id").alias("held_out"), F.col("__score").alias("score"),
                          (F.col("__score") >= threshold).cast("int").alias("predicted"))
