@@ -212,12 +212,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Enough bits that false anchors stay rare at any size; they would only add candidates.
     parts, bits = part_count(total), min(64, max(40, total.bit_length() + 12))
     offers = table.select("chunk", "words").mapInPandas(_block_offers(block, bits, parts), OFFER)
-    replies = offers.groupBy("part").applyInPandas(_answer_blocks, OFFER)
+    # Answers are stored, so that the offers, the largest exchange, are gone before words and texts move.
+    replies = settled(offers.groupBy("part").applyInPandas(_answer_blocks, OFFER), "repeat-blocks")
     own = table.select(F.lit(0).alias("kind"), F.lit(0).alias("part"), "chunk", F.col("words").alias("payload"))
     found = settled(own.unionByName(replies).groupBy("chunk").applyInPandas(_window_offers(window, block, bits, parts), OFFER),
                     "repeat-candidates", by=["kind"])
     found = found.select("kind", "part", "chunk", "payload")
-    firsts = found.filter("kind = 1").groupBy("part").applyInPandas(_answer_windows, OFFER)
+    firsts = settled(found.filter("kind = 1").groupBy("part").applyInPandas(_answer_windows, OFFER), "repeat-windows")
     texts = table.select(F.lit(2).alias("kind"), F.lit(0).alias("part"), "chunk", F.col("rows").alias("payload"))
     schema = "__id long, n_words long, n_removed long, removed array<struct<lo: long, hi: long>>, kept_text string"
     if keep:
