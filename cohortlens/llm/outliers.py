@@ -50,13 +50,14 @@ def chi2_quantile(q: float, dim: int) -> float:
 
 
 def grouped(df: DataFrame, groups: Sequence[str], least: int = LEAST_ROWS) -> DataFrame:
-    """``df`` with ``__g``: its (language, source), or a pool where that has too few rows.
+    """``df`` with ``__g``: its (language, source), or a pool where that has too few rows with ``base_failed`` false.
 
+    Only those are estimated, so only they count for the sizes of groups and pools.
     The table of group sizes has one row per group; rows meet it in a join that Spark broadcasts or splits by measured size.
     """
     named = df.withColumns({f"__g{i}": F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for i, c in enumerate(groups)})
     keys = [f"__g{i}" for i in range(len(groups))]
-    sizes = named.groupBy(*keys).count()
+    sizes = named.groupBy(*keys).agg(F.count_if(~F.col("base_failed")).alias("count"))
     label = F.concat_ws("\x1f", *keys)
     pools = sizes.groupBy(keys[0]).agg(F.sum(F.when(F.col("count") < least, F.col("count"))).alias("__rest"))
     sizes = (sizes.join(pools, keys[0])
@@ -139,8 +140,8 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``kept`` is false if the base rules fail, or if the distance is beyond ``quantile`` of the chi-square distribution.
     A null text counts as empty and fails the base rules.  A null language or source is a group of its
-    own.  Groups of fewer than 200 rows are pooled by language and then over the table; if even that
-    pool is smaller, its rows have no distance and only the base rules count.  Rows that fail the base
+    own.  Groups of fewer than 200 rows that pass the base rules are pooled by language and then over the table; if even
+    that pool is smaller, its rows have no distance and only the base rules count.  Rows that fail the base
     rules take no part in the estimates.  An empty table gives an empty result; repeated rows give repeated rows.
     """
     named = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(groups)])

@@ -54,3 +54,17 @@ def test_junk_goes_and_clean_stays(spark):
     assert sum(i < 800 for i in kept) >= 798 and not any(800 <= i < 900 for i in kept)
     assert {900, 901, 904}.isdisjoint(kept) and {902, 903} <= kept  # 904 repeats itself ten times
     assert quality_rules(df.limit(0)).count() == 0
+
+
+def test_a_group_with_few_passing_rows_is_pooled_and_judged(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+
+    def text(end):
+        return " ".join(rng.choice(vocabulary) + end() for _ in range(rng.randint(60, 500)))
+    rows = [(i, text(str), "en", "large") for i in range(400)]
+    rows += [(1000 + i, text(str) if i < 180 else text(lambda: "$$$") if i < 190 else "short", "en", "junk") for i in range(250)]  # 60 fail the base rules
+    rows += [(2000 + i, text(str), "en", "small") for i in range(60)]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert sum(r.base_failed for r in got.values()) == 60 and all(r.distance is not None for r in got.values())
+    assert not any(got[1000 + i].kept for i in range(180, 190)) and sum(got[1000 + i].kept for i in range(180)) >= 178
