@@ -145,7 +145,11 @@ def q75_pool(windows: DataFrame, dim: int, q: float = 0.75, hot_rows: int = 200_
     ordinary, hot = split_hot(rows, ["record_id"], hot_rows)
     plain = pool(ordinary, ["record_id"], dim, lambda x: sorted_quantile(x, q))
     spread = hot.select("record_id", F.posexplode("features").alias("dim", "x"))
-    counted = gather(counted_quantile(spread, ["record_id", "dim"], "x", q), ["record_id"], "q", "features")
+    # Every dimension of a hot record has an entry, null where it has no value.
+    empty = hot.groupBy("record_id").agg(F.sequence(F.lit(0), F.lit(dim - 1)).alias("dim")).select("record_id", F.explode("dim").alias("dim"))
+    cells = counted_quantile(spread, ["record_id", "dim"], "x", q).unionByName(empty.withColumn("q", F.lit(None).cast("double")))
+    cells = cells.groupBy("record_id", "dim").agg(F.max("q").alias("q"))
+    counted = gather(cells, ["record_id"], "q", "features")
     return plain.unionByName(counted)
 
 

@@ -314,3 +314,11 @@ def test_leaking_folds_are_refused(spark):
     df = spark.createDataFrame(rows, "record_id int, group_id int, features array<double>, label string, fold_id int")
     with pytest.raises(ValueError, match="several folds"):
         fitting.oof_scores(df, "label", ["no", "yes"], 1, folds=2)
+
+
+def test_upper_quartile_of_null_keys_and_null_dimensions(spark):
+    rows = [(None, [float(i), None, 1.0]) for i in range(5)] + [(1, [None, float(i), 2.0]) for i in range(5)] + [(2, [None, None, None])] * 3
+    df = spark.createDataFrame(rows, "record_id long, features array<double>")
+    want = {None: [3.0, None, 1.0], 1: [None, 3.0, 2.0], 2: [None, None, None]}
+    for hot_rows in (2, 10 ** 6):
+        assert {r.record_id: r.features for r in pooling.q75_pool(df, 3, hot_rows=hot_rows).collect()} == want
