@@ -12,6 +12,7 @@ from cohortlens.llm.queries import target_levels
 from cohortlens.llm.unigram import _pieces
 from tests.llm import brute
 from tests.llm.test_mixing import plain
+from tests.llm.test_overlap import plain as all_pairs
 
 FOLDER = "/root/testdata/sf0.001"
 TYPES = ["bigint", "string", "string", "string", "bigint"]
@@ -47,7 +48,7 @@ def test_classifier_keeps_good_documents(spark, results):
 
 def test_near_copies(results):
     before, after = texts(results[1]), texts(results[2])
-    assert after == {i: before[i] for i, (_, c) in brute.near_duplicates(before.items()).items() if i == c}
+    assert after == {i: before[i] for i, first in all_pairs(before.items()).items() if i == first}
 
 
 def test_repeats(results):
