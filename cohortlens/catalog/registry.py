@@ -183,7 +183,7 @@ VIEWS = {
    from cboth b join cl using (task, cls)) where rk=1) group by all)""",
     "docs": """select d.doc_id record_id, source group_id, case when d.doc_id%5=0 then 'test' else 'train' end split, sha256(text) content, quality, toxic
  from documents d left join labels l on d.doc_id=l.doc_id""",
-    "tpd": "select * from tp where evaluation='test2022' and (task='T2-1' or group_id%3<>0)",
+    "tpd": "select * from tp where evaluation='test2022'",
     "patients": """select task, group_id, row_number() over (partition by task order by group_id)-1 patient_index, count(*) over (partition by task) patients
  from (select distinct task, group_id from tpd)""",
     "draws": f"""select task, d.range draw, k.patient_index slot,
