@@ -196,3 +196,61 @@ def chat_snapshots(spark: SparkSession, folder: str) -> DataFrame:
     """Maximal conversations as chat text."""
     from .snapshots import render_maximal
     return render_maximal(table(spark, folder, "conversations"))
+
+
+def _crc32(value: str) -> str:
+    """SQL for the CRC-32 of a number's decimal digits, bit by bit with the reversed polynomial 0xEDB88320."""
+    steps = f"flatten([[cast(ascii(c) as bigint), -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(cast({value} as varchar), '')])"
+    return (f"xor(list_reduce({steps}, lambda s, b: case when b >= 0 then xor(s, b) else xor(s >> 1, 3988292384 * (s & 1)) end, "
+            "4294967295::bigint), 4294967295)")
+
+
+PERIODIC_SQL = rf"""
+with t as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w, {_crc32("doc_id")} h from documents),
+m as (select *, len(w) n, (h // 10) % greatest(len(w), 1) a, 3 + (h // 10) % 8 e from t),
+u as (select r, doc_id, n, case when h % 10 = 0 and n > 0 then [w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // e) end] for i in range(n)] else w end w from m),
+p as (select r, unnest(w) word, unnest(range(n)) i from u),
+g as (select *, lead(word, 1) over d w1, lead(word, 2) over d w2, lead(word, 3) over d w3, lead(word, 4) over d w4 from p window d as (partition by r order by i)),
+k as (select r, i, hash(word, w1, w2, w3, w4) f, word, w1, w2, w3, w4 from g where w4 is not null),
+q as (select a.r, a.i, b.i - a.i d from k a join k b on a.r = b.r and a.f = b.f and b.i > a.i and a.word = b.word and a.w1 = b.w1 and a.w2 = b.w2
+  and a.w3 = b.w3 and a.w4 = b.w4),
+s as (select r, d, i, i - row_number() over (partition by r, d order by i) island from q),
+l as (select r, min(i) "start", d + count(*) + 4 as "length", d from s group by r, d, island having count(*) + 4 >= greatest(6 - d, 3 * d)),
+o as (select r, "start", "length", min(d) period from l group by all),
+x as (select p.r, p.i, p.word, exists (select 1 from o where o.r = p.r and p.i >= o."start" + o.period and p.i < o."start" + o."length") gone
+ from p where r in (select r from o)),
+c as (select r, string_agg(word, ' ' order by i) filter (not gone) kept from x group by r),
+b as (select r, count(*) n_runs, arg_min({{'s': "start", 'l': "length", 'p': period}}, {{'l': -"length", 's': "start", 'p': period}}) best,
+ string_agg("start" || ',' || "length" || ',' || period || chr(10), '' order by "start", period) listed from o group by r)
+select doc_id, coalesce(n_runs, 0) n_runs, cast(best.s as bigint) as "start", cast(best.l as bigint) as "length", cast(best.p as bigint) period,
+ cast(1000 * best.l // best.p as bigint) exponent_milli, sha256(coalesce(listed, '')) runs_sha256,
+ sha256(case when n_runs is null then array_to_string(w, ' ') else coalesce(kept, '') end) collapsed_sha256
+from u left join b on u.r = b.r left join c on u.r = c.r"""
+
+
+def with_periods(docs: DataFrame) -> DataFrame:
+    """(``doc_id``, ``text``) where a tenth of the documents, by the CRC-32 of the id, goes on periodically from some word on."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, words))
+    n = F.size("w")
+    a = F.expr("cast((h div 10) % greatest(size(w), 1) as int)")
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.expr("(h div 10) % 8"))).cast("int")
+    times = F.ceil((n - a) / p).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("w", a + 1, p), times)), F.lit(1), n - a)
+    return rows.select("doc_id", F.when(F.col("w").isNotNull() & (n > 0), F.array_join(F.concat(F.slice("w", F.lit(1), a), again), " "))
+                       .otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs", PERIODIC_SQL)
+def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of every document, the longest one, and hashes of all runs and of the text without their repetitions."""
+    from .periodic import periodic_runs as runs
+    found = runs(with_periods(table(spark, folder, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))), "")
+    found = found.withColumn("best", best)
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.s").alias("start"), (-F.col("best.l")).alias("length"),
+                        F.col("best.p").alias("period"), F.expr("1000 * -best.l div best.p").alias("exponent_milli"),
+                        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+                        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
