@@ -254,3 +254,14 @@ def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
                         F.col("best.p").alias("period"), F.expr("1000 * -best.l div best.p").alias("exponent_milli"),
                         F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
                         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query("op13_token_alignment")
+def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups and links between two tokenisers' tokens of every document, with the corpus-wide counts of linked ids."""
+    import public_tokenizers
+
+    from .alignment import align
+    digest = lambda written: F.when(written == "", F.lit("")).otherwise(F.sha2(written.cast("binary"), 256))
+    return align(table(spark, folder, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")),
+                 str(public_tokenizers.path("piece_bpe_32k.model")), groups=digest).withColumnRenamed("groups", "groups_sha256")
