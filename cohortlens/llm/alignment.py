@@ -17,6 +17,7 @@ import json
 import os
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe_counts import byte_letters
+from .bpe_counts import PIECES, byte_letters
 from .chunks import from_bytes, to_bytes
 from .storing import settled
 from .words import column, small_batches
@@ -34,6 +35,8 @@ NAMES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 BATCH_BYTES = 2_000_000
 #: Links that one join makes at a time, and distinct (document, pair) rows after which a chunk is closed.
 LINKS, CHUNK_PAIRS = 4_000_000, 2_000_000
+#: Code points up to which the quicker of two encoders of the same vocabulary is used; it is not made for endless runs.
+QUICK_CHARS = 200_000
 MARK = "▁"
 
 
@@ -48,8 +51,8 @@ class _Both:
         self.first = Tokenizer.from_str(byte_spec)
         self.first.encode_special_tokens = True
         self.second = sentencepiece.SentencePieceProcessor(model_proto=model)
-        letters = byte_letters()
-        names = {t["content"] for t in json.loads(byte_spec).get("added_tokens", [])}
+        letters, spec = byte_letters(), json.loads(byte_spec)
+        names = {t["content"] for t in spec.get("added_tokens", [])}
         by_id = sorted((i, t) for t, i in self.first.get_vocab().items())
         a = [b""] * (by_id[-1][0] + 1)
         for i, t in by_id:
@@ -60,17 +63,38 @@ class _Both:
             b.append(bytes([int(piece[3:5], 16)]) if self.second.is_byte(i) else piece.replace(MARK, " ").encode())
         self.bytes = pa.array(a, pa.large_binary()), pa.array(b, pa.large_binary())
         self.sizes = tuple(np.asarray(pc.binary_length(x), np.int64) for x in self.bytes)
+        self.quick = self._quick(spec, {t: i for i, t in enumerate(a) if t}, names)
+
+    @staticmethod
+    def _quick(spec: dict, ranks: dict[bytes, int], names: set[str]):
+        """The same vocabulary by ranks, where ids follow the order of the merges; None where they don't."""
+        before, model = spec["pre_tokenizer"] or {}, spec["model"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        order = [model["vocab"][x + y] for x, y in merges]
+        plain = (spec["normalizer"] is None and before.get("type") == "ByteLevel" and not before["add_prefix_space"]
+                 and before.get("use_regex", True) and not model.get("dropout") and not model.get("ignore_merges"))
+        if not plain or sorted(set(order)) != order or len(order) + 256 + len(names) != len(ranks):
+            return None
+        import tiktoken
+        special = {n.encode() for n in names}
+        return tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks={t: i for t, i in ranks.items() if t not in special}, special_tokens={})
+
+    def _first_ids(self, text: str) -> np.ndarray:
+        if not text:
+            return np.empty(0, np.uint32)
+        if self.quick is not None and len(text) <= QUICK_CHARS:
+            return self.quick.encode_to_numpy(" " + text, disallowed_special=())
+        return np.array(self.first.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, np.uint32)
 
     def encode(self, texts: list[str]) -> tuple[pa.LargeListArray, pa.LargeListArray]:
         """Token ids of every text by A and B; texts without characters have none."""
-        a = [e.ids for e in self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        a = [self._first_ids(t) for t in texts]
         b = self.second.encode(texts, num_threads=1)
-        return tuple(self._lists([x if t else [] for x, t in zip(ids, texts)]) for ids in (a, b))
-
-    @staticmethod
-    def _lists(ids: list[list[int]]) -> pa.LargeListArray:
-        flat = np.fromiter((i for x in ids for i in x), np.int64)
-        return pa.LargeListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int64()), pa.array(flat))
+        b = [x if t else [] for x, t in zip(b, texts)]
+        flat = (np.concatenate(a).astype(np.int64) if a else np.empty(0, np.int64),
+                np.fromiter(chain.from_iterable(b), np.int64, sum(map(len, b))))
+        return tuple(pa.LargeListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int64()), pa.array(f))
+                     for ids, f in zip((a, b), flat))
 
 
 @lru_cache(maxsize=1)

@@ -88,6 +88,14 @@ def test_against_plain(spark, libraries, monkeypatch):
     assert sorted(rows_of(alignment.align(df.filter("text is null"), *FILES))) == [(0, 0, 0, 0, 0, 0, "")]
 
 
+def test_both_encoders_of_a_vocabulary_agree(spark):
+    both = alignment._both(open(FILES[0], encoding="utf-8").read(), open(FILES[1], "rb").read())
+    texts = [t for t in some_texts() if t] + [r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect() if r.text]
+    assert both.quick is not None
+    for t in texts:
+        assert both._first_ids(t).tolist() == both.first.encode(" " + t, add_special_tokens=False).ids
+
+
 def test_links_in_slices(libraries, monkeypatch):
     """However few links a join makes at a time, the pairs are the same."""
     import pyarrow as pa
