@@ -265,3 +265,10 @@ def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     digest = lambda written: F.when(written == "", F.lit("")).otherwise(F.sha2(written.cast("binary"), 256))
     return align(table(spark, folder, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")),
                  str(public_tokenizers.path("piece_bpe_32k.model")), groups=digest).withColumnRenamed("groups", "groups_sha256")
+
+
+@query("op12_embedding_near_dedup")
+def embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of every vector at a cosine of 0.95, and the smallest id that they reach."""
+    from .hnsw import near_vectors
+    return near_vectors(table(spark, folder, "embeddings"), least=0.95)
