@@ -32,7 +32,7 @@ SHARD, BLOCK, STEP = 8192, 2048, 256
 DEGREE, MOST, BUILD = 16, 32, 48
 #: A payload is copied to at most so many cells of the grid (query blocks x shards), whatever their number.
 GRID = 64
-#: Bound of the audited sample, the share of its links to be found, and the width to begin with.
+#: Expected size of the audited sample, taken by hash; the share of its links to be found, and the width to begin with.
 AUDITED, RECALL, WIDTH = 1024, 0.995, 16
 
 
@@ -342,7 +342,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         dealt = of.select("cid", "vec", F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(count)).alias("block"))
         return dealt.groupBy("block").applyInArrow(_blocked(width), "block long, asked binary")
 
-    sample = settled(blocks(classes.orderBy(F.xxhash64("cid", F.lit(2))).limit(AUDITED), 4), "hnsw-audited")
+    sample = settled(blocks(classes.filter(F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(max(n, 1))) < AUDITED), 4), "hnsw-audited")
     beam = WIDTH
     while n and beam * 8 < SHARD:
         seen = (_cells(sample, shards, 4, shard_count).mapInArrow(_audited(width, least, beam), "links long, found long")
