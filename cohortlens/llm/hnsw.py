@@ -296,9 +296,9 @@ def _placed(pairs: list[tuple[np.ndarray, np.ndarray]], size: int) -> tuple[np.n
     return _star(pairs, np.arange(size))
 
 
-def _cells(blocks: DataFrame, shards: DataFrame, block_count: int, shard_count: int) -> DataFrame:
+def _cells(blocks: DataFrame, shards: DataFrame, shard_count: int) -> DataFrame:
     """Every query block beside every shard, by an equality join on cells of a grid whose sides have ``GRID`` groups at most."""
-    rows, columns = min(GRID, block_count), min(GRID, shard_count)
+    rows = columns = min(GRID, shard_count)
     asked = blocks.select("asked", F.pmod("block", F.lit(rows)).alias("__r"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("__k"))
     given = shards.select("shard", "index", F.pmod("shard", F.lit(columns)).alias("__k"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("__r"))
     return asked.join(given, [asked["__r"] == given["__r"], asked["__k"] == given["__k"]]).select("shard", "index", "asked")
@@ -345,12 +345,12 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     sample = settled(blocks(classes.filter(F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(max(n, 1))) < AUDITED), 4), "hnsw-audited")
     beam = WIDTH
     while n and beam * 8 < SHARD:
-        seen = (_cells(sample, shards, 4, shard_count).mapInArrow(_audited(width, least, beam), "links long, found long")
+        seen = (_cells(sample, shards, shard_count).mapInArrow(_audited(width, least, beam), "links long, found long")
                 .agg(F.sum("links").alias("links"), F.sum("found").alias("found")).first())
         if (seen["found"] or 0) >= recall * (seen["links"] or 0):
             break
         beam *= 2
-    cells = _cells(settled(blocks(classes, block_count), "hnsw-queries"), shards, block_count, shard_count)
+    cells = _cells(settled(blocks(classes, block_count), "hnsw-queries"), shards, shard_count)
     found = settled(cells.mapInArrow(_searched(width, least, beam), "a long, b long, n long"), "hnsw-links")
     counts = found.filter("n is not null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "cid")
     roots = components(found.filter("b is not null").select("a", "b").distinct()).withColumnRenamed("node", "cid")
