@@ -101,8 +101,8 @@ class Graph:
         held = table[pairs[:, 0]] == pairs[:, 1, None]
         pairs = pairs[~held.any(axis=1)]
         nodes, first, count = np.unique(pairs[:, 0], return_index=True, return_counts=True)
-        for lo in range(0, len(nodes), 1024):
-            n, f, c = nodes[lo:lo + 1024], first[lo:lo + 1024], count[lo:lo + 1024]
+        for lo in range(0, len(nodes), STEP):
+            n, f, c = nodes[lo:lo + STEP], first[lo:lo + STEP], count[lo:lo + STEP]
             if not len(n):
                 return
             width = int(c.max())
