@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import views
 from ..functions.vectors import grid_readout
 from ..operators import fitting, metrics
+from ..operators.cells import Family, class_means, logistic
 from ..operators.pooling import sdp_pool
 from ..operators.records import grouped_stratified_folds
 from ..plans import experiments
@@ -88,12 +89,20 @@ def records_with_folds(spark: SparkSession, folder: str) -> DataFrame:
  round(HS,6) HS, round(Score,6) Score, temperature=(select temperature from cbest where cbest.task=cscore.task) selected from cscore""", "cscore", "cbest"))
 def select_temperature_cv(spark: SparkSession, folder: str) -> DataFrame:
     """Official score per task, temperature and fold of distance-pooled windows, scored by the class means of the other folds; the choice."""
+    return temperature_table(spark, folder, class_means)
+
+
+@query("select_temperature_cv_logreg")
+def select_temperature_cv_logreg(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by logistic regressions, all fitted in common Newton steps."""
+    return temperature_table(spark, folder, logistic)
+
+
+def temperature_table(spark: SparkSession, folder: str, family: Family) -> DataFrame:
     pooled = sdp_pool(stored(views.windows(spark, folder), "windows"), views.WINDOW_DIM, experiments.TEMPERATURES)
-    rows = stored(pooled.join(records_with_folds(spark, folder), "record_id"), "sdp", ["temperature"], files=8)
-    scores = stored(experiments.union([
-        experiments.select_temperature(rows, views.WINDOW_DIM, label, classes, normal, sensitive, fold_column=CHALLENGE_FOLDS[task],
-                                       fit=fitting.fit_centroids).withColumn("task", F.lit(task))
-        for task, (label, classes, normal, sensitive) in CHALLENGE.items()]), "fold-scores")
+    rows = pooled.join(records_with_folds(spark, folder), "record_id")
+    scores = stored(experiments.select_temperature(rows, views.WINDOW_DIM, CHALLENGE, F.col("split") == "train2022", CHALLENGE_FOLDS,
+                                                   family), "fold-scores")
     chosen = experiments.rank_temperatures(scores).select("task", "temperature", "selected")
     return rounded(scores.join(chosen, ["task", "temperature"]), "SE", "SP", "AS", "HS", "Score", digits=6)
 
@@ -103,8 +112,18 @@ def select_temperature_cv(spark: SparkSession, folder: str) -> DataFrame:
  round(macro_f1,6) macro_f1, round(accuracy,6) accuracy, record_count from emet where kind<>'grid'""", "emet"))
 def progression(spark: SparkSession, folder: str) -> DataFrame:
     """Metrics of the three phases by class means, with alpha chosen on out-of-fold training scores."""
+    return phase_table(spark, folder, class_means)
+
+
+@query("progression_logreg")
+def progression_logreg(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by logistic regressions, all fitted in common Newton steps."""
+    return phase_table(spark, folder, logistic)
+
+
+def phase_table(spark: SparkSession, folder: str, family: Family) -> DataFrame:
     found = experiments.progression(branch(spark, folder, "single"), branch(spark, folder, "all"), branch(spark, folder, "grid"),
-                                    TASKS, EVALUATIONS, F.col("split") == "train", FOLDS, fit=fitting.fit_centroids)
+                                    TASKS, EVALUATIONS, F.col("split") == "train", FOLDS, family)
     by = ["dataset", "evaluation", "task", "phase"]
     alphas = found.selection.filter("selected").select("task", F.lit("phase3").alias("phase"), F.col("alpha").alias("selected_alpha"))
     rows = metrics.classification_metrics(found.predictions, by, CLASSES, absent="skip").join(alphas, ["task", "phase"], "left")
@@ -115,8 +134,18 @@ def progression(spark: SparkSession, folder: str) -> DataFrame:
  round(Score,6) Score from coff""", "coff"))
 def challenge_workflow(spark: SparkSession, folder: str) -> DataFrame:
     """Official scores of both pooled readouts and their fusion by class means, temperature chosen on training rows, both tasks."""
+    return readout_table(spark, folder, class_means)
+
+
+@query("challenge_workflow_logreg")
+def challenge_workflow_logreg(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by logistic regressions, all fitted in common Newton steps."""
+    return readout_table(spark, folder, logistic)
+
+
+def readout_table(spark: SparkSession, folder: str, family: Family) -> DataFrame:
     found = experiments.challenge(stored(views.windows(spark, folder), "windows"), views.WINDOW_DIM, records_with_folds(spark, folder),
-                                  CHALLENGE, F.col("split") == "train2022", CHALLENGE_FOLDS, fit=fitting.fit_centroids)
+                                  CHALLENGE, F.col("split") == "train2022", CHALLENGE_FOLDS, family)
     scores = metrics.official_score(found.predictions, ["evaluation", "task", "method"], views.NORMAL, views.SENSITIVE)
     return rounded(scores, "SE", "SP", "AS", "HS", "Score", digits=6)
 
@@ -126,9 +155,19 @@ def challenge_workflow(spark: SparkSession, folder: str) -> DataFrame:
  round(macro_f1,6) macro_f1, round(accuracy,6) accuracy, record_count from emet where kind<>'fused'""", "emet"))
 def encoder_comparison(spark: SparkSession, folder: str) -> DataFrame:
     """Metrics of one set of class means per encoder and task on two held-out splits."""
+    return encoder_table(spark, folder, class_means)
+
+
+@query("encoder_comparison_logreg")
+def encoder_comparison_logreg(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by logistic regressions, all fitted in common Newton steps."""
+    return encoder_table(spark, folder, logistic)
+
+
+def encoder_table(spark: SparkSession, folder: str, family: Family) -> DataFrame:
     encoders = {name: branch(spark, folder, kind) for name, kind in
                 (("Enc-A", "single"), ("Enc-B", "all"), ("Enc-C", "grid"))}
-    rows = experiments.encoder_comparison(encoders, TASKS, EVALUATIONS, F.col("split") == "train", fit=fitting.fit_centroids)
+    rows = experiments.encoder_comparison(encoders, TASKS, EVALUATIONS, F.col("split") == "train", family)
     by = ["dataset", "evaluation", "task", "method"]
     return rounded(metrics.classification_metrics(rows, by, CLASSES, absent="skip"),
                    "balanced_accuracy", "macro_f1", "accuracy", digits=6)

@@ -20,7 +20,6 @@ from ..functions.vectors import string_list
 from ..session import together
 from ..sources.tables import with_dimension
 from .checks import fold_leakage
-from .pooling import pool
 
 
 @dataclass(frozen=True)
@@ -64,29 +63,6 @@ def fit_logreg(rows: DataFrame, label: str, classes: Sequence[str], dim: int, c:
     return Scorer(estimator.fit(indexed), tuple(classes))
 
 
-@dataclass(frozen=True)
-class CentroidScorer:
-    """Closeness to the class means: ``1 / (1 + distance)`` per class, scaled to sum 1."""
-
-    means: Column
-    classes: tuple[str, ...]
-
-    def score(self, rows: DataFrame) -> DataFrame:
-        def closeness(name: str) -> Column:
-            squares = F.zip_with("features", F.element_at("__m", F.lit(name)), lambda x, m: (x - m) * (x - m))
-            return F.lit(1.0) / (F.lit(1.0) + F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v)))
-        near = rows.withColumn("__m", self.means).withColumn("__c", F.array(*map(closeness, self.classes)))
-        total = F.aggregate("__c", F.lit(0.0), lambda acc, v: acc + v)
-        return (near.withColumn("probabilities", F.transform("__c", lambda v: v / total))
-                .withColumn("class_order", string_list(self.classes)).drop("__m", "__c"))
-
-
-def fit_centroids(rows: DataFrame, label: str, classes: Sequence[str], dim: int) -> CentroidScorer:
-    """Class means of the fit rows as a scalar subquery: one aggregation, classes x ``dim`` numbers."""
-    means = pool(rows.filter(F.col(label).isin(list(classes))).select(label, "features"), [label], dim, F.avg)
-    return CentroidScorer(means.agg(F.map_from_entries(F.array_agg(F.struct(label, "features"))).alias("m")).scalar(), tuple(classes))
-
-
 def logreg_scores(rows: DataFrame, fit: Column, label: str, classes: Sequence[str], dim: int, **options) -> DataFrame:
     """Every row scored by a model fitted on the ``fit`` rows."""
     return fit_logreg(rows.filter(fit), label, classes, dim, **options).score(rows)

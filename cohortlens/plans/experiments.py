@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.fitting import fit_logreg, oof_scores, require_whole_groups
+from ..operators.cells import Family, Task, logistic, prepare
 from ..operators.metrics import classification_metrics, official_score
 from ..operators.pooling import q75_pool, sdp_pool
 from ..operators.probabilities import aligned_pairs, alpha_grid, alpha_sweep, fuse_tables, predict
 from ..operators.selection import incumbent, mean_over_folds, rank_alphas
-from ..session import stored, together
+from ..session import stored
 
 # Fixed values of the protocol: temperature grid, replacement margin, fusion weight.
 TEMPERATURES = (1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0)
@@ -59,49 +59,63 @@ def choose_alpha(cls_oof: DataFrame, tg_oof: DataFrame, label: str, classes: Seq
     return rank_alphas(classification_metrics(tried, ["alpha"], classes, absent="skip"), [])
 
 
+def _dataset(evaluations: Mapping[str, str]) -> Column:
+    name = F.lit(None).cast("string")
+    for split, dataset in evaluations.items():
+        name = F.when(F.col("split") == split, F.lit(dataset)).otherwise(name)
+    return name
+
+
+def score_parts(parts: Mapping[str, Branch], tasks: Mapping[str, Task], train: Column, family: Family = logistic) -> DataFrame:
+    """All rows of all parts scored for every task, stored: ``part``, ``task``, ``fold``, ``y_true``, ``class_order``, ``probabilities`` and the rows' columns.
+
+    Parts of one dimension are fitted together.
+    """
+    dims = dict.fromkeys(b.dim for b in parts.values())
+    scored = [family(prepare(union([b.rows.withColumn("part", F.lit(name)) for name, b in parts.items() if b.dim == dim]), tasks, dim, train))
+              for dim in dims]
+    return stored(union(scored), "scores")
+
+
 def progression(single: Branch, cls: Branch, tg: Branch, tasks: Mapping[str, tuple[str, Sequence[str]]],
-                evaluations: Mapping[str, str], train: Column, folds: Mapping[str, str], fit: Callable = fit_logreg, **options) -> Outcome:
+                evaluations: Mapping[str, str], train: Column, folds: Mapping[str, str], family: Family = logistic) -> Outcome:
     """Predictions of the three phases on every evaluation split, and the ranked alphas per task.
 
     ``tasks`` maps a task to (label column, classes), ``folds`` to the fold column stratified on that label, and
     ``evaluations`` a split to its dataset name.  Alpha is chosen on out-of-fold training scores only.
-    ``fit`` makes a scorer of (rows, label, classes, dimension).
+    ``family`` fits and applies the models of all parts, tasks and folds.
     """
+    kinds = {t: Task(label, tuple(classes), folds[t]) for t, (label, classes) in tasks.items()}
+    scored = score_parts({"phase1": single, "phase2": cls, "grid": tg}, kinds, train, family)
+    held = scored.filter((F.col("fold") < 0) & F.col("split").isin(list(evaluations)))
     out, choices = [], []
-    single, cls, tg = (Branch(stored(b.rows, "branch"), b.dim) for b in (single, cls, tg))
-    held = F.col("split").isin(list(evaluations))
-    dataset = F.lit(None).cast("string")
-    for split, name in evaluations.items():
-        dataset = F.when(F.col("split") == split, F.lit(name)).otherwise(dataset)
-    for task, (label, classes) in tasks.items():
-        cls_oof, tg_oof = (oof_scores(b.rows, label, classes, b.dim, fold=folds[task], fit=fit, **options) for b in (cls, tg))
-        ranked = stored(choose_alpha(cls_oof, tg_oof, label, classes), "alphas")
+    for task, (_, classes) in tasks.items():
+        own = scored.filter((F.col("task") == task) & (F.col("fold") >= 0))
+        ranked = stored(choose_alpha(own.filter("part = 'phase2'"), own.filter("part = 'grid'"), "y_true", classes), "alphas")
         alpha = ranked.filter("selected").first()["alpha"]
         choices.append(ranked.withColumn("task", F.lit(task)))
-        s, c, t = together([lambda b=b: fit(b.rows.filter(train), label, classes, b.dim, **options).score(
-            b.rows.filter(held)) for b in (single, cls, tg)])
+        s, c, t = (held.filter((F.col("task") == task) & (F.col("part") == part)) for part in ("phase1", "phase2", "grid"))
         phases = {"phase1": s, "phase2": c, "phase3": fuse_tables(c, t, ["record_id"], alpha, len(classes))}
-        for phase, scored in phases.items():
-            out.append(prediction_rows(scored, label, dataset=dataset, evaluation=F.col("split"), phase=phase, task=task)
+        for phase, rows in phases.items():
+            out.append(prediction_rows(rows, "y_true", dataset=_dataset(evaluations), evaluation=F.col("split"), phase=phase, task=task)
                        .withColumn("selected_alpha", F.lit(alpha if phase == "phase3" else None).cast("double")))
     return Outcome(union(out), union(choices))
 
 
-def select_temperature(pooled: DataFrame, dim: int, label: str, classes: Sequence[str], normal: str,
-                       sensitive: Sequence[str], temperatures: Sequence[float] = TEMPERATURES, folds: int = 5,
-                       fold_column: str = "fold_id", fit: Callable = fit_logreg, **options) -> DataFrame:
-    """Official scores per (temperature, fold): each grid value fitted and scored fold by fold on training rows."""
-    train = pooled.withColumn("fold_id", F.col(fold_column)).filter("fold_id >= 0")
-    require_whole_groups(train)
+def temperature_scores(scored: DataFrame, tasks: Mapping[str, tuple[str, Sequence[str], str, Sequence[str]]]) -> DataFrame:
+    """Official scores per (task, temperature, fold) from left-out predictions; the part of a temperature is its number as text."""
+    trials = predict(scored.filter("fold >= 0")).select("task", F.expr("try_cast(part as double)").alias("temperature"),
+                                                        F.col("fold").alias("fold_id"), "y_true", "y_pred")
+    return official_score(trials, ["task", "temperature", "fold_id"], {t: normal for t, (_, _, normal, _) in tasks.items()},
+                          {t: sensitive for t, (_, _, _, sensitive) in tasks.items()})
 
-    def one(temperature: float, fold: int) -> DataFrame:
-        rows = train.filter(F.col("temperature") == temperature)
-        scorer = fit(rows.filter(F.col("fold_id") != fold), label, classes, dim, **options)
-        return (predict(scorer.score(rows.filter(F.col("fold_id") == fold)))
-                .select("temperature", "fold_id", F.col(label).alias("y_true"), "y_pred"))
 
-    scored = together([lambda t=t, k=k: one(t, k) for t in temperatures for k in range(folds)])
-    return official_score(union(scored), ["temperature", "fold_id"], normal, sensitive)
+def select_temperature(pooled: DataFrame, dim: int, tasks: Mapping[str, tuple[str, Sequence[str], str, Sequence[str]]],
+                       train: Column, folds: Mapping[str, str], family: Family = logistic) -> DataFrame:
+    """Official scores per (task, temperature, fold): every temperature of ``pooled`` fitted and scored fold by fold on training rows."""
+    kinds = {t: Task(label, tuple(classes), folds[t]) for t, (label, classes, _, _) in tasks.items()}
+    rows = pooled.withColumn("part", F.col("temperature").cast("string")).drop("temperature")
+    return temperature_scores(family(prepare(rows, kinds, dim, train)), tasks)
 
 
 def rank_temperatures(fold_scores: DataFrame, margin: float = REPLACEMENT_MARGIN) -> DataFrame:
@@ -112,45 +126,34 @@ def rank_temperatures(fold_scores: DataFrame, margin: float = REPLACEMENT_MARGIN
 
 
 def challenge(windows: DataFrame, dim: int, records: DataFrame, tasks: Mapping[str, tuple[str, Sequence[str], str, Sequence[str]]],
-              train: Column, folds: Mapping[str, str], fit: Callable = fit_logreg, **options) -> Outcome:
+              train: Column, folds: Mapping[str, str], family: Family = logistic) -> Outcome:
     """Predictions of the distance-pooled, q75 and fused readouts on all rows outside ``train``, with the fold and mean scores per temperature.
 
     ``tasks`` maps a task to (label column, classes, normal class, sensitive classes), ``folds`` to its fold column.
+    All temperatures and the quartile readout are fitted together, so the chosen temperature needs no fit of its own.
     """
     shares = windows.select("record_id", "window_index", "features")
-    # Every fit reads the pooled vectors: stored once, and a fit reads only its temperature and folds.
-    sdp = stored(sdp_pool(shares, dim, TEMPERATURES).join(records, "record_id"), "sdp", ["temperature"], files=8)
-    q75 = stored(q75_pool(shares, dim).join(records, "record_id"), "q75")
-    scores = stored(union([
-        select_temperature(sdp, dim, label, classes, normal, sensitive, fold_column=folds[task], fit=fit, **options).withColumn("task", F.lit(task))
-        for task, (label, classes, normal, sensitive) in tasks.items()]), "fold-scores")
+    sdp = sdp_pool(shares, dim, TEMPERATURES).withColumn("part", F.col("temperature").cast("string")).drop("temperature")
+    pooled = sdp.unionByName(q75_pool(shares, dim).withColumn("part", F.lit("q75"))).join(records, "record_id")
+    kinds = {t: Task(label, tuple(classes), folds[t]) for t, (label, classes, _, _) in tasks.items()}
+    scored = stored(family(prepare(pooled, kinds, dim, train)), "scores")
+    scores = stored(temperature_scores(scored.filter("part <> 'q75'"), tasks), "fold-scores")
     ranked = stored(rank_temperatures(scores), "temperatures")
     chosen = {r["task"]: r["temperature"] for r in ranked.filter("selected").collect()}  # one per task
+    held = scored.filter("fold < 0")
     out = []
-    for task, (label, classes, normal, sensitive) in tasks.items():
-        temperature = chosen[task]
-        at = sdp.filter(F.col("temperature") == temperature).drop("temperature")
-        cls, tg = together([lambda r=r: fit(r.filter(train), label, classes, dim, **options).score(r.filter(~train))
-                            for r in (at, q75)])
+    for task, (_, classes, _, _) in tasks.items():
+        own = held.filter(F.col("task") == task)
+        cls = own.filter((F.col("part") != "q75") & (F.expr("try_cast(part as double)") == F.lit(chosen[task])))
+        tg = own.filter("part = 'q75'")
         methods = {"CLS": cls, "Temporal Grid": tg, "Fusion": fuse_tables(cls, tg, ["record_id"], FUSION_ALPHA, len(classes))}
-        out += [prediction_rows(s, label, evaluation=F.col("split"), task=task, method=m) for m, s in methods.items()]
+        out += [prediction_rows(s, "y_true", evaluation=F.col("split"), task=task, method=m) for m, s in methods.items()]
     return Outcome(union(out), ranked, scores)
 
 
 def encoder_comparison(encoders: Mapping[str, Branch], tasks: Mapping[str, tuple[str, Sequence[str]]],
-                       evaluations: Mapping[str, str], train: Column, fit: Callable = fit_logreg, **options) -> DataFrame:
-    """Predictions of one fit per (encoder, task) on the training split, scored on the held-out splits."""
-    held = F.col("split").isin(list(evaluations))
-    dataset = F.lit(None).cast("string")
-    for split, name in evaluations.items():
-        dataset = F.when(F.col("split") == split, F.lit(name)).otherwise(dataset)
-
-    encoders = {m: Branch(stored(b.rows, "encoder"), b.dim) for m, b in encoders.items()}
-
-    def one(method: str, branch: Branch, task: str, label: str, classes: Sequence[str]) -> DataFrame:
-        scorer = fit(branch.rows.filter(train), label, classes, branch.dim, **options)
-        return prediction_rows(scorer.score(branch.rows.filter(held)), label, dataset=dataset, evaluation=F.col("split"),
-                               task=task, method=method)
-
-    jobs = [lambda m=m, b=b, t=t, spec=spec: one(m, b, t, *spec) for m, b in encoders.items() for t, spec in tasks.items()]
-    return union(together(jobs))
+                       evaluations: Mapping[str, str], train: Column, family: Family = logistic) -> DataFrame:
+    """Predictions of one model per (encoder, task) on the training split, scored on the held-out splits."""
+    kinds = {t: Task(label, tuple(classes)) for t, (label, classes) in tasks.items()}
+    scored = score_parts(encoders, kinds, train, family).filter((F.col("fold") < 0) & F.col("split").isin(list(evaluations)))
+    return prediction_rows(scored, "y_true", dataset=_dataset(evaluations), evaluation=F.col("split"), task=F.col("task"), method=F.col("part"))
