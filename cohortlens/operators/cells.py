@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from ..functions.vectors import string_list
 from ..session import stored
 from ..sources.tables import with_dimension
-from .fitting import require_whole_groups
 from .pooling import pool, pool_many
 
 #: Bounds of what a model may have: the Hessian of one cell has to fit a task, all models together the driver.
@@ -67,22 +66,33 @@ class Cells:
         return self.rows.select(*kept, F.inline(each))
 
 
-def prepare(rows: DataFrame, tasks: Mapping[str, Task], dim: int, train: Column, folds: int = 5) -> Cells:
-    """Check and store the rows; ``rows`` has ``part``, ``record_id``, ``features``, and the label and fold columns.
-
-    A training row with a label outside the classes, a class without training rows in some cell, or a group with training
-    rows in two folds of a task is an error.
-    """
+def place(rows: DataFrame, tasks: Mapping[str, Task], dim: int, train: Column, folds: int = 5) -> Cells:
+    """Rows with their class places and folds, unchecked; ``rows`` has ``part``, ``record_id``, ``features``, and the label and fold columns."""
     columns = {}
     for i, t in enumerate(tasks.values()):
         fold = F.coalesce(F.col(t.fold), F.lit(-1)) if t.fold else F.lit(0)
         columns[f"__f{i}"] = F.when(train, fold).otherwise(F.lit(-1)).cast("int")
         columns[f"__y{i}"] = (F.array_position(string_list(list(t.classes)), F.col(t.label).cast("string")) - 1).cast("int")
-    table = stored(with_dimension(rows.withColumns(columns), dim), "cells", ["part"], files=8)
-    cells = Cells(table, dict(tasks), dim, folds)
-    for i, t in enumerate(tasks.values()):
-        if t.fold:
-            require_whole_groups(table.withColumn("__k", F.col(f"__f{i}")), "__k")
+    return Cells(with_dimension(rows.withColumns(columns), dim), dict(tasks), dim, folds)
+
+
+def prepare(rows: DataFrame, tasks: Mapping[str, Task], dim: int, train: Column, folds: int = 5) -> Cells:
+    """:func:`place` with the rows stored and checked.
+
+    A training row with a label outside the classes, a class without training rows in some cell, or a group with training
+    rows in two folds of a task is an error.
+    """
+    cells = place(rows, tasks, dim, train, folds)
+    table = stored(cells.rows, "cells", ["part"], files=8)
+    cells = Cells(table, cells.tasks, dim, folds)
+    folded = [i for i, t in enumerate(tasks.values()) if t.fold]
+    if folded:
+        if "group_id" not in table.columns:
+            raise ValueError("folds can only be checked with a group_id column")
+        own = {i: F.when(F.col(f"__f{i}") >= 0, F.col(f"__f{i}")) for i in folded}
+        ends = table.groupBy("group_id").agg(*[f(own[i]).alias(f"{n}{i}") for i in folded for n, f in (("lo", F.min), ("hi", F.max))])
+        if not ends.filter(reduce(lambda a, b: a | b, [F.col(f"lo{i}") < F.col(f"hi{i}") for i in folded])).isEmpty():
+            raise ValueError("a group has rows in several folds")
     found = cells.tall().filter("__f >= 0").groupBy("part", "task", "__f", "__y").agg(F.count("*").alias("n"), F.max("y_true").alias("example")).collect()
     strange = [r["example"] for r in found if r["__y"] is None or r["__y"] < 0]
     if strange:
@@ -114,15 +124,18 @@ def _shares(values: Column) -> Column:
     return F.transform(F.array(F.struct(values.alias("v"), total.alias("t"))), lambda s: F.transform(s["v"], lambda v: v / s["t"]))[0]
 
 
-def class_means(cells: Cells) -> DataFrame:
-    """Closeness to the class means, ``1 / (1 + distance)`` per class scaled to sum 1, for every row and task."""
+def mean_models(cells: Cells) -> DataFrame:
+    """(part, task, out, ``means``: class to mean vector) of the training rows of every cell."""
     own = pool(cells.tall().filter("__f >= 0"), ["part", "task", "__f", "y_true"], cells.dim, F.sum, extra=[F.count("*").alias("n")])
     outs = F.filter(F.sequence(F.lit(-1), F.lit(cells.folds - 1)), lambda k: k != F.col("__f"))
     shared = stored(own, "fold-sums").withColumn("out", F.explode(outs))
     total = pool(shared, ["part", "task", "out", "y_true"], cells.dim, F.sum, extra=[F.sum("n").alias("n")])
     means = total.withColumn("m", F.transform("features", lambda x: x / F.col("n")))
-    models = means.groupBy("part", "task", "out").agg(F.map_from_entries(F.array_agg(F.struct("y_true", "m"))).alias("means"))
+    return stored(means.groupBy("part", "task", "out").agg(F.map_from_entries(F.array_agg(F.struct("y_true", "m"))).alias("means")), "means")
 
+
+def mean_scores(cells: Cells, models: DataFrame) -> DataFrame:
+    """Closeness to the class means, ``1 / (1 + distance)`` per class scaled to sum 1."""
     def closeness(name: Column) -> Column:
         squares = F.zip_with("features", F.element_at("means", name), lambda x, m: (x - m) * (x - m))
         return F.lit(1.0) / (F.lit(1.0) + F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v)))
@@ -292,10 +305,8 @@ def newton(cells: Cells, c: float = 1.0, tol: float = 1e-8, most_steps: int = 10
     return spark.createDataFrame(out, "part string, task string, out int, weights array<array<double>>, bias array<double>"), passes
 
 
-def logistic(cells: Cells, **options) -> DataFrame:
-    """Probabilities of the cells' logistic regressions, for every row and task; ``options`` go to :func:`newton`."""
-    models = newton(cells, **options)[0]
-
+def logistic_scores(cells: Cells, models: DataFrame) -> DataFrame:
+    """Probabilities of the cells' logistic regressions."""
     def margin(w: Column, b: Column) -> Column:
         return b + F.aggregate(F.zip_with("features", w, lambda x, v: x * v), F.lit(0.0), lambda acc, v: acc + v)
     margins = F.zip_with("weights", "bias", margin)
@@ -304,4 +315,17 @@ def logistic(cells: Cells, **options) -> DataFrame:
     return _applied(cells, models, _shares(shifted))
 
 
-Family = Callable[[Cells], DataFrame]
+@dataclass(frozen=True)
+class Family:
+    """How to fit the models of all cells, and how to score rows with them."""
+
+    fit: Callable[[Cells], DataFrame]
+    score: Callable[[Cells, DataFrame], DataFrame]
+
+    def __call__(self, cells: Cells) -> DataFrame:
+        """Every row and task, scored by its own cell's model."""
+        return self.score(cells, self.fit(cells))
+
+
+class_means = Family(mean_models, mean_scores)
+logistic = Family(lambda cells: newton(cells)[0], logistic_scores)

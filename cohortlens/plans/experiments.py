@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.cells import Family, Task, logistic, prepare
+from ..operators.cells import Family, Task, logistic, place, prepare
 from ..operators.metrics import classification_metrics, official_score
 from ..operators.pooling import q75_pool, sdp_pool
 from ..operators.probabilities import aligned_pairs, alpha_grid, alpha_sweep, fuse_tables, predict
@@ -114,7 +114,7 @@ def select_temperature(pooled: DataFrame, dim: int, tasks: Mapping[str, tuple[st
                        train: Column, folds: Mapping[str, str], family: Family = logistic) -> DataFrame:
     """Official scores per (task, temperature, fold): every temperature of ``pooled`` fitted and scored fold by fold on training rows."""
     kinds = {t: Task(label, tuple(classes), folds[t]) for t, (label, classes, _, _) in tasks.items()}
-    rows = pooled.withColumn("part", F.col("temperature").cast("string")).drop("temperature")
+    rows = pooled.filter(train).withColumn("part", F.col("temperature").cast("string")).drop("temperature")
     return temperature_scores(family(prepare(rows, kinds, dim, train)), tasks)
 
 
@@ -130,17 +130,24 @@ def challenge(windows: DataFrame, dim: int, records: DataFrame, tasks: Mapping[s
     """Predictions of the distance-pooled, q75 and fused readouts on all rows outside ``train``, with the fold and mean scores per temperature.
 
     ``tasks`` maps a task to (label column, classes, normal class, sensitive classes), ``folds`` to its fold column.
-    All temperatures and the quartile readout are fitted together, so the chosen temperature needs no fit of its own.
+    All temperatures and the quartile readout are fitted together, so a chosen temperature needs no fit of its own; records outside
+    ``train`` are pooled at the chosen temperatures only.
     """
-    shares = windows.select("record_id", "window_index", "features")
-    sdp = sdp_pool(shares, dim, TEMPERATURES).withColumn("part", F.col("temperature").cast("string")).drop("temperature")
-    pooled = sdp.unionByName(q75_pool(shares, dim).withColumn("part", F.lit("q75"))).join(records, "record_id")
     kinds = {t: Task(label, tuple(classes), folds[t]) for t, (label, classes, _, _) in tasks.items()}
-    scored = stored(family(prepare(pooled, kinds, dim, train)), "scores")
-    scores = stored(temperature_scores(scored.filter("part <> 'q75'"), tasks), "fold-scores")
+    # Windows meet their records first: the pooling groups by the same key, so the rows move once.
+    both = windows.select("record_id", "window_index", "features").join(records.withColumn("__train", train).select("record_id", "__train"), "record_id")
+
+    def pooled(part: DataFrame, temperatures: Sequence[float]) -> DataFrame:
+        shares = part.drop("__train")
+        sdp = sdp_pool(shares, dim, temperatures).withColumn("part", F.col("temperature").cast("string")).drop("temperature")
+        return sdp.unionByName(q75_pool(shares, dim).withColumn("part", F.lit("q75"))).join(records, "record_id")
+
+    fitted = prepare(pooled(both.filter("__train"), TEMPERATURES), kinds, dim, train)
+    models = stored(family.fit(fitted), "models")
+    scores = stored(temperature_scores(family.score(fitted, models).filter("part <> 'q75'"), tasks), "fold-scores")
     ranked = stored(rank_temperatures(scores), "temperatures")
     chosen = {r["task"]: r["temperature"] for r in ranked.filter("selected").collect()}  # one per task
-    held = scored.filter("fold < 0")
+    held = stored(family.score(place(pooled(both.filter("not __train"), sorted(set(chosen.values()))), kinds, dim, train), models), "scores")
     out = []
     for task, (_, classes, _, _) in tasks.items():
         own = held.filter(F.col("task") == task)
