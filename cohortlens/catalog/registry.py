@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Bootstrap draws of the registered queries; the protocol's own number, 10,000, is a parameter like any other.
-REPLICATES = 1000
+#: Bootstrap draws of the queries that SQL checks slot by slot, and the protocol's own number, a fixed value.
+REPLICATES, PROTOCOL_REPLICATES = 1000, 10_000
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 

@@ -12,7 +12,7 @@ from ..operators.records import included
 from ..plans import tables as plans
 from ..session import scratch, stored
 from ..sources import sinks
-from .registry import REPLICATES, query, rounded, with_views
+from .registry import PROTOCOL_REPLICATES, REPLICATES, query, rounded, with_views
 from .scoring import RUN, THREE, official
 
 BY = ["task", "method"]
@@ -116,6 +116,14 @@ def bootstrap_classification(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(table, "point_estimate", "ci_lower", "ci_upper")
 
 
+@query("bootstrap_protocol")
+def bootstrap_protocol(spark: SparkSession, folder: str) -> DataFrame:
+    """Intervals of all metrics at the protocol's number of draws, from patient counts per draw."""
+    drawn = plans.resample_by_counts(views.drawn_predictions(spark, folder), PROTOCOL_REPLICATES)
+    tables = (plans.bootstrap_challenge(drawn, views.NORMAL, views.SENSITIVE, PAIRS), plans.bootstrap_classification(drawn, views.CLASSES, PAIRS))
+    return rounded(tables[0].unionByName(tables[1]), "point_estimate", "ci_lower", "ci_upper")
+
+
 def result_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """All labelled result tables of the engine from the given data."""
     rows, everything = stored(views.predictions(spark, folder), "predictions"), views.records(spark, folder)

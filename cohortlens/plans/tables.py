@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import bootstrap as boot
+from ..operators import multinomial
 from ..operators.comparison import insertion_rank, phase_delta, single_vs_dual
 from ..operators.metrics import (capture_rate, class_distribution, classification_metrics, confusion_counts,
                                  official_score_from_counts, per_class_counts, recall_of, share_within, summarise_classes)
@@ -111,6 +112,13 @@ def resample(predictions: DataFrame, replicates: int) -> Resampled:
     return Resampled(stored(totals, "totals"), stored(drawn, "resampled"))
 
 
+def resample_by_counts(predictions: DataFrame, replicates: int, seed: int = 0) -> Resampled:
+    """The same from patient counts per draw (see ``operators.multinomial``), for the protocol's number of replicates."""
+    cells, patients = patient_cells(predictions)
+    totals = cells.groupBy("task", "method", "truth", "predicted").agg(F.sum("n").alias("n"))
+    return Resampled(stored(totals, "totals"), stored(multinomial.resampled_confusions(cells, patients, replicates, seed=seed), "resampled"))
+
+
 def bootstrap_classification(resampled: Resampled, classes: Mapping[str, Sequence[str]], pairs: Sequence[tuple[str, str]],
                              metrics: Sequence[str] = ("balanced_accuracy", "macro_f1")) -> DataFrame:
     """Intervals for the classification metrics of each method and of the declared differences."""
