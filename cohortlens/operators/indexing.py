@@ -1,8 +1,8 @@
 """Positions and running totals that never put a whole group into one task.
 
 Rows are dealt out by sampled ranges of their sort key, so ids of any type, outliers and
-groups of any size spread evenly.  Inside a range the rows are numbered, and shifted by the
-totals of the ranges before it.  There is one way for every size of table and group.
+groups of any size spread evenly.  Inside a range the rows are numbered, and shifted by what
+the last rows of the ranges before it carry over.  There is one way for every size of table and group.
 """
 
 from __future__ import annotations
@@ -20,25 +20,30 @@ def running_before(df: DataFrame, order: Sequence[Column], name: str, keys: Sequ
     """Add ``name``: the sum of ``value`` over the rows before this one within ``keys``.
 
     ``order`` must be a total order; nulls come first.  Without ``value`` the result is the zero-based position.
-    Without ``keys`` the whole table is one group; null keys are a group like any other.  The input
-    is read twice, once for the sample of cut points; the dealt rows are stored, so that a lost executor
-    cannot redraw the cut points between the two reads that follow.
+    Without ``keys`` the whole table is one group; null keys are a group like any other.  The input is read twice, once
+    for the sample of cut points.  Rows are numbered inside their range before they are stored (a lost
+    executor cannot redraw the cut points afterwards), and the last row of a range, in a folder of its own, tells the next
+    ranges what comes before them: ranges follow the order of the keys, so only the group of that row can go on.
+    What is broadcast has one row per range.
     """
     keys, cuts = list(keys), [f"__o{i}" for i in range(len(order))]
     parts = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = df.select("*", *[c.alias(n) for c, n in zip(order, cuts)], (F.lit(1) if value is None else value).cast("long").alias("__n"))
-    dealt = stored(dealt.repartitionByRange(parts, *keys, *cuts).withColumn("__part", F.spark_partition_id()), "numbering")
-    # One row per range and group: the groups inside one range stay together, so a group of many ranges has one row in each.
-    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = dealt.groupBy("__part", *keys).agg(F.sum("__n").alias("__t"))
-    shifts = totals.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-                           F.coalesce(F.sum("__t").over(earlier), F.lit(0)).alias("__shift"))
+    dealt = dealt.repartitionByRange(parts, *keys, *cuts).withColumn("__part", F.spark_partition_id())
+    after = F.lead(F.lit(1)).over(Window.partitionBy("__part").orderBy(*keys, *cuts))
     before = Window.partitionBy("__part", *keys).orderBy(*cuts).rowsBetween(Window.unboundedPreceding, -1)
-    local = dealt.withColumn("__local", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    same = F.col("__part") == F.col("__p")
-    for i, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    return local.join(shifts, same).select(*df.columns, (F.col("__shift") + F.col("__local")).alias(name))
+    numbered = (dealt.withColumn("__end", F.when(after.isNull(), F.lit(1)).otherwise(F.lit(0)))
+                .withColumn("__local", F.coalesce(F.sum("__n").over(before), F.lit(0))))
+    numbered = stored(numbered.select(*df.columns, "__n", "__part", "__local", "__end"), "numbering", ["__end"])
+    own = F.struct(*keys) if keys else F.lit(0)
+    ends = numbered.filter("__end = 1").select(F.col("__part").alias("__p"), own.alias("__k"), (F.col("__local") + F.col("__n")).alias("__t"))
+    # One row per range, whatever the table: windows over them are small.
+    so_far = ends.withColumn("__t", F.sum("__t").over(Window.partitionBy("__k").orderBy("__p")))
+    previous = Window.orderBy("__p")
+    carried = so_far.select("__p", F.lag("__k").over(previous).alias("__k"), F.lag("__t").over(previous).alias("__t"))
+    placed = numbered.join(F.broadcast(carried), F.col("__part") == F.col("__p"))
+    shift = F.when(F.col("__t").isNotNull() & own.eqNullSafe(F.col("__k")), F.col("__t")).otherwise(F.lit(0))
+    return placed.select(*df.columns, (F.col("__local") + shift).alias(name))
 
 
 def sorted_position(df: DataFrame, order: Sequence[str], name: str, partitions: int | None = None) -> DataFrame:
