@@ -56,7 +56,7 @@ def aligned_pairs(first: DataFrame, second: DataFrame, truth: str, key: str = "r
     joined = a.join(b, key, "full_outer")
     matched = F.col("p_first").isNotNull() & F.col("p_second").isNotNull() & F.col("y_true").eqNullSafe(F.col("__truth"))
     return joined.select(key, F.when(matched, F.col("y_true")).otherwise(
-        F.raise_error(F.lit("branch alignment mismatch"))).alias("y_true"), "p_first", "p_second")
+        F.raise_error(F.lit("the two readouts differ in records or in truth"))).alias("y_true"), "p_first", "p_second")
 
 
 def alpha_grid(steps: int = 20) -> list[float]:
