@@ -12,7 +12,7 @@ number of passes is that of the steps.  What reaches the driver is the size of t
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
