@@ -56,6 +56,42 @@ def with_views(body: str, *names: str) -> str:
 
 COARSE_CASE = "case {0} when '1-URGENT' then 'Normal' when '5-LOW' then 'Reject' else 'Abnormal' end"
 
+HEAD = 512
+
+
+def fold_views(name: str, source: str) -> dict[str, str]:
+    """Five folds of the groups of ``source`` (task, group_id, y) by greedy placing: views ``<name>`` (task, group_id, fold_id) and what it needs."""
+    n = name
+
+    def walk(start: str, at: str, step: str, bucket: str, more: str) -> str:
+        score = ("list_reduce(list_transform(x, lambda q, c: q*v[c]*ws[c]), lambda a, b: a+b)")
+        choice = f"list_sort(list_transform(loads, lambda x, j: {{'s': {score}, 'z': list_sum(x), 'r': (j-1-{bucket}%5+5)%5, 'j': j-1}}))[1].j"
+        return f"""{start} union all select task, bucket, buckets, pos, list_transform(loads, lambda x, j: case when j-1=fold_id
+ then list_transform(x, lambda q, c: q+{step}*v[c]) else x end), fold_id, group_id
+ from (select *, ({choice})::int fold_id from (select h.task, h.bucket, h.buckets, h.pos+1 pos, h.loads, s.group_id, s.v, s.ws
+ from {more} h join {n}_seq s on s.task=h.task and s.place={at}))"""
+
+    return {
+        f"{n}_cls": f"""select task, list(y order by y) ys, list(1.0::double/(t::double*t::double) order by y) ws
+ from (select task, y, count(*) t from ({source}) group by all) group by task""",
+        f"{n}_vec": f"""select task, group_id, list(coalesce(n,0)::double order by y) v from (select distinct task, group_id from ({source}))
+ join (select task, unnest(ys) y from {n}_cls) using (task) left join (select task, group_id, y, count(*) n from ({source}) group by all) using (task, group_id, y)
+ group by all""",
+        f"{n}_seq": f"""select task, group_id, v, ws, row_number() over (partition by task order by
+ list_sum(list_transform(v, lambda x: x*x))*len(v)-list_sum(v)*list_sum(v) desc, md5(group_id::varchar), group_id)-1 place from {n}_vec join {n}_cls using (task)""",
+        f"{n}_head": walk(f"""select task, 0::bigint bucket, 1::bigint buckets, -1::bigint pos, list_transform(range(5), lambda j: list_transform(ws, lambda w: 0.0::double)) loads,
+ -1::int fold_id, null::bigint group_id from {n}_cls""", f"h.pos+1 and s.place<{HEAD}", "1", "0", f"{n}_head"),
+        f"{n}_rest": walk(f"""select task, b bucket, buckets, -1::bigint pos, loads, -1::int fold_id, null::bigint group_id from (select task, loads, buckets, unnest(range(buckets)) b
+ from (select task, arg_max(loads, pos) loads from {n}_head group by task) join
+ (select task, greatest(1, ceil((count(*)-{HEAD})/{HEAD}.0))::bigint buckets from {n}_seq group by task) using (task))""",
+                          f"{HEAD}+h.bucket+h.buckets*(h.pos+1)", "buckets", "bucket", f"{n}_rest"),
+        n: f"select task, group_id, fold_id from (select * from {n}_head union all select * from {n}_rest) where fold_id>=0",
+    }
+
+
+FOLD_SOURCES = {"efold": "select task, group_id, y from etask where split='train'", "cfold": "select task, group_id, y from ctask where split='train2022'",
+                "gfold": "select 'all' task, group_id, coarse_label y from recs where split='train2022'"}
+
 SE_SP = """sum(case when y_true in ('Abnormal','2-HIGH','3-MEDIUM','4-NOT SPECIFIED') and y_true=y_pred then 1 else 0 end)::double
   /nullif(sum(case when y_true in ('Abnormal','2-HIGH','3-MEDIUM','4-NOT SPECIFIED') then 1 else 0 end),0) SE,
  sum(case when y_true in ('Normal','1-URGENT') and y_true=y_pred then 1 else 0 end)::double
@@ -121,9 +157,6 @@ VIEWS = {
  embedding::double[] features from embeddings""",
     "embl": "select record_id, split, unnest(range(0,64)) dim, unnest(features) x from embs",
     "etask": """select record_id, group_id, split, 'binary' task, binary_label y from embs union all select record_id, group_id, split, 'coarse', coarse_label from embs""",
-    "efold": """select task, group_id, (row_number() over (partition by task, main order by md5(group_id::varchar), group_id)-1)%5 fold_id from
- (select task, group_id, y main from (select task, group_id, y, row_number() over (partition by task, group_id order by count(*) desc, y) rk
-   from etask where split='train' group by task, group_id, y) where rk=1)""",
     "efit": "select e.*, case when split='train' then fold_id else -1 end fold_id from etask e left join efold using (task, group_id)",
     "ebr": """select record_id, 'all' kind, dim, x from embl union all select record_id, 'single', dim, x*x from embl union all
  select record_id, 'grid', (dim//16)*4+dim%4, avg(x) from embl group by all union all
@@ -154,9 +187,6 @@ VIEWS = {
  sum(case when y=cls and y_pred=cls then n else 0 end) tp, sum(case when y=cls then n else 0 end) sup, sum(case when y_pred=cls then n else 0 end) prd
  from epred join ecls using (task) group by kind, task, split, cls) group by all""",
     "ctask": """select record_id, group_id, split, 'T2-1' task, coarse_label y from recs union all select record_id, group_id, split, 'T2-2', fine_label from recs""",
-    "cfold": """select task, group_id, (row_number() over (partition by task, main order by md5(group_id::varchar), group_id)-1)%5 fold_id from
- (select task, group_id, y main from (select task, group_id, y, row_number() over (partition by task, group_id order by count(*) desc, y) rk
-   from ctask where split='train2022' group by task, group_id, y) where rk=1)""",
     "cfit": "select e.*, case when split='train2022' then fold_id else -1 end fold_id from ctask e left join cfold using (task, group_id)",
     "cvec": "select record_id, temperature, dim, v x from sdp union all select record_id, -1.0, dim, quantile_cont(x,0.75) from winl group by all",
     "cmeans": """select temperature, task, k, y cls, dim, avg(x) m from cvec join cfit using (record_id) cross join (select unnest(range(-1,5)) k)
@@ -208,11 +238,7 @@ VIEWS = {
     "hrepsp": """select *, (SE+SP)/2 "AS", case when SE+SP=0 then 0.0::double else 2*SE*SP/(SE+SP) end HS,
  ((SE+SP)/2+case when SE+SP=0 then 0.0::double else 2*SE*SP/(SE+SP) end)/2 Score from hreps0""",
     "hreps": "select * from hrepsp where draw>=0",
-    "foldg": """select group_id, (row_number() over (partition by main order by md5(group_id::varchar), group_id)-1)%5 fold_id from
- (select group_id, coarse_label main from (select group_id, coarse_label,
-   row_number() over (partition by group_id order by count(*) desc, coarse_label) rk
-   from recs where split='train2022' group by group_id, coarse_label) where rk=1)""",
-    "folded": """select r.*, case when split='train2022' then fold_id::int else -1 end fold_id from recs r left join foldg using (group_id)""",
+    "folded": """select r.*, case when split='train2022' then fold_id::int else -1 end fold_id from recs r left join gfold using (group_id)""",
     "alphas": "select i, i/20.0::double alpha from range(21) t(i)",
     "sweep": """select record_id, y_true, alpha, cls y_pred from (select a.record_id, a.y_true, alpha, a.cls,
    row_number() over (partition by a.record_id, alpha order by alpha*a.p+(1.0::double-alpha)*b.p desc, a.j) rk
@@ -241,9 +267,9 @@ VIEWS = {
 }
 
 DEPENDS = {
-    "etask": ("embs",), "efold": ("etask",), "efit": ("efold",), "ebr": ("embl",), "emeans": ("ebr", "efit"), "edist": ("emeans",),
+    "etask": ("embs",), "efit": ("efold",), "ebr": ("embl",), "emeans": ("ebr", "efit"), "edist": ("emeans",),
     "eprob": ("edist",), "ecls": ("eprob",), "etry": ("eprob", "alphas"), "etryc": ("etry", "ecls"), "ealpha": ("etryc",),
-    "efinal": ("ealpha",), "epred": ("efinal",), "emet": ("epred",), "ctask": ("recs",), "cfold": ("ctask",), "cfit": ("cfold",),
+    "efinal": ("ealpha",), "epred": ("efinal",), "emet": ("epred",), "ctask": ("recs",), "cfit": ("cfold",),
     "cvec": ("sdp", "winl"), "cmeans": ("cvec", "cfit"), "cdist": ("cmeans",), "cprob": ("cdist",), "ctry": ("cprob", "cl"),
     "cscore": ("ctry",), "cmean": ("cscore",), "cwalk": ("cmean",), "cbest": ("cwalk",), "cfinal": ("cbest",), "cboth": ("cfinal",),
     "coff": ("cboth",),
@@ -251,7 +277,13 @@ DEPENDS = {
     "tp": ("pred3",), "conf": ("tp",), "pc": ("conf", "cl"), "pr": ("pc",), "met": ("pr",), "off0": ("tp",), "off": ("off0",),
     "winl": ("wins",), "embl": ("embs",), "tpd": ("tp",), "patients": ("tpd",), "draws": ("patients",), "cells": ("tpd", "patients"),
     "resampled": ("draws", "cells"), "resampledp": ("resampled",), "rpc": ("resampledp", "cl"), "crepsp": ("rpc",), "creps": ("crepsp",), "hreps0": ("resampledp",),
-    "hrepsp": ("hreps0",), "hreps": ("hrepsp",), "foldg": ("recs",), "folded": ("foldg",), "sweep": ("scores_long", "alphas"),
+    "hrepsp": ("hreps0",), "hreps": ("hrepsp",), "folded": ("gfold",), "sweep": ("scores_long", "alphas"),
     "sweepc": ("sweep", "fine"), "sweepm": ("sweepc",), "tfold": ("scores_long", "temps"), "tscore0": ("tfold",),
     "tscore": ("tscore0",), "tmean": ("tscore",), "sdpd": ("winl",), "sdp": ("sdpd", "temps"),
 }
+
+for _name, _source in FOLD_SOURCES.items():
+    VIEWS |= fold_views(_name, _source)
+    _base = {"efold": "etask", "cfold": "ctask", "gfold": "recs"}[_name]
+    DEPENDS |= {f"{_name}_cls": (_base,), f"{_name}_vec": (f"{_name}_cls",), f"{_name}_seq": (f"{_name}_vec",), f"{_name}_head": (f"{_name}_seq",),
+                f"{_name}_rest": (f"{_name}_head",), _name: (f"{_name}_rest",)}

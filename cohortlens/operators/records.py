@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .indexing import running_before, sorted_position
 
+#: Groups that one task places one after another.
+HEAD = 512
+
 
 def public_projection(records: DataFrame, columns: Sequence[str], optional: Sequence[str] = (),
                       renames: Mapping[str, str] | None = None) -> DataFrame:
@@ -76,19 +82,55 @@ def cross_split_duplicates(records: DataFrame, content: str, split: str, train:
     return records.filter(F.col(split) == train).join(held, content)
 
 
+def _placed(weights: Sequence[float], loads: Sequence[Sequence[float]], step: int):
+    """Fold after fold for the groups of one bucket, from given class counts per fold; a group counts ``step`` times."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        held = np.array(loads, float)
+        counts = np.array(table["counts"].to_pylist(), float)
+        turn = np.arange(len(held)) - table["bucket"][0].as_py() if len(table) else 0
+        found = []
+        for v in counts:
+            # The sum of the squared class shares grows by the group's own part and twice this.
+            score = sum(held[:, c] * v[c] * w for c, w in enumerate(weights))
+            fold = int(np.lexsort((turn % len(held), held.sum(1), score))[0])
+            held[fold] += step * v
+            found.append(fold)
+        return table.select(["group_id", "counts"]).append_column("fold_id", pa.array(found, pa.int32()))
+    return run
+
+
 def grouped_stratified_folds(records: DataFrame, label: str, train: Column, folds: int = 5) -> DataFrame:
     """``fold_id`` for the train rows so that whole groups stay together and classes stay balanced; -1 elsewhere.
 
-    Each group takes its most frequent class (ties to the smaller label).  Inside a class the groups
-    are dealt out in the order of the hash of their id, by ranges of that order, so no class is ranked in one task.
+    Groups are taken with the largest spread of class counts first (ties by hash and id), and each goes to the fold where it adds
+    least to the squared class shares; then to the smaller fold.  The first ``HEAD`` groups go one by one.  The others are dealt out to
+    buckets of at most ``HEAD`` in that order; a bucket starts from the counts after the first groups and takes each of its groups for as many as
+    there are buckets, so all buckets even out what the first groups left.  A task has one bucket, whatever the number of groups.
+    A null group or label is a group or class like any other.
     """
-    sizes = records.filter(train).groupBy("group_id", label).agg(F.count("*").alias("n"))
-    dominant = sizes.groupBy("group_id").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col(label).alias("c"))).alias("m"))
-    groups = dominant.select("group_id", F.col("m.c").alias("main"), F.md5(F.col("group_id").cast("string")).alias("h"))
-    dealt = running_before(groups, [F.col("h"), F.col("group_id")], "at", keys=["main"])
-    return (records.withColumn("__train", train).join(dealt.select("group_id", "at"), "group_id", "left")
-            .withColumn("fold_id", F.when(F.col("__train"), F.pmod("at", F.lit(folds))).otherwise(F.lit(-1)).cast("int"))
-            .drop("__train", "at"))
+    sizes = stored(records.filter(train).groupBy("group_id", F.col(label).alias("y")).agg(F.count("*").alias("n")), "fold-sizes")
+    # One row per class.
+    totals = sorted(((r.y, r.n) for r in sizes.groupBy("y").agg(F.sum("n").alias("n")).collect()), key=lambda t: (t[0] is not None, t[0]))
+    weights = [1.0 / (float(n) * float(n)) for _, n in totals]
+    counts = F.array(*[F.coalesce(F.sum(F.when(F.col("y").eqNullSafe(F.lit(y)), F.col("n"))), F.lit(0)) for y, _ in totals]).cast("array<long>")
+    squares, whole = F.aggregate("counts", F.lit(0.0), lambda t, x: t + x * x.cast("double")), F.aggregate("counts", F.lit(0.0), lambda t, x: t + x)
+    groups = sizes.groupBy("group_id").agg(counts.alias("counts")).withColumn("spread", squares * len(totals) - whole * whole)
+    order = [-F.col("spread"), F.md5(F.col("group_id").cast("string")), F.col("group_id")]
+    ranked = stored(running_before(groups.select("group_id", "counts", "spread"), order, "at").drop("spread"), "fold-groups")
+    buckets = max(1, -(-(ranked.count() - HEAD) // HEAD))
+    kind = f"group_id {groups.schema['group_id'].dataType.simpleString()}, counts array<long>, fold_id int"
+
+    def dealt(part: Column, bucket: Column, loads: Sequence[Sequence[float]], step: int) -> DataFrame:
+        return ranked.filter(part).withColumn("bucket", bucket.cast("long")).groupBy("bucket").applyInArrow(_placed(weights, loads, step), kind)
+
+    first = stored(dealt(F.col("at") < HEAD, F.lit(0), [[0.0] * len(totals)] * folds, 1), "fold-head")
+    sums = first.groupBy("fold_id").agg(F.array(*[F.sum(F.get("counts", F.lit(i))) for i in range(len(totals))]).alias("load")).collect()
+    loads = {r.fold_id: [float(x) for x in r.load] for r in sums}  # one row per fold
+    rest = dealt(F.col("at") >= HEAD, F.pmod(F.col("at") - HEAD, F.lit(buckets)), [loads.get(j, [0.0] * len(totals)) for j in range(folds)], buckets)
+    found = first.unionByName(rest).select(F.col("group_id").alias("__group"), F.col("fold_id").alias("__fold"))
+    return (records.withColumn("__train", F.coalesce(train, F.lit(False))).join(found, F.col("group_id").eqNullSafe(F.col("__group")), "left")
+            .withColumn("fold_id", F.when(F.col("__train"), F.col("__fold")).otherwise(F.lit(-1)).cast("int")).drop("__train", "__group", "__fold"))
 
 
 def custom_order(records: DataFrame, column: str, order: Sequence[str], name: str = "ord") -> DataFrame:
