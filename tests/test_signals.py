@@ -322,3 +322,25 @@ def test_upper_quartile_of_null_keys_and_null_dimensions(spark):
     want = {None: [3.0, None, 1.0], 1: [None, 3.0, 2.0], 2: [None, None, None]}
     for hot_rows in (2, 10 ** 6):
         assert {r.record_id: r.features for r in pooling.q75_pool(df, 3, hot_rows=hot_rows).collect()} == want
+
+
+def test_folds_are_as_even_as_one_greedy_walk(spark, monkeypatch):
+    """Buckets of 64 groups beside the plain walk over all of them: no class of a fold is further off than one group; null groups and labels count."""
+    rng = np.random.default_rng(8)
+    counts = rng.poisson(rng.dirichlet([0.5] * 3, 400) * 10)
+    rows = [(None if g == 7 else g, None if c == 0 else "xyz"[c], "train") for g, line in enumerate(counts.tolist()) for c, n in enumerate(line) for _ in range(n)]
+    monkeypatch.setattr(records, "HEAD", 64)
+    df = spark.createDataFrame(rows + [(3, "y", "test"), (9_999, "z", None)], "group_id long, label string, split string")
+    got = records.grouped_stratified_folds(df, "label", F.col("split") == "train").collect()
+    assert all((r.fold_id == -1) == (r.split != "train") for r in got) and len(got) == len(rows) + 2
+    fold = {r.group_id: r.fold_id for r in got if r.split == "train"}
+    assert all(fold[r.group_id] == r.fold_id for r in got if r.split == "train")
+    loads = np.zeros((5, 3))
+    for r in got:
+        if r.split == "train":
+            loads[r.fold_id, 0 if r.label is None else "xyz".index(r.label)] += 1
+    plain, weights = np.zeros((5, 3)), 1.0 / counts.sum(0) ** 2.0
+    for v in sorted(counts.tolist(), key=lambda v: -np.std(v)):
+        plain[np.argmin((plain * v * weights).sum(1))] += v
+    assert (np.abs(loads - plain.mean(0)).max(0) <= np.abs(plain - plain.mean(0)).max(0) + counts.max(0)).all()
+    assert records.grouped_stratified_folds(df.limit(0), "label", F.col("split") == "train").count() == 0
