@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..functions.vectors import argmax_label, fuse, string_list
-from ..operators import checks, comparison, metrics, probabilities, records, selection
+from ..operators import checks, comparison, metrics, probabilities, records, selection, sweep
 from ..plans import tables as plans
 from ..plans.experiments import TEMPERATURES
 from ..session import stored
@@ -245,8 +245,8 @@ def fuse_probabilities(spark: SparkSession, folder: str) -> DataFrame:
 
 def sweep_metrics(spark: SparkSession, folder: str) -> DataFrame:
     pairs = views.score_pairs(spark, folder).filter("split = 'train2022'")
-    tried = probabilities.alpha_sweep(pairs, ["y_true"], views.FINE, probabilities.alpha_grid())
-    return metrics.classification_metrics(tried, ["alpha"], views.FINE, absent="skip")
+    counts = sweep.sweep_counts(pairs, [], views.FINE, steps=20)
+    return metrics.summarise_classes(metrics.per_class_counts(counts, ["alpha"], views.FINE), ["alpha"], absent="skip")
 
 
 @query("alpha_grid_sweep", with_views(f"select round(alpha,9) alpha, {r9(*THREE)}, record_count from sweepm", "sweepm"))
