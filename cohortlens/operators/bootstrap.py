@@ -3,20 +3,20 @@
 Records are combined to confusion cells per patient first, so a draw only ever
 touches those cells.  Draws come from a hash of (draw, slot): they need no
 storage, are the same for every method, and can be made in any number of tasks.
+Result tables use ``slots.resampled_confusions``; the one here takes draws that are given as a table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import slots
 from .indexing import running_before
 from .metrics import Classes, official_score_from_counts, per_class_counts, summarise_classes
 
-ROWS_PER_TASK = 4_000_000
 # About 24 bytes per cell: at most some 50 MB per executor.
 BROADCAST_CELLS = 2_000_000
 
@@ -37,19 +37,9 @@ def patient_confusions(predictions: DataFrame, positions: DataFrame, by: Sequenc
 def draws(spark: SparkSession, patients: Mapping[str, int], replicates: int) -> DataFrame:
     """``(task, draw, slot, patient_index)``: per task as many slots per draw as it has patients, filled with replacement.
 
-    All methods of a task share its draws.  The table is a range per task, so its tasks are even, the
-    planner knows its true size and never broadcasts it, and one task holds whole draws: sums per
-    draw are all but complete before they are shuffled.
+    All methods of a task share its draws.  The slots are spread evenly over tasks; see ``slots`` for how they are filled.
     """
-    def one(task: str, count: int) -> DataFrame:
-        rows = count * replicates
-        parts = max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
-        ids = spark.range(0, rows, 1, parts).select(
-            F.lit(task).alias("task"), F.expr(f"id div {max(count, 1)}").alias("draw"), (F.col("id") % max(count, 1)).alias("slot"))
-        text = F.concat_ws(":", F.lit("boot"), "task", F.col("draw").cast("string"), F.col("slot").cast("string"))
-        number = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-        return ids.select("task", "draw", "slot", F.pmod(number, F.lit(max(count, 1)).cast("long")).alias("patient_index"))
-    return reduce(DataFrame.unionByName, [one(t, n) for t, n in sorted(patients.items())])
+    return slots.in_long_form(slots.pieces(spark, patients, replicates))
 
 
 def resampled_confusions(cells: DataFrame, drawn: DataFrame, replicates: int, by: Sequence[str] = ("task", "method"),
