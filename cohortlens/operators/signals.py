@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -46,10 +49,10 @@ def max_energy_crop(samples: DataFrame, size: int, chunk: int | None = None) ->
 
     Each record is cut into chunks and every chunk also receives the first
     ``size - 1`` samples of the next one, so all frames starting in a chunk can be
-    summed there and a very long record spreads over many tasks.  Frames of any size are
-    differences of prefix sums inside the chunk, so frames whose energies differ by less than the
-    rounding of those sums count as a tie or in either order.  Signals not longer than a frame
-    start at 0 and are padded.
+    summed there and a very long record spreads over many tasks.  A frame is the sum of blocks of
+    1, 8, 64 ... samples, each the sum of eight smaller ones, so its energy depends on its own samples
+    only: frames of the same samples in the same order tie exactly, wherever they are.  Signals not
+    longer than a frame start at 0 and are padded.
     """
     chunk = max(chunk or 65_536, size)
     i = F.col("sample_index")
@@ -59,12 +62,18 @@ def max_energy_crop(samples: DataFrame, size: int, chunk: int | None = None) ->
                             F.explode(F.when(halo, F.array(own - 1, own)).otherwise(F.array(own))).alias("chunk"))
     # Rows reaching past the frame belong to the halo only; frames start inside the chunk itself.
     inside = Window.partitionBy("record_id", "chunk").orderBy("sample_index")
-    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    summed = placed.select("*", F.sum("e").over(upto).alias("__upto"))
-    end = F.lead("__upto", size - 1).over(inside)
-    scored = summed.select("record_id", "sample_index", "chunk",
-                           (end - (F.col("__upto") - F.col("e"))).alias("energy"),
-                           F.when(end.isNotNull(), F.lit(size)).otherwise(F.lit(0)).alias("filled"))
+    blocks, width, rest, at = placed.withColumns({"__sum": F.coalesce("e", F.lit(0.0)), "energy": F.lit(0.0)}), 1, size, 0
+
+    def following(first: int, count: int) -> list[Column]:
+        return [F.lead("__sum", first + j * width).over(inside) for j in range(count)]
+
+    while rest:
+        here, rest = rest % 8, rest // 8
+        wider = reduce(add, following(0, 8)) if rest else F.col("__sum")
+        blocks = blocks.withColumns({"__sum": wider, "energy": reduce(add, following(at, here), F.col("energy"))})
+        at, width = at + here * width, width * 8
+    scored = blocks.select("record_id", "sample_index", "chunk", "energy",
+                           F.when(F.col("energy").isNotNull(), F.lit(size)).otherwise(F.lit(0)).alias("filled"))
     full = (F.col("filled") == size) & (F.expr(f"sample_index div {chunk}") == F.col("chunk"))
     best = F.min(F.when(full, F.struct((-F.col("energy")).alias("e"), F.col("sample_index").alias("i"))))
     # The own copy of each sample counts the record's length.

@@ -59,6 +59,15 @@ def test_crop_over_chunks_is_brute_force(spark, size, chunk):
         assert got[k].padding_samples == max(0, size - len(x))
 
 
+@pytest.mark.parametrize("size, chunk", [(8, 8), (8, 13), (8, None), (73, 100)])
+def test_equal_frames_tie_exactly(spark, size, chunk):
+    rng = np.random.default_rng(2)
+    data = [np.concatenate([rng.integers(1, 40_000, 40) / 100, *[np.repeat(v, 3 * size) for v in rng.integers(40_000, 60_000, 3) / 100], [600.01] * 3 * size, [0.07] * 90])
+            for _ in range(12)]
+    got = {r.record_id: r.crop_start_sample for r in signals.max_energy_crop(samples(spark, *data), size, chunk).collect()}
+    assert got == {k: 40 + 9 * size for k in range(len(data))}
+
+
 @pytest.mark.parametrize("source, target", [(4000, 3000), (3000, 4000), (7, 5), (8000, 16000)])
 def test_linear_resample(spark, source, target):
     rng = np.random.default_rng(2)
