@@ -1,4 +1,4 @@
-"""Near-duplicates by similarity of shingle sets: min-hash bands find candidates, the sets decide.
+"""Near-duplicates by similarity of shingle sets: SimHash fingerprints and min-hash bands find candidates, the sets decide.
 
 Texts that are equal after lower-casing A-Z and joining words by one space are one class.  A class
 has ``BANDS`` codes of ``ROWS`` minima each; classes that share a code meet, so a pair of similarity J
@@ -9,6 +9,8 @@ near it is near the same centre.  A task that deals out codes does so first, wit
 near copies it sends one entry a code and some stragglers.  A part of the codes with more entries than two tasks' worth, as
 one code that very many different texts share makes it, is cut into blocks by class, and every pair of blocks is a cell of its own.
 
+Where a distance is given, classes whose SimHash fingerprints (those of ``simhash``) differ in at most so many bits are candidates as well.
+
 The components of these links are compared with whole sets, and only pairs whose sets have the
 similarity asked for are linked.  A component larger than a block is cut into blocks by hash, and every pair of
 blocks is a cell of its own: no task holds more than two blocks, and no pair is left out.  The links of a cell are
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 
 from . import packing
 from .components import components
+from .simhash import links as fingerprint_links
+from .simhash import with_fingerprints
 from .storing import settled
 from .words import WindowHashes, column, mix, small_batches, split_words, word_hashes, word_ids
 
@@ -199,6 +203,23 @@ def candidates(classes: DataFrame, entries: int = PART_ENTRIES) -> DataFrame:
     return cells.groupBy("part", "low", "high").applyInPandas(_meet, "a long, b long").filter("a <> b").distinct()
 
 
+def fingerprint_candidates(rows: DataFrame, classes: DataFrame, distance: int) -> DataFrame:
+    """(a, b): links between the ``node`` of classes with words whose first rows have SimHash fingerprints within ``distance`` bits.
+
+    ``rows`` has (__id, digest, __text).  Classes of one fingerprint are linked to its smallest node; only distinct fingerprints are compared.
+    """
+    marked = with_fingerprints(rows, "__id", "__text", keep=["digest"])
+    first = classes.filter("n > 0").select("node", F.col("first.__id").alias("__i"), F.col("first.digest").alias("__d"))
+    named = marked.join(first, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("digest") == F.col("__d")))
+    named = settled(named.select("fp", "node").distinct(), "overlap-fingerprints")
+    heads = settled(named.groupBy("fp").agg(F.min("node").alias("head")), "overlap-heads")
+    same = named.join(heads, "fp").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    near = fingerprint_links(heads, distance)
+    for side in ("a", "b"):
+        near = near.join(heads.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_head")), side)
+    return same.unionByName(near.select(F.col("a_head").alias("a"), F.col("b_head").alias("b"))).filter("a <> b").distinct()
+
+
 def _with_sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "__text", BATCH_BYTES):
@@ -269,13 +290,13 @@ def in_cells(near: DataFrame, block: int) -> tuple[DataFrame, int]:
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
                    least: Fraction = Fraction(4, 5), seed: int = 42, block: int = BLOCK,
-                   entries: int = PART_ENTRIES) -> DataFrame:
+                   entries: int = PART_ENTRIES, distance: int | None = None) -> DataFrame:
     """(``id_col``, ``digest``, ``group``), one row per document: rows of one ``group`` are linked by similarities of ``least`` or more.
 
     ``digest`` is the SHA-256 of the text.  Texts without words (null, empty, white space) are copies of each other; null ids and
     repeated ids count as rows like any other; an empty table gives an empty result.  ``least`` below four fifths loses pairs, as bands and
     sketches are laid out for that.  A set must fit a task, however long its text; ``block`` bounds the shingles of the others that one task compares,
-    ``entries`` the (code, class) entries.
+    ``entries`` the (code, class) entries.  With ``distance``, SimHash fingerprints at that many bits or fewer make candidates too.
     """
     rows = df.select(F.col(id_col).alias("__id"), F.sha2(F.col(text_col), 256).alias("digest"), F.col(text_col).alias("__text"))
     marks = settled(with_codes(rows, size, seed), "overlap-marks")
@@ -283,7 +304,10 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                        F.min("codes").alias("codes"), F.min("sketch").alias("sketch"))
     # Two classes with the same node are only compared in the same component; their keys tell them apart.
     classes = settled(classes.withColumn("node", F.xxhash64("key")), "overlap-classes")
-    groups = components(settled(candidates(classes, entries), "overlap-candidates"))
+    met = candidates(classes, entries)
+    if distance:
+        met = met.unionByName(fingerprint_candidates(rows, classes, distance))
+    groups = components(settled(met, "overlap-candidates"))
     near = settled(groups.join(classes.drop("codes", "sketch"), "node"), "overlap-near")
     # One row's text per candidate class is read again, for its whole set.
     cut, parts = in_cells(near, block)

@@ -34,9 +34,10 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates, the one with the smallest (id, SHA-256 of the text); null ids come last.
 
-    Near-duplicates have four fifths or more of their five-word shingles in common (Jaccard), checked on the shingle sets.
+    Candidates are texts with SimHash fingerprints within four bits, as in operator 8, and texts that share a min-hash band, for the pairs
+    that four bits miss.  Near-duplicates have four fifths or more of their five-word shingles in common (Jaccard), checked on the shingle sets.
     """
-    groups = settled(similar_groups(docs), "near-groups")
+    groups = settled(similar_groups(docs, distance=4), "near-groups")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.coalesce("digest", F.lit("")).alias("digest"))
     first = groups.groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.doc_id").alias("__i"), F.col("first.digest").alias("__d"))
     marked = docs.withColumn("__digest", F.coalesce(F.sha2("text", 256), F.lit("")))
