@@ -88,9 +88,9 @@ def distances(windows: DataFrame, dim: int, chunk: int) -> DataFrame:
     cut = (windows.select("record_id", F.expr(f"window_index div {chunk}").alias("chunk"), "features")
            .filter("record_id is not null and chunk is not null and features is not null").repartition("record_id", "chunk"))
     sums = pool(cut, ["record_id", "chunk"], dim, F.sum, extra=[F.count("*").alias("n")])
-    whole = pool(sums.select("record_id", "features", "n"), ["record_id"], dim, F.sum, extra=[F.sum("n").alias("n")])
-    centres = whole.select("record_id", F.transform("features", lambda v: v / F.col("n")).alias("__centre"))
-    placed = sums.select("record_id", "chunk").join(centres, "record_id")
+    # A record's chunks ride along with its sums (one number per ``chunk`` windows), so each meets its centre without another pass over the windows.
+    whole = pool(sums, ["record_id"], dim, F.sum, extra=[F.sum("n").alias("n"), F.collect_list("chunk").alias("chunks")])
+    placed = whole.select("record_id", F.explode("chunks").alias("chunk"), F.transform("features", lambda v: v / F.col("n")).alias("__centre"))
     squares = F.zip_with("features", "__centre", lambda x, c: (x - c) * (x - c))
     distance = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda acc, v: acc + v))
     return cut.join(placed, ["record_id", "chunk"]).withColumn("distance", distance).drop("__centre")
@@ -114,16 +114,23 @@ def sdp_pool(windows: DataFrame, dim: int, temperatures: Sequence[float], chunk:
     parts = pool_many(weighed.select("record_id", "chunk", "top", "features", *[f"w{i}" for i in range(len(steps))]),
                       ["record_id", "chunk"], dim, [lambda x, i=i: F.sum(F.col(f"w{i}") * x) for i in range(len(steps))],
                       extra=[*[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(steps))], F.max("top").alias("top")])
-    lines = F.array(*[F.struct(F.lit(t).alias("temperature"), F.col("features")[i].alias("features"), F.col(f"w{i}").alias("w"))
+    # One row per (record, chunk) from here on, with all temperatures: chunk sums are rescaled to the record's maximum and added up.
+    peak = F.max("top").over(Window.partitionBy("record_id"))
+    scaled = parts.withColumn("peak", peak).withColumns({f"r{i}": F.exp((F.col("top") - F.col("peak")) / t) for i, t in enumerate(steps)})
+
+    def times(vector: Column, factor: Column) -> Column:
+        return F.transform(vector, lambda v: v * factor)
+
+    every = F.array(*[times(F.col("features")[i], F.col(f"r{i}")) for i in range(len(steps))])
+    scaled = scaled.select("record_id", F.flatten(every).alias("features"), *[(F.col(f"r{i}") * F.col(f"w{i}")).alias(f"w{i}") for i in range(len(steps))])
+    pooled = pool(scaled, ["record_id"], dim * len(steps), F.sum, extra=[F.sum(f"w{i}").alias(f"w{i}") for i in range(len(steps))])
+
+    def over(vector: Column, total: Column) -> Column:
+        return F.transform(vector, lambda v: v / total)
+
+    lines = F.array(*[F.struct(F.lit(t).alias("temperature"), over(F.slice("features", i * dim + 1, dim), F.col(f"w{i}")).alias("features"))
                       for i, t in enumerate(steps)])
-    parts = parts.select("record_id", "chunk", "top", F.inline(lines))
-    # One row per (record, temperature, chunk) from here on.
-    peak = F.max("top").over(Window.partitionBy("record_id", "temperature"))
-    scaled = parts.withColumn("r", F.exp((F.col("top") - peak) / F.col("temperature")))
-    pooled = pool(scaled.select("record_id", "temperature", "features", "w", "r"), ["record_id", "temperature"], dim,
-                  lambda x: F.sum(F.col("r") * x), extra=[F.sum(F.col("r") * F.col("w")).alias("total")])
-    return pooled.select("record_id", "temperature",
-                         F.transform("features", lambda v: v / F.col("total")).alias("features"))
+    return pooled.select("record_id", F.inline(lines))
 
 
 def sorted_quantile(x: Column, q: float) -> Column:

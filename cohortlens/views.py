@@ -110,16 +110,17 @@ def windows(spark: SparkSession, folder: str, indexed: bool = True) -> DataFrame
     features = F.array("l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("features")
     if not indexed:
         return lines.select(F.col("l_orderkey").alias("record_id"), F.col("l_quantity").alias("frames"), features)
-    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity"]
-    rows = lines.select(F.col("l_orderkey").alias("record_id"), *order, features)
-    numbered = running_before(rows, [F.col(c) for c in order], "window_index", keys=["record_id"])
-    return numbered.select("record_id", "window_index", F.col("l_quantity").alias("frames"), "features")
+    order, values = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    rows = lines.select(F.col("l_orderkey").alias("record_id"), *order, *values)
+    # The vector is made afterwards, and of the order only the place is stored.
+    numbered = running_before(rows, [F.col(c) for c in [*order, "l_quantity"]], "window_index", keys=["record_id"], keep=["record_id", *values])
+    return numbered.select("record_id", "window_index", F.col("l_quantity").alias("frames"), features)
 
 
 def signal(spark: SparkSession, folder: str) -> DataFrame:
     """Events as samples, numbered per user in time order."""
     events = table(spark, folder, "events").select(F.col("user_id").alias("record_id"), "ts", "event_id", "value")
-    numbered = running_before(events, [F.col("ts"), F.col("event_id")], "sample_index", keys=["record_id"])
+    numbered = running_before(events, [F.col("ts"), F.col("event_id")], "sample_index", keys=["record_id"], keep=["record_id", "value"])
     return numbered.select("record_id", "sample_index", "value")
 
 
