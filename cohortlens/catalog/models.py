@@ -99,9 +99,12 @@ def select_temperature_cv_logreg(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def temperature_table(spark: SparkSession, folder: str, family: Family) -> DataFrame:
-    pooled = sdp_pool(stored(views.windows(spark, folder), "windows"), views.WINDOW_DIM, experiments.TEMPERATURES)
-    rows = pooled.join(records_with_folds(spark, folder), "record_id")
-    scores = stored(experiments.select_temperature(rows, views.WINDOW_DIM, CHALLENGE, F.col("split") == "train2022", CHALLENGE_FOLDS,
+    train = F.col("split") == "train2022"
+    # Only training rows are fitted and scored, so only their windows are pooled.
+    records = records_with_folds(spark, folder).filter(train)
+    pooled = sdp_pool(views.windows(spark, folder).join(records.select("record_id"), "record_id", "left_semi"), views.WINDOW_DIM, experiments.TEMPERATURES)
+    rows = pooled.join(records, "record_id")
+    scores = stored(experiments.select_temperature(rows, views.WINDOW_DIM, CHALLENGE, train, CHALLENGE_FOLDS,
                                                    family), "fold-scores")
     chosen = experiments.rank_temperatures(scores).select("task", "temperature", "selected")
     return rounded(scores.join(chosen, ["task", "temperature"]), "SE", "SP", "AS", "HS", "Score", digits=6)
@@ -144,7 +147,7 @@ def challenge_workflow_logreg(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def readout_table(spark: SparkSession, folder: str, family: Family) -> DataFrame:
-    found = experiments.challenge(stored(views.windows(spark, folder), "windows"), views.WINDOW_DIM, records_with_folds(spark, folder),
+    found = experiments.challenge(views.windows(spark, folder), views.WINDOW_DIM, records_with_folds(spark, folder),
                                   CHALLENGE, F.col("split") == "train2022", CHALLENGE_FOLDS, family)
     scores = metrics.official_score(found.predictions, ["evaluation", "task", "method"], views.NORMAL, views.SENSITIVE)
     return rounded(scores, "SE", "SP", "AS", "HS", "Score", digits=6)
