@@ -134,20 +134,22 @@ def challenge(windows: DataFrame, dim: int, records: DataFrame, tasks: Mapping[s
     ``train`` are pooled at the chosen temperatures only.
     """
     kinds = {t: Task(label, tuple(classes), folds[t]) for t, (label, classes, _, _) in tasks.items()}
-    # Windows meet their records first: the pooling groups by the same key, so the rows move once.
+    # Windows meet their records once and are stored in two folders: each pooling reads the rows of its side only.
     both = windows.select("record_id", "window_index", "features").join(records.withColumn("__train", train).select("record_id", "__train"), "record_id")
+    both = stored(both, "sides", ["__train"])
 
-    def pooled(part: DataFrame, temperatures: Sequence[float]) -> DataFrame:
-        shares = part.drop("__train")
+    def pooled(side: Column, temperatures: Sequence[float]) -> DataFrame:
+        shares, own = both.filter(side).drop("__train"), records.withColumn("__train", train).filter(side).drop("__train")
         sdp = sdp_pool(shares, dim, temperatures).withColumn("part", F.col("temperature").cast("string")).drop("temperature")
-        return sdp.unionByName(q75_pool(shares, dim).withColumn("part", F.lit("q75"))).join(records, "record_id")
+        # Both come out by record, so the joins move the records only.
+        return union([rows.join(own, "record_id") for rows in (sdp, q75_pool(shares, dim).withColumn("part", F.lit("q75")))])
 
-    fitted = prepare(pooled(both.filter("__train"), TEMPERATURES), kinds, dim, train)
+    fitted = prepare(pooled(F.col("__train"), TEMPERATURES), kinds, dim, train)
     models = stored(family.fit(fitted), "models")
     scores = stored(temperature_scores(family.score(fitted, models).filter("part <> 'q75'"), tasks), "fold-scores")
     ranked = stored(rank_temperatures(scores), "temperatures")
     chosen = {r["task"]: r["temperature"] for r in ranked.filter("selected").collect()}  # one per task
-    held = stored(family.score(place(pooled(both.filter("not __train"), sorted(set(chosen.values()))), kinds, dim, train), models), "scores")
+    held = stored(family.score(place(pooled(~F.col("__train"), sorted(set(chosen.values()))), kinds, dim, train), models), "scores")
     out = []
     for task, (_, classes, _, _) in tasks.items():
         own = held.filter(F.col("task") == task)
