@@ -71,3 +71,24 @@ def test_protocol_query(spark):
         width = r.ci_upper - r.ci_lower
         assert own.point_estimate == r.point_estimate and own.ci_lower <= own.point_estimate <= own.ci_upper
         assert abs(own.ci_lower - r.ci_lower) < 0.25 * width and abs(own.ci_upper - r.ci_upper) < 0.25 * width
+
+
+def test_splits_of_a_run_of_blocks_are_made_once(monkeypatch):
+    made, random = [], m._random
+    monkeypatch.setattr(m, "_random", lambda *key: made.append(key) or random(*key))
+    got = m.run_slots("t", 7, 48, 80, 1000, 4)
+    assert len(made) == len(set(made)) <= 32 + 2 * 8
+    assert got == [m.block_slots("t", 7, b, 1000, 4) for b in range(48, 80)]
+
+
+@pytest.mark.parametrize("run, together", [(1, 7), (3, 40), (100, 16)])
+def test_sums_do_not_depend_on_the_groups(spark, run, together):
+    """One sum per draw, cell and run of blocks leaves a task; a count above 2^24 is exact."""
+    rows = [("a", "x", p, "AB"[p % 2], "A", 1 + p * 10_000_001) for p in range(23)] + [("b", "y", 0, "A", "B", 3)]
+    cells = spark.createDataFrame(rows, "task string, method string, patient_index long, truth string, predicted string, n long")
+    got = {(r.draw, r.task, r.truth): r.n for r in m.resampled_confusions(cells, {"a": 23, "b": 1}, 40, size=4, run=run, together=together).collect()}
+    want = {(d, "b", "A"): 3 for d in range(40)}
+    for d in range(40):
+        c = counts(d, 23, 4, task="a")
+        want |= {(d, "a", "AB"[k]): sum(int(c[p]) * (1 + p * 10_000_001) for p in range(k, 23, 2)) for k in (0, 1)}
+    assert got == want
