@@ -35,7 +35,7 @@ from .components import components
 from .simhash import links as fingerprint_links
 from .simhash import with_fingerprints
 from .storing import settled
-from .words import WindowHashes, column, mix, small_batches, split_words, word_hashes, word_ids
+from .words import WindowHashes, column, give_back, mix, small_batches, split_words, word_hashes, word_ids
 
 BANDS, ROWS = 32, 6
 #: Bits of a sketch, and by how many candidates, done members of a canopy and copies that need not travel may differ.
@@ -158,6 +158,7 @@ def _deal(parts: int, cut: Mapping[int, int]):
                 payload = packing.pack(codes[own], nodes[own], *sketch[own].T, nodes[centres[pair]], nodes[members[pair]])
                 rows.append((to >> 32, to & 0xFFFFFFFF, int(blocks[to >> 32]), payload))
             yield pd.DataFrame(rows, columns=["part", "block", "blocks", "payload"])
+        give_back()
     return run
 
 
@@ -178,6 +179,8 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
     a, b, _ = canopies(codes, np.stack(words, axis=1), LOOSE, TIGHT)
     pairs = np.stack((np.concatenate((nodes[a], centres)), np.concatenate((nodes[b], members))), axis=1)
     pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+    del codes, nodes, words, centres, members, a, b
+    give_back()
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
@@ -271,6 +274,7 @@ def _links(least: Fraction):
             for i, j in spanning([packing.unpack_sorted(p)[0] for p in cell["payload"]], least):
                 a.append(keys[i])
                 b.append(keys[j])
+        give_back()
         return pd.DataFrame({"a": a, "b": b})
     return run
 

@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from . import packing
 from .components import components
 from .storing import settled
-from .words import column, small_batches
+from .words import column, give_back, small_batches
 
 BITS = 64
 #: Keys that one task compares.
-PART_KEYS = 4_000_000
+PART_KEYS = 1_000_000
 #: Fingerprints that one offering task holds at a time.
-OFFER_ROWS = 100_000
+OFFER_ROWS = 25_000
 
 
 def fingerprint(text: str | None, shingle: int, seed: int) -> int:
@@ -121,6 +121,7 @@ def _offers(distance: int, parts: int):
                 at = order[cuts[p]:cuts[p + 1]]  # variant-major places in the table of keys
                 rows.append((int(p), packing.pack(fps[at % len(fps)], (at // len(fps)).astype(np.uint8))))
             yield pd.DataFrame(rows, columns=["part", "payload"])
+        give_back()
     return run
 
 
@@ -157,6 +158,8 @@ def _links(distance: int):
                 right.append(b)
         pairs = np.stack((np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)), axis=1)
         pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        del fps, keys, order, starts, ends, size, left, right
+        give_back()
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
     return run
 

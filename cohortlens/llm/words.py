@@ -6,6 +6,7 @@ A word is a run of characters other than the six ASCII white-space characters
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,6 +101,13 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def give_back() -> None:
+    """Hand memory that is free in this worker back to the system: a worker runs other steps later, beside an executor that has grown."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int = 24_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts hold about ``most_bytes`` at most (one row at least)."""
     for batch in batches:
@@ -112,3 +120,4 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, most_bytes: int
             hi = max(lo + 1, int(np.searchsorted(sizes, seen + most_bytes, side="right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+    give_back()
