@@ -6,9 +6,9 @@ term scatters its weight times the postings into the dense score array of (query
 The finished array is cut to its k best by partition selection, and the blocks' best are merged
 per query.
 
-Candidates and queries are packed in blocks of bounded size; every query block meets every
-candidate block through an equality join on the candidate block number, so a task holds one
-pair of blocks at a time, and nothing is broadcast.
+Candidates and queries are packed in blocks of bounded size.  Candidate blocks are dealt into a bounded
+number of groups, and every query block is copied once per group; they meet in a merge join on the group,
+so a task holds one pair of blocks at a time, and nothing is broadcast.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from .storing import settled
 
 #: Rows of a candidate block and of a query block: a score array of 16 MB.
 CANDIDATES, QUERIES = 4096, 512
+#: Groups of candidate blocks at most, so copies of a query block.
+GROUPS = 256
 
 
 def usable(vector: Column) -> Column:
@@ -38,18 +40,35 @@ def whole(vector: Column, scale: int = 256) -> Column:
 
 
 def _packed(rows: DataFrame, size: int) -> DataFrame:
-    """(block, payload) with about ``size`` rows (id, vec) each; the blocks follow the partitions of ``rows``."""
+    """(block, payload) with ``size`` rows (id, vec) each, the last of a partition with fewer."""
+    def block(part: pd.DataFrame) -> pd.DataFrame:
+        lengths = part["vec"].map(len).to_numpy(np.int64)
+        flat = np.concatenate(part["vec"].to_list()) if lengths.sum() else np.empty(0, np.int64)
+        return pd.DataFrame({"payload": [pack(part["id"].to_numpy(np.int64), lengths, flat.astype(np.int64))]})
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame({"id": [], "vec": []})
         for frame in frames:
-            for lo in range(0, len(frame), size):
-                part = frame.iloc[lo:lo + size]
-                lengths = part["vec"].map(len).to_numpy(np.int64)
-                flat = np.concatenate(part["vec"].to_list()) if lengths.sum() else np.empty(0, np.int64)
-                yield pd.DataFrame({"payload": [pack(part["id"].to_numpy(np.int64), lengths, flat.astype(np.int64))]})
+            held = pd.concat((held, frame)) if len(held) else frame
+            while len(held) >= size:
+                yield block(held.iloc[:size])
+                held = held.iloc[size:]
+        if len(held):
+            yield block(held)
     return (rows.mapInPandas(run, "payload binary")
             .select(F.monotonically_increasing_id().alias("block"), "payload"))
 
 
+def _pairs(asked: DataFrame, given: DataFrame, groups: int) -> DataFrame:
+    """(block, payload, asked): every candidate block beside every query block.
+
+    The planner takes the copies of the query blocks for one, and would broadcast them all; so the kind of join is stated.
+    """
+    copies = asked.select(F.col("payload").alias("asked"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+    dealt = given.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+    return dealt.join(copies.hint("merge"), "group").select("block", "payload", "asked")
+
+
 def _terms(lengths: np.ndarray, flat: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Postings of a block: term -> (rows, weights), zero weights left out."""
     row = np.repeat(np.arange(len(lengths)), lengths)
@@ -121,10 +140,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
             .dropDuplicates(["id", "vec"]))
     rows = settled(rows, "topk-vectors")
     given = settled(_packed(rows.select("id", "vec"), CANDIDATES), "topk-candidates")
-    asked = settled(_packed(rows.filter("asks").select("id", "vec"), QUERIES), "topk-queries").select(F.col("payload").alias("asked"))
-    # The numbers of all candidate blocks: eight bytes for thousands of rows.
-    numbers = given.agg(F.collect_list("block").alias("b")).scalar()
-    pairs = asked.select("asked", F.explode(numbers).alias("block")).join(given, "block")
+    asked = settled(_packed(rows.filter("asks").select("id", "vec"), QUERIES), "topk-queries")
+    pairs = _pairs(asked, given, min(GROUPS, max(1, given.count())))
     best = pairs.mapInPandas(_scored(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -41,3 +41,16 @@ def test_edges(spark):
     assert sorted(map(tuple, got.collect())) == brute(rows, 5)
     assert topk.top_k(df.filter("vec_id = 0"), F.col("vec_id") == 0).count() == 0
     assert topk.top_k(df.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+def test_blocks_of_the_stated_size_meet_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 1500)
+    monkeypatch.setattr(topk, "GROUPS", 2)
+    vectors = spark.range(0, 4000, 1, 1).selectExpr("id", "array(id % 7, 1L) vec")
+    blocks = topk._packed(vectors, topk.CANDIDATES)
+    assert sorted(len(topk.unpack(r.payload)[0]) for r in blocks.collect()) == [1000, 1500, 1500]
+    df = vectors.selectExpr("id vec_id", "cast(vec as array<double>) embedding")
+    best = topk.top_k(df, F.col("vec_id") % 50 == 0, k=1)
+    assert best.count() == 80
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
