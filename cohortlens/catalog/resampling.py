@@ -32,7 +32,7 @@ def patient_confusions(spark: SparkSession, folder: str) -> DataFrame:
 @query("bootstrap_draws", with_views("select task, draw, slot, patient_index from draws", "draws"))
 def bootstrap_draws(spark: SparkSession, folder: str) -> DataFrame:
     """Hash-based patient draws with replacement."""
-    return boot.draws(spark, plans.patient_cells(views.drawn_predictions(spark, folder))[1], REPLICATES)
+    return boot.draws(spark, plans.patient_numbers(views.drawn_predictions(spark, folder)), REPLICATES)
 
 
 @query("resampled_confusions", with_views("select draw, task, method, t truth, p predicted, n from resampled", "resampled"))

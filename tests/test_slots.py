@@ -4,12 +4,15 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from cohortlens.catalog import resampling
 from cohortlens.operators import bootstrap as boot
 from cohortlens.operators import slots
 from cohortlens.sources import sinks, tables
+from tests.conftest import SMALL
 
 
 def filled(task, draw, slot, patients):
@@ -57,3 +60,18 @@ def test_counts_per_block_give_the_cells_of_the_slot_table(spark, block, span, t
 def test_a_slot_travels_in_half_a_byte(spark):
     drawn = slots.block_counts(spark, {"a": 100_000}, 20)
     assert drawn.agg(F.sum(F.length("payload"))).first()[0] < 0.51 * 100_000 * 20
+
+
+def test_slots_of_neighbouring_rows_repeat_so_that_files_hold_them_in_few_bits(spark, tmp_path):
+    boot.draws(spark, {"a": 30_000}, 100).write.parquet(str(tmp_path / "d"))
+    size = Counter()
+    for file in (tmp_path / "d").glob("*.parquet"):
+        held = pq.ParquetFile(file).metadata
+        for group in map(held.row_group, range(held.num_row_groups)):
+            size.update({c.path_in_schema: c.total_compressed_size for c in map(group.column, range(group.num_columns))})
+    assert size["slot"] < 0.5 * 30_000 * 100
+
+
+def test_draws_need_no_stored_table(spark, monkeypatch):
+    monkeypatch.setattr(resampling.plans, "stored", None)
+    assert resampling.bootstrap_draws(spark, SMALL).select("task").distinct().count() == 2
