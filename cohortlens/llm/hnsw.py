@@ -1,8 +1,8 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one per shard.
 
 Distinct vectors are dealt into shards of bounded size by a hash.  Every shard gets its graph: layers of fewer and
-fewer nodes, each node linked to diverse near ones.  Blocks of query vectors walk the graph of every
-shard, all queries of a block in step: a beam of the best nodes seen is expanded until it holds no
+fewer nodes, each node linked to diverse near ones.  A shard is cut into blocks of query vectors, which walk its own graph and, as links go both
+ways, that of every second other shard, so of two shards one is asked for the other; all queries of a block go in step: a beam of the best nodes seen is expanded until it holds no
 unexpanded one.  A beam that holds linked vectors only may be too narrow, so it is widened, in the end to the whole shard.
 The starting width comes from audits: a bounded sample of queries is compared with all vectors, and the
 width doubles until the graphs find the stated share of their links.
@@ -28,6 +28,8 @@ from .storing import settled
 
 #: Vectors of a shard and of a query block (by hash, so a few per cent more or less), and of a step of queries.
 SHARD, BLOCK, STEP = 8192, 2048, 256
+#: From so many shards on they grow, up to so many times the size: a walk takes little longer in a larger shard.
+FEW, LARGER = 8, 4
 #: Links of a new node, most links of a node, width of the beam while building.
 DEGREE, MOST, BUILD = 16, 32, 48
 #: A payload is copied to at most so many cells of the grid (query blocks x shards), whatever their number.
@@ -177,7 +179,8 @@ def linked(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: float, w
         asked = np.arange(lo, min(lo + STEP, len(queries)))
         wide = width
         while len(asked):
-            if wide * 8 >= len(exact):  # the widest beam is the shard
+            # The widest beam is the shard; a widened one that looks at as many links as the shard has vectors gains nothing over it.
+            if wide * 8 >= len(exact) or (wide > width and wide * MOST >= len(exact)):
                 q, node = np.nonzero(queries[asked] @ exact.T >= least)
                 yield asked[q], node
                 break
@@ -224,7 +227,7 @@ def _indexed(width: int):
         raw = _matrix(table["vec"].chunk(0), width)
         graph = Graph(unit_rows(raw).astype(np.float32))
         payload = pack(table["cid"].to_numpy(), table["copies"].to_numpy(), raw.ravel(), np.array([len(x) for x in graph.layers]),
-                       *[x.ravel().astype(np.int16) for x in graph.layers])
+                       *[x.ravel() for x in graph.layers])
         return pa.table({"shard": pa.array([table["shard"][0].as_py()], pa.int64()), "index": pa.array([payload], pa.binary())})
     return run
 
@@ -232,7 +235,7 @@ def _indexed(width: int):
 def _blocked(width: int):
     def run(table: pa.Table) -> pa.Table:
         raw = _matrix(table["vec"].combine_chunks(), width)
-        payload = pack(table["cid"].to_numpy(), raw.ravel())
+        payload = pack(table["cid"].to_numpy(), table["copies"].to_numpy(), raw.ravel())
         return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int64()), "asked": pa.array([payload], pa.binary())})
     return run
 
@@ -247,10 +250,10 @@ class _Cells:
         if shard != self.last:
             self.ids, self.copies, raw, sizes, *layers = unpack(index)
             self.exact = unit_rows(raw.reshape(-1, self.width))
-            self.graph = Graph(self.exact.astype(np.float32), [x.reshape(n, MOST).astype(np.int32) for n, x in zip(sizes, layers)])
+            self.graph = Graph(self.exact.astype(np.float32), [x.reshape(n, MOST) for n, x in zip(sizes, layers)])
             self.last = shard
-        ids, raw = unpack(asked)
-        return ids, unit_rows(raw.reshape(-1, self.width))
+        ids, copies, raw = unpack(asked)
+        return ids, copies, unit_rows(raw.reshape(-1, self.width))
 
 
 def _audited(width: int, least: float, beam: int):
@@ -258,7 +261,7 @@ def _audited(width: int, least: float, beam: int):
         cells = _Cells(width)
         for batch in batches:
             for row in batch.to_pylist():
-                ids, queries = cells.read(row["shard"], row["index"], row["asked"])
+                ids, _, queries = cells.read(row["shard"], row["index"], row["asked"])
                 # A query's own vector is no link.
                 own = ids[:, None] == cells.ids[None, :]
                 links = int(((queries @ cells.exact.T >= least) & ~own).sum())
@@ -272,22 +275,25 @@ def _searched(width: int, least: float, beam: int):
         cells = _Cells(width)
         for batch in batches:
             for row in batch.to_pylist():
-                ids, queries = cells.read(row["shard"], row["index"], row["asked"])
-                count = np.zeros(len(ids), np.int64)
+                ids, copies, queries = cells.read(row["shard"], row["index"], row["asked"])
+                count, back = np.zeros(len(ids), np.int64), np.zeros(len(cells.ids), np.int64)
                 pairs = []
                 for q, node in linked(cells.graph, cells.exact, queries, least, beam):
                     other = ids[q] != cells.ids[node]
                     q, node = q[other], node[other]
                     np.add.at(count, q, cells.copies[node])
+                    if row["both"]:
+                        np.add.at(back, node, copies[q])
                     pairs.append((q, node + len(ids)))
                     if sum(len(x) for x, _ in pairs) > 2_000_000:
                         pairs = [_placed(pairs, len(ids) + len(cells.ids))]
-                has = np.flatnonzero(count)
+                has, had = np.flatnonzero(count), np.flatnonzero(back)
                 a, b = _star(pairs, np.concatenate((ids, cells.ids)))
                 # One table for both results: links of a vector (b is null), and star links (n is null).
                 yield pa.RecordBatch.from_pydict({
-                    "a": pa.array(np.concatenate((ids[has], a)), pa.int64()), "b": pa.concat_arrays([pa.nulls(len(has), pa.int64()), pa.array(b, pa.int64())]),
-                    "n": pa.concat_arrays([pa.array(count[has]), pa.nulls(len(a), pa.int64())])})
+                    "a": pa.array(np.concatenate((ids[has], cells.ids[had], a)), pa.int64()),
+                    "b": pa.concat_arrays([pa.nulls(len(has) + len(had), pa.int64()), pa.array(b, pa.int64())]),
+                    "n": pa.concat_arrays([pa.array(count[has]), pa.array(back[had]), pa.nulls(len(a), pa.int64())])})
     return run
 
 
@@ -296,12 +302,26 @@ def _placed(pairs: list[tuple[np.ndarray, np.ndarray]], size: int) -> tuple[np.n
     return _star(pairs, np.arange(size))
 
 
-def _cells(blocks: DataFrame, shards: DataFrame, shard_count: int) -> DataFrame:
-    """Every query block beside every shard, by an equality join on cells of a grid whose sides have ``GRID`` groups at most."""
+def shard_number(n: int) -> int:
+    """Shards for ``n`` vectors."""
+    return max(1, ceil(n / (LARGER * SHARD)), min(FEW, ceil(n / SHARD)))
+
+
+def _cells(blocks: DataFrame, shards: DataFrame, shard_count: int, per: int = 0) -> DataFrame:
+    """Every query block beside every shard, by an equality join on cells of a grid whose sides have ``GRID`` groups at most.
+
+    With ``per``, the blocks are cuts of the shards, so many of each: a block meets its own shard, and of two shards one, by turns, has
+    the other's blocks.  ``both`` tells that links found there stand for both directions.
+    """
     rows = columns = min(GRID, shard_count)
-    asked = blocks.select("asked", F.pmod("block", F.lit(rows)).alias("__r"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("__k"))
+    asked = blocks.select("block", "asked", F.pmod("block", F.lit(rows)).alias("__r"), F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("__k"))
     given = shards.select("shard", "index", F.pmod("shard", F.lit(columns)).alias("__k"), F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).alias("__r"))
-    return asked.join(given, [asked["__r"] == given["__r"], asked["__k"] == given["__k"]]).select("shard", "index", "asked")
+    pairs = asked.join(given, [asked["__r"] == given["__r"], asked["__k"] == given["__k"]])
+    if not per:
+        return pairs.select("shard", "index", "asked", F.lit(False).alias("both"))
+    home, shard = F.expr(f"block div {per}"), F.col("shard")
+    turn = (home < shard) == ((home + shard) % 2 == 0)
+    return pairs.filter((home == shard) | turn).select("shard", "index", "asked", (home != shard).alias("both"))
 
 
 def usable(vector: Column) -> Column:
@@ -333,16 +353,19 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     classes = settled(distinct.withColumn("cid", F.monotonically_increasing_id()), "hnsw-vectors")
     size = classes.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("width")).first()
     n, width = size["n"], size["width"] or 0
-    shard_count, block_count = max(1, ceil(n / SHARD)), max(1, ceil(n / BLOCK))
+    shard_count = shard_number(n)
+    per = max(1, ceil(n / shard_count / BLOCK))
     order = F.xxhash64("cid")
-    shards = classes.select("cid", "copies", "vec", order.alias("order"), F.pmod(order, F.lit(shard_count)).alias("shard"))
-    shards = settled(shards.groupBy("shard").applyInArrow(_indexed(width), "shard long, index binary"), "hnsw-graphs")
+    dealt = classes.select("cid", "copies", "vec", order.alias("order"), F.pmod(order, F.lit(shard_count)).alias("shard"))
+    shards = settled(dealt.groupBy("shard").applyInArrow(_indexed(width), "shard long, index binary"), "hnsw-graphs")
+
+    def blocks(block: Column, of: DataFrame = dealt) -> DataFrame:
+        return of.select("cid", "copies", "vec", block.alias("block")).groupBy("block").applyInArrow(_blocked(width), "block long, asked binary")
 
-    def blocks(of: DataFrame, count: int) -> DataFrame:
-        dealt = of.select("cid", "vec", F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(count)).alias("block"))
-        return dealt.groupBy("block").applyInArrow(_blocked(width), "block long, asked binary")
+    def cut(count: int) -> Column:
+        return F.pmod(F.xxhash64("cid", F.lit(1)), F.lit(count))
 
-    sample = settled(blocks(classes.filter(F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(max(n, 1))) < AUDITED), 4), "hnsw-audited")
+    sample = settled(blocks(cut(4), dealt.filter(F.pmod(F.xxhash64("cid", F.lit(2)), F.lit(max(n, 1))) < AUDITED)), "hnsw-audited")
     beam = WIDTH
     while n and beam * 8 < SHARD:
         seen = (_cells(sample, shards, shard_count).mapInArrow(_audited(width, least, beam), "links long, found long")
@@ -350,7 +373,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         if (seen["found"] or 0) >= recall * (seen["links"] or 0):
             break
         beam *= 2
-    cells = _cells(settled(blocks(classes, block_count), "hnsw-queries"), shards, shard_count)
+    cells = _cells(settled(blocks(F.col("shard") * per + cut(per)), "hnsw-queries"), shards, shard_count, per)
     found = settled(cells.mapInArrow(_searched(width, least, beam), "a long, b long, n long"), "hnsw-links")
     counts = found.filter("n is not null").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "cid")
     roots = components(found.filter("b is not null").select("a", "b").distinct()).withColumnRenamed("node", "cid")

@@ -79,3 +79,28 @@ def test_edges(spark):
 def test_query(spark):
     rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").collect()]
     assert result(entry.queries()["op12_embedding_near_dedup"](spark, SMALL)) == sorted(plain(rows), key=str)
+
+
+def test_of_two_shards_one_is_asked_for_the_other(spark):
+    blocks = spark.range(12).selectExpr("id block", "cast(cast(id as string) as binary) asked")
+    shards = spark.range(6).selectExpr("id shard", "binary('') index")
+    got = [(r.shard, int(r.asked) // 2, r.both) for r in hnsw._cells(blocks, shards, 6, per=2).collect()]
+    assert len(got) == 2 * (6 + 15)
+    assert {frozenset(x[:2]) for x in got} == {frozenset((a, b)) for a in range(6) for b in range(6)}
+    assert all(both == (a != b) for a, b, both in got)
+
+
+def test_shards_grow_once_there_are_some():
+    assert [hnsw.shard_number(n) for n in (0, 1, 8192, 8193, 51_282, 262_144, 262_145, 600_000)] == [1, 1, 1, 2, 7, 8, 9, 19]
+
+
+def test_a_beam_is_not_widened_to_as_many_links_as_the_shard_has_vectors():
+    widths = []
+
+    class Linked:
+        def walk(self, queries, width):
+            widths.append(width)
+            return np.arange(width)[None, :].repeat(len(queries), 0), np.ones((len(queries), width))
+
+    got = [len(q) for q, _ in hnsw.linked(Linked(), np.ones((9000, 1)), np.ones((3, 1)), 0.95, 16)]
+    assert sum(got) == 3 * 9000 and widths == [16, 128]
