@@ -1,7 +1,7 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one per shard.
 
 Distinct vectors are dealt into shards of bounded size by a hash.  Every shard gets its graph: layers of fewer and
-fewer nodes, each node linked to diverse near ones.  A shard is cut into blocks of query vectors, which walk its own graph and, as links go both
+fewer nodes, each node linked to diverse near ones, and more links where a walk for a node's own vector misses it.  A shard is cut into blocks of query vectors, which walk its own graph and, as links go both
 ways, that of every second other shard, so of two shards one is asked for the other; all queries of a block go in step: a beam of the best nodes seen is expanded until it holds no
 unexpanded one.  A beam that holds linked vectors only may be too narrow, so it is widened, in the end to the whole shard.
 The starting width comes from audits: a bounded sample of queries is compared with all vectors, and the
@@ -73,6 +73,7 @@ class Graph:
             for size in sizes[::-1]:  # from the top down: the layers above lead to where a node belongs
                 self.layers.insert(0, np.full((size, MOST), -1, np.int32))
                 self._fill(size)
+            self._mend()
 
     def _fill(self, size: int) -> None:
         lo = 0
@@ -95,6 +96,14 @@ class Graph:
             self._link(links.ravel(), np.repeat(fresh, DEGREE))
             lo = hi
 
+    def _mend(self) -> None:
+        """A node that a walk for its own vector misses is linked from the nearest that the walk comes to, in place of their last links."""
+        for lo in range(0, len(self.vectors), STEP):
+            own = np.arange(lo, min(lo + STEP, len(self.vectors)))
+            near = self.walk(self.vectors[own], WIDTH)[0]
+            for node in np.flatnonzero(~(near == own[:, None]).any(axis=1)):
+                self.layers[0][near[node][near[node] >= 0][:4], -1] = own[node]
+
     def _link(self, start: np.ndarray, to: np.ndarray) -> None:
         """Add links; a node with too many keeps the diverse ones."""
         table = self.layers[0]

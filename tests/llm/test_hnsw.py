@@ -104,3 +104,16 @@ def test_a_beam_is_not_widened_to_as_many_links_as_the_shard_has_vectors():
 
     got = [len(q) for q, _ in hnsw.linked(Linked(), np.ones((9000, 1)), np.ones((3, 1)), 0.95, 16)]
     assert sum(got) == 3 * 9000 and widths == [16, 128]
+
+
+def test_a_node_that_its_own_walk_misses_is_linked_again():
+    def missed(graph):
+        near = np.concatenate([graph.walk(graph.vectors[lo:lo + 256], hnsw.WIDTH)[0] for lo in range(0, len(graph.vectors), 256)])
+        return np.flatnonzero(~(near == np.arange(len(near))[:, None]).any(axis=1)).tolist()
+
+    graph = hnsw.Graph(hnsw.unit_rows(np.random.default_rng(4).normal(size=(2000, 32))).astype(np.float32))
+    for node in (1500, 1900):
+        graph.layers[0][graph.layers[0] == node] = -1
+    assert missed(graph) == [1500, 1900]
+    graph._mend()
+    assert missed(graph) == []
